@@ -58,3 +58,51 @@ def renamed(df: DataFrame, *names: str) -> list[str]:
         taken.add(k.lower())
         out.append(k)
     return out
+
+
+#: Bytes of text that a Python worker looks at together.
+BLOCK_BYTES = 4_000_000
+
+
+def blocks(batch, text: int):
+    """Slices of an Arrow batch whose texts have about BLOCK_BYTES together; one row at least."""
+    sizes = batch.column(text)
+    import pyarrow.compute as pc
+
+    ends = pc.cumulative_sum(pc.fill_null(pc.cast(pc.binary_length(sizes), "int64"), 0)).to_numpy(zero_copy_only=False)
+    start, n = 0, batch.num_rows
+    while start < n:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(ends.searchsorted(base + BLOCK_BYTES, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def with_columns_of_text(df: DataFrame, text_col: str, fields: str, make) -> DataFrame:
+    """df with more columns made from a text column in Python, whole texts in blocks.
+
+    fields: DDL of the new columns, named unlike any of df. make() is called once in a
+    worker and returns a function of a list of texts (null: empty) to a list of columns.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(fields)
+    text = df.columns.index(text_col)
+    kinds, names = [to_arrow_type(f.dataType) for f in new], [*df.columns, *new.names]
+
+    def run(batches):
+        import pyarrow as pa
+
+        work = make()
+        for batch in batches:
+            for part in blocks(batch, text) if batch.num_rows else ():
+                made = work([t or "" for t in part.column(text).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(made, kinds))], names=names)
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
+
+
+def folded_out(column, mod: int, rest: int):
+    """Whether crc32 of the id as text has this remainder; null ids count as the text `null`."""
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("null")).cast("binary")) % mod == rest

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat, exactdup, mixing, urlfilter
-from orrery.llm.common import table
+from orrery.llm import chat, exactdup, mixing, toxicity, urlfilter
+from orrery.llm.common import folded_out, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_chat, op7_exact_dedup, op8_url_filter)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    out = toxicity.score(docs, model, column="score")
+    return out.select("doc_id", folded_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_chat, op7_exact_dedup, op8_url_filter, op10_toxicity)}
 
 ORACLES = {
     "op1_mixing": r"""
