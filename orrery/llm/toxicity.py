@@ -196,7 +196,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     words = {x["term"][1:]: (x["a"], x["b"]) for x in best if x["term"][0] == "w"}
     stems = {x["term"][1:]: (x["a"], x["b"]) for x in best if x["term"][0] == "s"}
     if not stems:
-        return {w: odds(*x) for w, x in words.items()}, {}
+        return varied(rows, words, {}, base, odds)
     # A stem needs several endings, none of which stands for most of it.
     heads = [F.substring("word", 1, k) for k in range(3, 7)]
     ends = counts.filter("term LIKE 'w%'").select(F.expr("substring(term, 2)").alias("word"), "a").withColumn("stem", F.explode(F.array_distinct(F.array(*heads)))).filter(F.col("stem").isin(list(stems)))
@@ -208,8 +208,41 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
             continue  # reached from the shorter one
         while longer := [c for c in good if len(c) == len(s) + 1 and c.startswith(s) and good[c][0] >= 0.9 * good[s][0]]:
             s = max(longer, key=lambda c: good[c][0])
-        chosen[s] = odds(*good[s])
-    return {w: odds(*x) for w, x in words.items() if not any(w.startswith(s) for s in chosen)}, chosen
+        chosen[s] = good[s]
+    return varied(rows, {w: x for w, x in words.items() if not any(w.startswith(s) for s in chosen)}, chosen, base, odds)
+
+
+def varied(rows: DataFrame, words: dict, stems: dict, base: float, odds) -> tuple[dict[str, float], dict[str, float]]:
+    """Those of the words and stems that stand in enough different contexts.
+
+    Copies of one toxic document make all its words look toxic, but there each stands
+    after the same word. So evidence is told again with no more toxic rows than there
+    are different words before the entry in them.
+    """
+    entries = [(w, False, *x) for w, x in words.items()] + [(s, True, *x) for s, x in stems.items()]
+    at = {(w, is_stem): k for k, (w, is_stem, _, _) in enumerate(entries)}
+
+    def found():
+        def of(text: str) -> list[str]:
+            ws = TOKEN.findall(text.lower())
+            return sorted({f"{at[t]} {before}" for before, w in zip(["", *ws], ws) for t in ((w, False), *((w[:k], True) for k in range(3, 7))) if t in at})
+
+        return lambda texts: [[of(t) for t in texts]]
+
+    toxic = with_columns_of_text(rows.filter("y = 1"), "text", "hits array<string>", found).select("hits").collect()  # at most MAX_TOXIC rows
+    contexts = [set() for _ in entries]
+    for x in toxic:
+        for hit in x["hits"]:
+            k, _, before = hit.partition(" ")
+            contexts[int(k)].add(before)
+
+    def stands(k: int) -> bool:
+        a, b = min(entries[k][2], len(contexts[k])), entries[k][3]
+        share = a / max(1, a + b)
+        return share > base and a * math.log(share / base) + (b * math.log((1 - share) / (1 - base)) if b else 0.0) >= EVIDENCE
+
+    weigh = lambda stem: {w: odds(a, b) for k, (w, is_stem, a, b) in enumerate(entries) if is_stem == stem and stands(k)}
+    return weigh(False), weigh(True)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
