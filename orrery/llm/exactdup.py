@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import renamed, small, written
+from orrery.llm.common import normalised, renamed, small, written
 
 #: Digests of a shard: its slots take 48 bytes each.
 SHARD_DIGESTS = 40_000
@@ -34,11 +34,6 @@ INDEX_SCHEMA = "shard int, n long, sizes array<int>, bits binary, digests binary
 LOOKUP_SCHEMA = "digest binary, member boolean, keep_id long, group_size long, repeats long"
 
 
-def normalised(text: Column) -> Column:
-    """Each run of white space as one space; single spaces are left alone, which is faster."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
-
-
 def digest(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text), 256))
 

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import WS, renamed
+from orrery.llm.common import normalised, renamed
 
 #: Hexadecimal digits of the hash that make the number: 52 bits, exact in a double.
 DIGITS = 13
@@ -28,9 +28,13 @@ MOST_SOURCES = 100_000
 
 
 def words(text: Column) -> Column:
-    """The number of runs of anything but white space; null: 0."""
-    trimmed = F.regexp_replace(text, f"^[{WS}]+|[{WS}]+\\z", "")
-    return F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, f"[{WS}]+")).cast("long")).otherwise(F.lit(0).cast("long"))
+    """The number of runs of anything but white space; null: 0.
+
+    Runs of white space become single spaces, which are then counted in bytes: no array
+    of words is made, so a long text costs no more memory than its copy.
+    """
+    one = F.trim(normalised(text))
+    return (F.octet_length(one) - F.octet_length(F.replace(one, F.lit(" "), F.lit(""))) + (F.octet_length(one) > 0).cast("int")).cast("long")
 
 
 def unit(seed: str, id_col: Column) -> Column:
