@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat, exactdup, mixing, toxicity, urlfilter
+from orrery.llm import chat, exactdup, mixing, quality, toxicity, urlfilter
 from orrery.llm.common import folded_out, table
 
 
@@ -38,7 +38,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", folded_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_chat, op7_exact_dedup, op8_url_filter, op10_toxicity)}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", folded_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op4_chat, op7_exact_dedup, op8_url_filter, op10_toxicity)}
 
 ORACLES = {
     "op1_mixing": r"""
