@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat, exactdup, mixing, quality, toxicity, urlfilter
+from orrery.llm import chat, exactdup, mixing, pii, quality, toxicity, urlfilter
 from orrery.llm.common import folded_out, table
 
 
@@ -44,7 +44,19 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", folded_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op4_chat, op7_exact_dedup, op8_url_filter, op10_toxicity)}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.find(docs, pii.fit(docs))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in pii.KINDS]), s["kind"])
+    keyed = F.array_sort(F.transform(F.concat("base_spans", "added_spans"), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    return out.select(
+        "doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(keyed).alias("spans"), F.size("added_spans").cast("long").alias("n_added")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_pii, op4_chat, op7_exact_dedup, op8_url_filter, op10_toxicity)}
 
 ORACLES = {
     "op1_mixing": r"""
