@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, chat, exactdup, mixing, pii, quality, toxicity, urlfilter
+from orrery.llm import ann, chat, exactdup, mixing, neardup, pii, quality, toxicity, urlfilter
 from orrery.llm.common import folded_out, table
 
 
@@ -60,7 +60,11 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_pii, op4_chat, op7_exact_dedup, op8_url_filter, op9_nearest, op10_toxicity)}
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_pii, op4_chat, op5_near_dedup, op7_exact_dedup, op8_url_filter, op9_nearest, op10_toxicity)}
 
 ORACLES = {
     "op1_mixing": r"""
