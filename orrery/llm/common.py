@@ -85,7 +85,7 @@ def with_columns_of_text(df: DataFrame, text_col: str, fields: str, make) -> Dat
     """df with more columns made from a text column in Python, whole texts in blocks.
 
     fields: DDL of the new columns, named unlike any of df. make() is called once in a
-    worker and returns a function of a list of texts (null: empty) to a list of columns.
+    worker and returns a function of a list of texts (null: empty) to a list of columns (lists or Arrow arrays).
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
@@ -101,7 +101,7 @@ def with_columns_of_text(df: DataFrame, text_col: str, fields: str, make) -> Dat
         for batch in batches:
             for part in blocks(batch, text) if batch.num_rows else ():
                 made = work([t or "" for t in part.column(text).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(made, kinds))], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(made, kinds))], names=names)
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
 

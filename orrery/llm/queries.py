@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, chat, exactdup, mixing, neardup, pii, quality, toxicity, urlfilter
+from orrery.llm import ann, chat, exactdup, mixing, neardup, pieces, pii, quality, toxicity, urlfilter
 from orrery.llm.common import folded_out, table
 
 
@@ -64,7 +64,13 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_pii, op4_chat, op5_near_dedup, op7_exact_dedup, op8_url_filter, op9_nearest, op10_toxicity)}
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.decode(pieces.encode(docs))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_pii, op4_chat, op5_near_dedup, op6_pieces, op7_exact_dedup, op8_url_filter, op9_nearest, op10_toxicity)}
 
 ORACLES = {
     "op1_mixing": r"""
