@@ -237,7 +237,7 @@ def decode(rows: DataFrame, path: str = MODEL, ids_col: str = "ids", column: str
     from pyspark.sql.types import StringType, StructField, StructType
 
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary(path))
-    at = rows.columns.index(ids_col)
+    at, names = rows.columns.index(ids_col), [*rows.columns, column]
 
     def run(batches):
         import pyarrow as pa
@@ -248,7 +248,7 @@ def decode(rows: DataFrame, path: str = MODEL, ids_col: str = "ids", column: str
             for k in range(0, batch.num_rows, step):
                 part = batch.slice(k, step)
                 texts = pa.array([codec.decode(x.values.to_numpy() if x.is_valid and len(x) else np.zeros(0, np.int32)) for x in part.column(at)], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*rows.columns, column])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=names)
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(column, StringType())]))
 
