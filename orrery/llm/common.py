@@ -64,11 +64,11 @@ def renamed(df: DataFrame, *names: str) -> list[str]:
 
 
 #: Bytes of text that a Python worker looks at together.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 
 
-def blocks(batch, text: int):
-    """Slices of an Arrow batch whose texts have about BLOCK_BYTES together; one row at least."""
+def blocks(batch, text: int, most: int = BLOCK_BYTES):
+    """Slices of an Arrow batch whose texts have about so many bytes together; one row at least."""
     sizes = batch.column(text)
     import pyarrow.compute as pc
 
@@ -76,34 +76,55 @@ def blocks(batch, text: int):
     start, n = 0, batch.num_rows
     while start < n:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(ends.searchsorted(base + BLOCK_BYTES, side="right")))
+        stop = max(start + 1, int(ends.searchsorted(base + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
 
-def with_columns_of_text(df: DataFrame, text_col: str, fields: str, make) -> DataFrame:
+def released() -> None:
+    """Gives free memory back to the system: workers live on after their task."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def with_columns_of_text(df: DataFrame, text_col: str, fields: str, make, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
     """df with more columns made from a text column in Python, whole texts in blocks.
 
-    fields: DDL of the new columns, named unlike any of df. make() is called once in a
-    worker and returns a function of a list of texts (null: empty) to a list of columns (lists or Arrow arrays).
+    fields: DDL of the new columns, named unlike any of df. make() is called once for a
+    task and returns a function of a list of texts (null: empty) to a list of columns
+    (lists or Arrow arrays); its attribute `done`, if any, is called at the task's end.
+    Without keep_text the text does not travel back.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
     new = StructType.fromDDL(fields)
     text = df.columns.index(text_col)
-    kinds, names = [to_arrow_type(f.dataType) for f in new], [*df.columns, *new.names]
+    back = [k for k in range(len(df.columns)) if keep_text or k != text]
+    kinds, names = [to_arrow_type(f.dataType) for f in new], [*(df.columns[k] for k in back), *new.names]
 
     def run(batches):
         import pyarrow as pa
 
         work = make()
         for batch in batches:
-            for part in blocks(batch, text) if batch.num_rows else ():
+            for part in blocks(batch, text, block_bytes) if batch.num_rows else ():
                 made = work([t or "" for t in part.column(text).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, *(c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(made, kinds))], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in back), *(c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(made, kinds))], names=names)
+        getattr(work, "done", released)()
+        del work
+        released()
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))
+    return df.mapInArrow(run, StructType([*(df.schema.fields[k] for k in back), *new.fields]))
 
 
 def folded_out(column, mod: int, rest: int):

@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import bagminhash as bag
-from orrery.llm.common import blocks, renamed, small, with_columns_of_text, without, written
+from orrery.llm.common import blocks, released, renamed, small, with_columns_of_text, without, written
 from orrery.llm.components import components
 
 THRESHOLD = 0.8
 #: Nodes that are checked in one task without cutting the group.
 GROUP = 4_096
+#: Bytes of text that are hashed together: the arrays take about forty times as many.
+BLOCK_BYTES = 1_000_000
 NO_ID = 2**63 - 1
 
 
@@ -55,7 +57,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return work
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    return with_columns_of_text(rows, "text", "digest binary, keys array<bigint>", make).drop("text")
+    return with_columns_of_text(rows, "text", "digest binary, keys array<bigint>", make, BLOCK_BYTES, keep_text=False)
 
 
 def tokens(s: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -140,6 +142,8 @@ def _linked(threshold: float):
                     held.append((node, data))
         if (done := links()) is not None:
             yield done
+        held, done = [], None
+        released()
 
     return run
 
@@ -157,7 +161,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     todo = groups.join(cut, "root").join(nodes.select("digest", "first_id"), F.col("node") == F.col("digest")).select("root", "cuts", "node", "first_id")
     todo = small(written(todo))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("first_id"), F.col(text_col).alias("text")).join(todo, "first_id")
-    bags = with_columns_of_text(rows, "text", "found binary, data binary", _bags).filter("found = node")
+    bags = with_columns_of_text(rows, "text", "found binary, data binary", _bags, BLOCK_BYTES, keep_text=False).filter("found = node")
     # A group without cuts goes to one task; else block p meets every block q: (p, q) in order, or alone where there is one.
     bags = bags.withColumn("p", F.expr("cast(pmod(xxhash64(node), cuts) AS int)")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     bags = bags.filter("cuts = 1 OR p != q").select(F.col("root").alias("comp"), F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", "data")

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import renamed, with_columns_of_text
+from orrery.llm.common import released, renamed, with_columns_of_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -38,7 +38,9 @@ LITERAL = "\0" + MARK
 #: Letters of the Latin script, before whose punctuation words may be cut.
 LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 #: Words that a worker remembers at most; then it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
+#: Between tasks a worker keeps the words of at most so many characters, which are the frequent ones.
+SHORT = 5
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[str, float, str]]:
@@ -183,6 +185,10 @@ class Codec:
         cores.update(self.viterbi(sorted(set().union(*cut).difference(cores))))
         return [b"".join([cores[w] for w in ws]) for ws in cut]
 
+    def forget(self) -> None:
+        """Keeps the short words only."""
+        self.cores = {w: ids for w, ids in self.cores.items() if len(w) <= SHORT}
+
     def decode(self, ids: np.ndarray) -> str:
         surface = self.surface
         if not self.partial[ids].any():
@@ -227,9 +233,10 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", column: s
             ends = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
             return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))]
 
+        work.done = codec.forget
         return work
 
-    return with_columns_of_text(docs, text_col, f"`{column}` array<int>", make)
+    return with_columns_of_text(docs, text_col, f"`{column}` array<int>", make, 4_000_000)
 
 
 def decode(rows: DataFrame, path: str = MODEL, ids_col: str = "ids", column: str = "decoded") -> DataFrame:
@@ -249,6 +256,7 @@ def decode(rows: DataFrame, path: str = MODEL, ids_col: str = "ids", column: str
                 part = batch.slice(k, step)
                 texts = pa.array([codec.decode(x.values.to_numpy() if x.is_valid and len(x) else np.zeros(0, np.int32)) for x in part.column(at)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=names)
+        released()
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(column, StringType())]))
 

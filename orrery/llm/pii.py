@@ -239,8 +239,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: i
     return {"weights": softmax_fit(np.array(x), np.array(y), len(LABELS)).tolist(), "potentials": np.clip(np.log(joint / apart), -2.0, 2.0).tolist()}
 
 
-def find(docs: DataFrame, model: dict | None, text_col: str = "text", base: str = "base_spans", added: str = "added_spans") -> DataFrame:
-    """docs with two arrays of structs (kind, start, stop): base spans and added ones."""
+def find(docs: DataFrame, model: dict | None, text_col: str = "text", base: str = "base_spans", added: str = "added_spans", keep_text: bool = True) -> DataFrame:
+    """docs (without the text unless it is kept) with two arrays of structs (kind, start, stop): base spans and added ones."""
 
     def of():
         def structs(spans):
@@ -253,7 +253,7 @@ def find(docs: DataFrame, model: dict | None, text_col: str = "text", base: str
         return work
 
     kind = "array<struct<kind:string,start:long,stop:long>>"
-    return with_columns_of_text(docs, text_col, f"`{base}` {kind}, `{added}` {kind}", of)
+    return with_columns_of_text(docs, text_col, f"`{base}` {kind}, `{added}` {kind}", of, keep_text=keep_text)
 
 
 def masked(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:

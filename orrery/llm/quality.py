@@ -65,8 +65,8 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text", column: str = "statistics") -> DataFrame:
-    return with_columns_of_text(docs, text_col, f"`{column}` array<double>", lambda: lambda texts: [[statistics(t) for t in texts]])
+def with_statistics(docs: DataFrame, text_col: str = "text", column: str = "statistics", keep_text: bool = True) -> DataFrame:
+    return with_columns_of_text(docs, text_col, f"`{column}` array<double>", lambda: lambda texts: [[statistics(t) for t in texts]], keep_text=keep_text)
 
 
 def moments(rows: DataFrame, x: str, y: str) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -124,7 +124,7 @@ def calibrated(rows: DataFrame, model: dict, x: str = "statistics", y: str = "qu
 def score(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
     """The given columns of docs (default: the id) and a score. Learns from labels whose id is not held out."""
     (x, s) = renamed(docs, "statistics", "score")
-    seen = written(with_statistics(docs, text_col, x).select(*(columns or [id_col]), x))
+    seen = written(with_statistics(docs, text_col, x, keep_text=text_col in (columns or [])).select(*(columns or [id_col]), x))
     train = labels.filter(~folded_out(F.col("doc_id"), 3, 1)).select(F.col("doc_id").alias("labelled_id"), "quality")
     rows = seen.join(train, F.col(id_col) == F.col("labelled_id")).select(x, "quality")
     model = fit(rows, x)

@@ -278,8 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return {"entries": entries, "stems": stems, "weights": logistic(np.array([r["x"] for r in got], float), y).tolist()}
 
 
-def score(docs: DataFrame, model: dict, text_col: str = "text", column: str | None = None) -> DataFrame:
-    """docs with a column of scores from 0 to 1."""
+def score(docs: DataFrame, model: dict, text_col: str = "text", column: str | None = None, keep_text: bool = True) -> DataFrame:
+    """docs (without the text unless it is kept) with a column of scores from 0 to 1."""
     (name,) = [column] if column else renamed(docs, "toxicity")
 
     def scores():
@@ -293,7 +293,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", column: str | No
 
         return lambda texts: [[of(t) for t in texts]]
 
-    return with_columns_of_text(docs, text_col, f"`{name}` double", scores)
+    return with_columns_of_text(docs, text_col, f"`{name}` double", scores, keep_text=keep_text)
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
