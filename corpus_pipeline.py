@@ -33,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, ids, n_tokens, round_trip."""
+    """doc_id, lang, source, n_chars, ids, n_tokens, decoded_sha256, round_trip."""
     return pieces.tokenised(docs)
 
 

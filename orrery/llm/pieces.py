@@ -23,6 +23,7 @@ pieces; a text of any length is one row.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -219,24 +220,31 @@ def _codec(shared) -> Codec:
     return _codecs[key]
 
 
+def _id_lists(ids: list[bytes]):
+    import pyarrow as pa
+
+    ends = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+#: Bytes of text whose words make one trie.
+BLOCK_BYTES = 4_000_000
+
+
 def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", column: str = "ids") -> DataFrame:
     """docs with a column of piece ids."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def make():
-        import pyarrow as pa
-
         codec = _codec(shared)
 
         def work(texts):
-            ids = codec.encode(texts)
-            ends = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))]
+            return [_id_lists(codec.encode(texts))]
 
         work.done = codec.forget
         return work
 
-    return with_columns_of_text(docs, text_col, f"`{column}` array<int>", make, 4_000_000)
+    return with_columns_of_text(docs, text_col, f"`{column}` array<int>", make, BLOCK_BYTES)
 
 
 def decode(rows: DataFrame, path: str = MODEL, ids_col: str = "ids", column: str = "decoded") -> DataFrame:
@@ -262,10 +270,22 @@ def decode(rows: DataFrame, path: str = MODEL, ids_col: str = "ids", column: str
 
 
 def tokenised(docs: DataFrame, path: str = MODEL, text_col: str = "text") -> DataFrame:
-    """docs with ids instead of the text, their number, and whether they decode to the text."""
-    ids, back = renamed(docs, "ids", "decoded")
-    out = decode(encode(docs, path, text_col, ids), path, ids, back)
-    n, ok = renamed(out, "n_tokens", "round_trip")
-    keep = [F.col(c) for c in docs.columns if c != text_col]
-    same = F.col(back) == F.coalesce(F.col(text_col), F.lit(""))
-    return out.select(*keep, ids, F.size(ids).cast("long").alias(n), same.alias(ok))
+    """docs with ids instead of the text, their number, the decoded text's sha256, and whether it is the text.
+
+    Both ways are taken in one worker, so that texts travel once and nothing of them back.
+    """
+    ids, n, digest, ok = renamed(docs, "ids", "n_tokens", "decoded_sha256", "round_trip")
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+
+    def make():
+        codec = _codec(shared)
+
+        def work(texts):
+            found = codec.encode(texts)
+            back = [codec.decode(np.frombuffer(x, "<i4")) for x in found]
+            return [_id_lists(found), [len(x) // 4 for x in found], [hashlib.sha256(t.encode()).hexdigest() for t in back], [a == b for a, b in zip(texts, back)]]
+
+        work.done = codec.forget
+        return work
+
+    return with_columns_of_text(docs, text_col, f"`{ids}` array<int>, `{n}` bigint, `{digest}` string, `{ok}` boolean", make, BLOCK_BYTES, keep_text=False)

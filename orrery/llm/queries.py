@@ -66,8 +66,8 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pieces.decode(pieces.encode(docs))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return pieces.tokenised(docs).select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "decoded_sha256", "round_trip")
+
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_pii, op4_chat, op5_near_dedup, op6_pieces, op7_exact_dedup, op8_url_filter, op9_nearest, op10_toxicity)}
