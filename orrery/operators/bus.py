@@ -55,16 +55,14 @@ def topic(event_type: Column) -> Column:
 
 def ingest(seen: DataFrame | None, arrivals: DataFrame, key: str = "idempotency_key", order: str = "arrival", fails: Column | None = None) -> DataFrame:
     """arrivals with outcome: err, dup (the key was seen, or came earlier) or done. The first arrival of a key wins."""
-    bad = F.coalesce(fails, F.lit(False)) if fails is not None else F.lit(False)
-    rows = arrivals.withColumn("bad", bad | F.col(key).isNull())
-    first = F.min(F.when(~F.col("bad"), F.col(order))).over(Window.partitionBy(key))
-    rows = rows.withColumn("first", first)
+    bad = (F.coalesce(fails, F.lit(False)) if fails is not None else F.lit(False)) | F.col(key).isNull()
+    good = arrivals.filter(~bad).withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    known = F.lit(False)
     if seen is not None:
-        rows = rows.join(seen.select(key).distinct().withColumn("known", F.lit(True)), key, "left")
-    else:
-        rows = rows.withColumn("known", F.lit(None).cast("boolean"))
-    out = F.when(F.col("bad"), "err").when(F.coalesce("known", F.lit(False)) | (F.col(order) > F.col("first")), "dup").otherwise("done")
-    return rows.withColumn("outcome", out).drop("bad", "first", "known")
+        good = good.join(seen.select(key).distinct().withColumn("known", F.lit(True)), key, "left")
+        known = F.coalesce("known", F.lit(False))
+    good = good.withColumn("outcome", F.when(known | (F.col("nth") > 1), "dup").otherwise("done"))
+    return good.select(*arrivals.columns, "outcome").unionByName(arrivals.filter(bad).withColumn("outcome", F.lit("err")))
 
 
 def within(start: str | None, end: str | None, column: str = "occurred_at") -> Column:

@@ -96,7 +96,7 @@ def contracts(s, d):
 
 
 def rings(s, d):
-    rows = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 360 - 180).cast("double").alias("lon"), (F.col("s_suppkey") % 120 - 60).cast("double").alias("lat"))
+    rows = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 340 - 170).cast("double").alias("lon"), (F.col("s_suppkey") % 120 - 60).cast("double").alias("lat"))
     ring = rows.withColumn("ring", geo.buffer(F.col("lon"), F.col("lat")))
     c = geo.centroid(F.col("ring"))
     return ring.select("id", F.size("ring").alias("corners"), geo.is_valid(F.col("ring")).alias("valid"), (F.abs(c[0] - F.col("lon")) < 1e-3).alias("centred"))
