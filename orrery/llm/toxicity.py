@@ -216,8 +216,8 @@ def varied(rows: DataFrame, words: dict, stems: dict, base: float, odds) -> tupl
     """Those of the words and stems that stand in enough different contexts.
 
     Copies of one toxic document make all its words look toxic, but there each stands
-    after the same word. So evidence is told again with no more toxic rows than there
-    are different words before the entry in them.
+    between the same words. So evidence is told again with no more toxic rows than there
+    are different pairs of neighbours of the entry in them.
     """
     entries = [(w, False, *x) for w, x in words.items()] + [(s, True, *x) for s, x in stems.items()]
     at = {(w, is_stem): k for k, (w, is_stem, _, _) in enumerate(entries)}
@@ -225,7 +225,7 @@ def varied(rows: DataFrame, words: dict, stems: dict, base: float, odds) -> tupl
     def found():
         def of(text: str) -> list[str]:
             ws = TOKEN.findall(text.lower())
-            return sorted({f"{at[t]} {before}" for before, w in zip(["", *ws], ws) for t in ((w, False), *((w[:k], True) for k in range(3, 7))) if t in at})
+            return sorted({f"{at[t]} {before} {w} {after}" for before, w, after in zip(["", *ws], ws, [*ws[1:], ""]) for t in ((w, False), *((w[:k], True) for k in range(3, 7))) if t in at})
 
         return lambda texts: [[of(t) for t in texts]]
 
@@ -233,8 +233,8 @@ def varied(rows: DataFrame, words: dict, stems: dict, base: float, odds) -> tupl
     contexts = [set() for _ in entries]
     for x in toxic:
         for hit in x["hits"]:
-            k, _, before = hit.partition(" ")
-            contexts[int(k)].add(before)
+            k, _, context = hit.partition(" ")
+            contexts[int(k)].add(context)
 
     def stands(k: int) -> bool:
         a, b = min(entries[k][2], len(contexts[k])), entries[k][3]

@@ -1,0 +1,306 @@
+"""Edge cases of every operator: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from orrery.llm import ann, chat, exactdup, mixing, neardup, pieces, pii, quality, toxicity, urlfilter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "word and other words here " * 20_000
+ROWS = [
+    (1, "The same text  here\nnow ok", "en", "a", 1),
+    (2, "The same text here now ok", "en", "a", 1),
+    (2, "The same text here now ok", "en", "a", 1),
+    (3, None, "en", "b", None),
+    (4, "", None, "b", 0),
+    (None, "a lonely text without an id", "en", None, 3),
+    (5, LONG, "en", "a", 1),
+    (6, "   \n ", "en", "c", 1),
+    (7, "write to ann.smith@mail.example.com or +1 (555) 555-0100, at 10.0.0.1", "en", "c", 9),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (5, 0, 1), (None, 1, 1), (7, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+def clash(df):
+    """df with columns named like those that operators make."""
+    names = ("size", "target", "copies", "digest", "keep_id", "ids", "n_tokens", "toxicity", "statistics", "score", "own_id", "text_class", "source_key", "again", "rounds")
+    return df.withColumns({n: F.lit("mine") for n in names})
+
+
+def test_exact(docs, empty):
+    got = {(r.doc_id, r.text_sha256): r for r in exactdup.report(docs).collect()}
+    assert {(i, r.keep_id, r.group_size, r.kept) for (i, _), r in got.items()} == {
+        (1, 1, 3, True), (2, 1, 3, False), (3, 3, 2, True), (4, 3, 2, False), (None, None, 1, True), (5, 5, 1, True), (6, 6, 1, True), (7, 7, 1, True)
+    }
+    left = exactdup.dedup(clash(docs))
+    assert left.columns == clash(docs).columns
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 3, 5, 6, 7]
+    assert exactdup.dedup(empty).count() == exactdup.report(empty).count() == 0
+    twice = docs.filter("doc_id = 2")
+    assert exactdup.dedup(twice).count() == 1
+
+
+def test_exact_history(spark, docs):
+    past = spark.createDataFrame([(-5, "The same text here now ok"), (-4, "other")], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.member) for r in exactdup.report(docs, past).collect()}
+    assert got[1] == got[2] == (-5, True)
+    assert got[4] == (3, False)
+    assert sorted(r.doc_id or 0 for r in exactdup.dedup(docs, past).collect()) == [0, 3, 5, 6, 7]
+
+
+def test_perfect_hash():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 5000):
+        digests = rng.integers(0, 256, (n, 32), np.uint8)
+        sizes, bits, slot = exactdup.build_mph(digests)
+        assert sorted(slot) == list(range(n))
+        assert (exactdup.find_slots(digests, sizes, bits) == slot).all()
+
+
+def test_mixing(docs, empty):
+    out, c = mixing.with_copies(clash(docs))
+    rows = out.select("doc_id", "source", *[F.col(v).alias(k) for k, v in c.items()]).collect()
+    assert sum(r["size"] for r in rows if r.doc_id == 1) == 6
+    assert all(r["size"] == 0 for r in rows if r.doc_id in (3, 4, 6))
+    assert all(r["copies"] <= 2 for r in rows)
+    assert [r["size"] for r in rows if r.doc_id is None] == [6]
+    assert mixing.mix(clash(docs)).columns == clash(docs).columns
+    assert mixing.mix(empty).count() == 0
+    nothing = docs.filter("doc_id IN (3, 4)")
+    assert mixing.mix(nothing).count() == 0
+
+
+def test_targets_are_the_loop(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(3):
+        sizes = {f"s{k}": int(rng.integers(0, 10_000)) for k in range(7)}
+        weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes))}
+        want, free, rest = {}, set(sizes), 1.5 * sum(sizes.values())
+        while free:
+            total = sum(weights[s] for s in free)
+            over = {s for s in free if weights[s] * rest / total > 2 * sizes[s]}
+            if not over:
+                want |= {s: weights[s] * rest / total for s in free}
+                break
+            want |= {s: 2.0 * sizes[s] for s in over}
+            rest -= sum(2.0 * sizes[s] for s in over)
+            free -= over
+        got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+        assert all(abs(got[s] - want[s]) < 1e-6 for s in sizes)
+
+
+def test_mixing_comes_near_its_targets(spark):
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 9 + 1).cast("int")).alias("text"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int")).alias("source"))
+    out, c = mixing.with_copies(rows)
+    for r in out.groupBy("source").agg(F.first(c["target"]).alias("t"), F.sum(F.col(c["size"]) * F.col(c["copies"])).alias("n")).collect():
+        assert abs(r.n - r.t) < 0.03 * r.t
+
+
+def test_quality(docs, empty, labels):
+    got = quality.score(docs, labels).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
+    assert [r.score for r in quality.score(docs, labels.filter("quality = 1")).collect()] == [0.5] * len(ROWS)
+    assert quality.score(empty, labels).count() == 0
+    assert len(quality.statistics("")) == len(quality.statistics(LONG)) == len(quality.STATISTICS)
+
+
+def test_quality_density(spark):
+    rng = np.random.default_rng(4)
+    d = len(quality.STATISTICS)
+    a = rng.normal(size=(d, d))
+    part = {"mean": rng.normal(size=d).tolist(), "inverse": np.linalg.inv(np.linalg.cholesky(a @ a.T + np.eye(d))).tolist(), "constant": 0.3}
+    x = rng.normal(size=d)
+    got = spark.createDataFrame([(x.tolist(),)], "statistics array<double>").select(quality.density("statistics", part).alias("z")).first().z
+    diff = x - part["mean"]
+    assert abs(got - (0.3 - diff @ np.linalg.inv(a @ a.T + np.eye(d)) @ diff / 2)) < 1e-8
+
+
+def test_pii(docs, empty):
+    model = pii.fit(docs)
+    got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.base_spans] for r in pii.find(docs, model).collect()}
+    assert [k for k, _, _ in got[7]] == ["email", "phone", "ip"]
+    assert got[3] == got[4] == got[5] == []
+    assert pii.find(empty, None).count() == 0 and pii.fit(empty) is None
+    masked = {r.doc_id: r.text for r in pii.masked(docs, None).collect()}
+    assert masked[7] == "write to <email> or <phone>, at <ip>" and masked[3] is None
+
+
+def test_pii_field_is_consistent():
+    base = "call 4111 1111 1111 1111 now. " + "filler words between. " * 30 + "again 4111111111111111"
+    assert [k for _, k, _ in pii.base_spans(base)] == [2, 2]
+    unary = np.log(np.array([[0.5, 0.5], [0.01, 0.99], [0.6, 0.4]]))
+    same = np.log(np.array([[0.9, 0.1], [0.1, 0.9]]))[None]
+    pairs = np.array([[0, 1, 0], [1, 2, 0]])
+    got = pii.propagate(unary, pairs, same)
+    want = np.zeros((3, 2))
+    for a in (0, 1):
+        for b in (0, 1):
+            for c in (0, 1):
+                p = np.exp(unary[0, a] + unary[1, b] + unary[2, c] + same[0, a, b] + same[0, b, c])
+                want[0, a] += p
+                want[1, b] += p
+                want[2, c] += p
+    assert np.abs(got - want / want.sum(axis=1, keepdims=True)).max() < 1e-3  # exact on a tree
+
+
+def test_chat(spark):
+    said = "\\### Assistant: </turn> ok"
+    form = chat.Format()
+    for text in (said, "", " </turn>\n", "\\", "\\\\### User: ", "### Role \"x\": a </turn>\n### System: b", "</turn", "é" * 1000):
+        for role in ("user", "assistant", "", "odd \"role\""):
+            out = "".join(s for s, _ in form.turn(role, text))
+            assert list(form.parse(out + out)) == [(role, text)] * 2
+    rows = spark.createDataFrame([(1, 1, "assistant", said), (1, 0, "user", None), (2, 0, "assistant", "x"), (None, 0, "user", "y"), (None, None, None, "z"), (3, 0, "user", "a"), (3, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digests(rows).collect()}
+    assert (got[1].n_turns, got[1].loss_chars, got[1].valid, got[1].refused_at) == (2, len(said), True, None)
+    assert (got[2].valid, got[2].refused_at) == (False, 0)
+    assert got[3].n_turns == 2 and got[None].n_turns == 2 and not got[3].valid
+    segments = chat.segments(rows).filter("conv_id = 1").orderBy("turn_no", "part").collect()
+    assert list(form.parse("".join(s.segment for s in segments))) == [("user", ""), ("assistant", said)]
+    assert [s.loss for s in segments] == [False, False, False, False, True, False]
+    assert chat.digests(rows.limit(0)).count() == 0
+
+
+def test_near(docs, empty):
+    got = {(r.doc_id, r.class_id, r.class_size) for r in neardup.report(docs).collect()}
+    assert {(1, 1, 3), (2, 1, 3), (3, 3, 3), (4, 3, 3), (6, 3, 3), (None, None, 1), (5, 5, 1), (7, 7, 1)} == got
+    left = neardup.dedup(clash(docs))
+    assert left.columns == clash(docs).columns
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 3, 5, 7]
+    assert neardup.dedup(empty).count() == 0
+
+
+def test_near_in_blocks(spark, monkeypatch):
+    """A group that is cut into blocks has the classes of brute force."""
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for k in rng.integers(0, 200, rng.integers(0, 7)):
+            t[k] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id: r.class_id for r in neardup.link(df).collect()}
+    monkeypatch.setattr(neardup, "GROUP", 7)
+    assert {r.doc_id: r.class_id for r in neardup.link(df).collect()} == want
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    cls = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(cls[a], cls[b]), min(cls[a], cls[b])
+                cls = [new if c == old else c for c in cls]
+    assert want == dict(enumerate(cls))
+
+
+def test_pieces(spark, docs, empty):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = ["", " ", "Hello  world.\n\tx é 日本 🙂 ", "don't; stop!! <s> <0x0A> 3.14,5", "a" * 500, "▁ is kept ▁▁"]
+    codec = pieces.Codec(pieces.vocabulary())
+    for t, x in zip(texts, codec.encode(texts)):
+        ids = np.frombuffer(x, "<i4")
+        assert codec.decode(ids) == t
+        if pieces.MARK not in t:
+            assert ids.tolist() == library.encode(t)
+    out = pieces.tokenised(clash(docs))
+    assert out.filter("NOT round_trip").count() == 0 and out.count() == len(ROWS)
+    back = pieces.decode(pieces.encode(docs))
+    assert back.filter("decoded = coalesce(text, '')").count() == len(ROWS)
+    assert pieces.tokenised(empty).count() == 0
+
+
+def test_urls(spark):
+    rows = [(1, "https://WWW.Example.com/en/x?q#f"), (2, "http://a.example.com/en/1"), (3, "http://b.net/fr/"), (4, "http://b.org/a/b?x"), (5, None), (6, "no scheme"), (7, "x://é.com"), (7, "x://é.com")]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[1] == ("www.example.com", "/en/x", "www.example.com/en/", "allow")
+    assert got[2][2:] == ("example.com/en/", "block") and got[3][2:] == ("net/fr/", "block")
+    assert got[4][:3] == ("b.org", "/a/b", None) and got[5][:3] == got[6][:3] == ("", "", None)
+    assert got[7][:3] == ("é.com", "", None)
+    few = spark.createDataFrame([(1, "http://b.org/")], "page_id long, url string")
+    assert [r.verdict for r in urlfilter.judge(few).collect()] == ["allow"]
+    assert urlfilter.judge(few.limit(0)).count() == 0
+    assert urlfilter.keep(few.withColumn("host", F.lit("mine"))).columns == ["page_id", "url", "host"]
+
+
+def test_url_model_learns(spark):
+    rows = [(k, f"http://s{k}.com/shop/item{k}") for k in range(60)] + [(100 + k, f"http://s{k}.net/fr/casino{k}") for k in range(60)] + [(300, "http://z.org/shop/item5"), (301, "http://z.org/xx/casino")]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert (got[300], got[301]) == ("allow", "block")
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(400, 16)).round(2).tolist()
+    v[100], v[200] = v[0], v[0]
+    rows = [(k, [float(x) for x in y]) for k, y in enumerate(v)] + [(500, None), (600, [0.0] * 16), (700, [float("nan")] * 16), (800, [1.0]), (900, [None] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    x, hits = np.array(v), 0
+    for q in (0, 100, 200, 300):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(400), d))[:10].tolist()
+        hits += len({k for k, _ in got[q]} & set(want))
+        assert all(abs(s - d[k]) < 1e-12 for k, s in got[q])
+    assert set(got) == {0, 100, 200, 300} and hits >= 36
+    assert [k for k, _ in got[0]][:2] == [100, 200]
+    three = df.filter("vec_id < 3")
+    assert sorted(r.vec_id for r in ann.search(three, F.col("vec_id") == 0, tables=60, probes=32).collect()) == [1, 2]
+    assert ann.search(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_rotation_keeps_lengths():
+    x = np.random.default_rng(8).normal(size=(5, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.abs(np.linalg.norm(ann.rotate(x.astype(np.float32), 3), axis=1) - 1).max() < 1e-5
+
+
+def test_toxicity(spark, docs, empty, labels):
+    assert [r.toxicity for r in toxicity.score(docs, {"entries": {}, "stems": {}, "weights": None}).collect()] == [0.0] * len(ROWS)
+    assert toxicity.clean(clash(docs), labels).columns == clash(docs).columns
+    assert toxicity.clean(empty, labels).count() == 0
+    rows = [(k, f"{a} word{k} the next, you {'grumpf' if k % 4 == 0 else 'nice'} thing{''.join(chr(97 + int(c)) for c in str(k))}. {a} more", "en", "s", 1) for k in range(400) for a in (f"w{k * 7 % 31}",)]
+    df = spark.createDataFrame(rows, DOCS)
+    known = df.select("doc_id", F.lit(1).alias("quality"), F.col("text").contains("grumpf").cast("int").alias("toxic"))
+    model = toxicity.fit(df, known)
+    assert list(model["entries"]) == ["grumpf"]
+    wrong = toxicity.score(df, model).filter("(toxicity >= 0.5) != (text LIKE '%grumpf%')").count()
+    assert wrong == 0
+
+
+def test_grammar():
+    g = toxicity.Grammar({"oaf": 1.0}, {"blurg": 2.0})
+    kinds = lambda t: dict(zip(toxicity.KINDS, (x > 0 for x in g.features(t))))
+    assert kinds("an OAF!") == {"plain": True, "negated": False, "reported": False, "aimed": False, "threat": False}
+    assert kinds("you oaf")["aimed"] and kinds("not an oaf")["negated"] and kinds("he wrote that one is an oaf")["reported"]
+    assert kinds("i kill you")["threat"] and not any(kinds("kill time. you").values())
+    assert kinds("blurgish")["plain"] and not any(kinds("loaf").values())
+
+
+def test_pipeline(spark, data, docs, empty):
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, data).columns == docs.columns
+        assert stage(spark, empty, data).count() == 0
+    out = corpus_pipeline.run(spark, data)
+    assert out.filter("NOT round_trip").count() == 0 and out.count() > 0
