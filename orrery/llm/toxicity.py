@@ -37,6 +37,8 @@ MAX_ENTRIES = 2_000
 REACH = 4
 #: An entry's share of toxic documents must be this high, and this improbable by chance (natural log).
 PRECISION, EVIDENCE = 0.9, math.log(1e6)
+#: Largest intercept: a document in which nothing matches is never called toxic.
+NO_MATCH = -1.0
 
 #: Fixed word lists in English, French, German and Spanish.
 TARGETS = "you your yours yourself he she they them him her tu toi vous il elle ils elles du dich dir ihr euch er sie usted ustedes ellos ellas tú ti".split()
@@ -275,7 +277,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     y = np.array([r["y"] for r in got], float)
     if not len(y) or y.min() == y.max():
         return {"entries": {}, "stems": {}, "weights": None}
-    return {"entries": entries, "stems": stems, "weights": logistic(np.array([r["x"] for r in got], float), y).tolist()}
+    weights = logistic(np.array([r["x"] for r in got], float), y)
+    weights[-1] = min(weights[-1], NO_MATCH)
+    return {"entries": entries, "stems": stems, "weights": weights.tolist()}
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", column: str | None = None, keep_text: bool = True) -> DataFrame:
