@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import exactdup, mixing, neardup, pieces, toxicity
-from orrery.llm.common import table, written
+from orrery.llm.common import drop_tables, table, tables, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +51,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    mark = len(tables)
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        drop_tables(spark, mark, docs)  # what the stage left, and what it read
     return STAGES[-1][1](spark, docs, sf_dir)

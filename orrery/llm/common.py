@@ -32,14 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Paths of the tables that this process has written and not dropped.
+tables: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orrery/{uuid.uuid4().hex}"
+    tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes the tables written since a length of `tables`, but for the one that keep reads.
+
+    Results of operators read such tables until they are written themselves.
+    """
+    kept = set(keep.inputFiles()) if keep is not None else set()
+    jvm = spark.sparkContext._jvm
+    for path in tables[since:]:
+        if not any(path.rpartition("/")[2] in f for f in kept):
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            tables.remove(path)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is (then the join shuffles)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
