@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orrery.plans import alerts, evidence, retrieval, series
+from orrery.plans import alerts, evidence, more, retrieval, series
 
-PARTS = (alerts, evidence, retrieval, series)
+PARTS = (alerts, evidence, retrieval, series, more)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
