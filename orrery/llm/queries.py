@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.digests(rows.unionByName(more))
+    return chat.digests(rows.unionByName(more)).drop("refused_at")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +74,46 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_pii, op4_chat, op5_near_dedup, op6_pieces, op7_exact_dedup, op8_url_filter, op9_nearest, op10_toxicity)}
 
+_MARKS = "|".join(re.escape(m).replace("\\ ", " ").replace("\\#", "#").replace("\n", "\\n") for m in chat.CHAT.marks())
+_RULES = sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))
+_FITS = lambda what: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if what else a}'" for a, h, p in _RULES) + " END"
+_ORDERS = "".join(
+    f""", o{k} AS (SELECT gram, allow, block, (sum(allow) OVER (PARTITION BY substr(gram, {5 - k}, {k})) + 2.0::DOUBLE * pa) / (sum(allow) OVER (PARTITION BY substr(gram, {5 - k}, {k - 1})) + 2.0::DOUBLE) AS pa,
+  (sum(block) OVER (PARTITION BY substr(gram, {5 - k}, {k})) + 2.0::DOUBLE * pb) / (sum(block) OVER (PARTITION BY substr(gram, {5 - k}, {k - 1})) + 2.0::DOUBLE) AS pb FROM o{k - 1})"""
+    for k in (2, 3, 4)
+)
+
 ORACLES = {
+    "op4_chat": rf"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), s AS (
+  SELECT *, CASE role WHEN 'system' THEN 'S' WHEN 'user' THEN 'U' WHEN 'assistant' THEN 'A' WHEN 'tool' THEN 'T' ELSE 'X' END AS code,
+    CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN len('### ' || role || ': ') ELSE len('### Role ' || to_json(role)::VARCHAR || ': ') END
+      + len(regexp_replace(t, '(\\|{_MARKS})', '\\\1', 'g')) + len(' </turn>_') AS chars FROM r
+), a AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
+    CAST(coalesce(sum(len(t)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars, string_agg(code, '' ORDER BY turn NULLS FIRST, role, t) AS codes
+  FROM s GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, regexp_full_match(codes, 'S?UA([UT]A)*') AS valid FROM a""",
+    "op8_url_filter": rf"""
+WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+j AS (SELECT *, {_FITS(True)} AS rule, {_FITS(False)} AS action FROM h),
+u AS (SELECT host, path, action, count(*) AS n, '^^^' || regexp_replace(regexp_replace(lower(host || path), '[0-9]', '0', 'g'), '[^a-z0./_-]', '~', 'g') || '$' AS padded FROM j GROUP BY host, path, action),
+g AS (SELECT host, path, action, n, substr(padded, i, 4) AS gram FROM (SELECT *, unnest(range(1, len(padded) - 2)) AS i FROM u)),
+c AS (SELECT gram, coalesce(sum(n) FILTER (WHERE action = 'allow'), 0)::DOUBLE AS allow, coalesce(sum(n) FILTER (WHERE action = 'block'), 0)::DOUBLE AS block FROM g GROUP BY gram),
+l AS (SELECT substr(gram, 4, 1) AS last, sum(allow) AS a, sum(block) AS b FROM c GROUP BY 1),
+l1 AS (SELECT last, (a + 2.0::DOUBLE / {urlfilter.SYMBOLS}) / (sum(a) OVER () + 2.0::DOUBLE) AS pa, (b + 2.0::DOUBLE / {urlfilter.SYMBOLS}) / (sum(b) OVER () + 2.0::DOUBLE) AS pb FROM l),
+o1 AS (SELECT c.*, pa, pb FROM c JOIN l1 ON last = substr(gram, 4, 1)){_ORDERS},
+s AS (SELECT host, path, action, avg(ln(pa) - ln(pb)) AS score FROM g JOIN o4 USING (gram) GROUP BY host, path, action),
+m AS (SELECT avg(score) FILTER (WHERE action = 'allow') AS ma, avg(score) FILTER (WHERE action = 'block') AS mb, coalesce(stddev(score) FILTER (WHERE action = 'allow'), 0) AS da, coalesce(stddev(score) FILTER (WHERE action = 'block'), 0) AS db FROM s)
+SELECT page_id, j.host, j.path, j.rule, coalesce(j.action, CASE WHEN ma IS NULL OR mb IS NULL OR score >= (ma * (db + 1e-9) + mb * (da + 1e-9)) / (da + db + 2e-9) THEN 'allow' ELSE 'block' END) AS verdict
+FROM j JOIN s ON j.host = s.host AND j.path = s.path, m""",
     "op1_mixing": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents

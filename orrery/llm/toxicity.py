@@ -165,7 +165,8 @@ def sample(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
     pick = lambda y, n: rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
     few = pick(1, MAX_TOXIC).unionByName(pick(0, MAX_CLEAN)).withColumnRenamed("doc_id", "labelled_id")
     # At most MAX_TOXIC + MAX_CLEAN pairs of numbers.
-    return docs.join(F.broadcast(few), F.col("doc_id") == F.col("labelled_id")).select("text", F.col("y").cast("int").alias("y"))
+    rows = docs.select(F.col("doc_id").alias("own_id"), "text")
+    return rows.join(F.broadcast(few), F.col("own_id") == F.col("labelled_id")).select("text", F.col("y").cast("int").alias("y"))
 
 
 def _terms(batches):
