@@ -180,7 +180,7 @@ def all_spans(texts: list[str], model: dict | None) -> list[tuple[list, list]]:
                 found += own
         if found:
             weights = np.array(model["weights"])
-            unary = np.array([shape(texts[i][s:e][:200]) for i, (s, e, _) in zip(where, found)]) @ weights.T
+            unary = np.array([shape(texts[i][s:e]) for i, (s, e, _) in zip(where, found)]) @ weights.T
             label = np.array([x for _, _, x in found])
             known = label >= 0
             unary[known] = -30.0
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: i
     def of():
         def one(t: str):
             own = nodes(t, base_spans(t))
-            return [[float(max(0, x)), *shape(t[s:e][:200])] for s, e, x in own], [list(p) for p in links(t, own, 0)]
+            return [[float(max(0, x)), *shape(t[s:e])] for s, e, x in own], [list(p) for p in links(t, own, 0)]
 
         return lambda texts: list(zip(*(one(t) for t in texts)))
 
