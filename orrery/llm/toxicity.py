@@ -278,9 +278,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     y = np.array([r["y"] for r in got], float)
     if not len(y) or y.min() == y.max():
         return {"entries": {}, "stems": {}, "weights": None}
-    weights = logistic(np.array([r["x"] for r in got], float), y)
-    weights[-1] = min(weights[-1], NO_MATCH)
-    return {"entries": entries, "stems": stems, "weights": weights.tolist()}
+    x = np.array([r["x"] for r in got], float)
+    # Kinds of insults are fitted as differences from insults as such: where rows do not
+    # show that negation or report excuses one, it counts like any other.
+    w = logistic(np.column_stack([x[:, :4].sum(axis=1), x[:, 1:]]), y)
+    weights = [w[0], w[0] + w[1], w[0] + w[2], w[0] + w[3], w[4], min(w[5], NO_MATCH)]
+    return {"entries": entries, "stems": stems, "weights": [float(v) for v in weights]}
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", column: str | None = None, keep_text: bool = True) -> DataFrame:
