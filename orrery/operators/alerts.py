@@ -185,19 +185,23 @@ def limit(attempts: DataFrame, most: int | None, order: Sequence[str] = ("pos",
 
     Sends in order; only successful ones use up a budget. With one limit per channel this
     is a closed form: a row is a candidate if it is among its channel's first `limit` of
-    known type, and global sends before it are the candidates before it. The running sum
-    over all rows is made of sums by range of the order, so no task sees all rows.
+    known type, and global sends before it are the candidates before it. Both running counts
+    are made of sums by range of the order, so no task sees all rows of a channel or of all.
     """
     known = F.col("channel_type").isin(*KNOWN_TYPES)
-    by_channel = Window.partitionBy("channel_id", known).orderBy(*order)
-    nth = F.row_number().over(by_channel)
-    routed = attempts.filter("route_id IS NOT NULL").withColumn("nth", nth)
+    earlier = lambda *by: Window.partitionBy(*by).orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
+    within_slab = lambda *by: Window.partitionBy(*by, "slab").orderBy(*order)
+    routed = attempts.filter("route_id IS NOT NULL").withColumns({"known": known, "slab": F.floor(F.col(order[0]) / SLAB)})
+    # One row per channel and SLAB positions.
+    per = routed.filter("known").groupBy("channel_id", "slab").agg(F.count("*").alias("in_slab"))
+    per = per.select("channel_id", "slab", F.coalesce(F.sum("in_slab").over(earlier("channel_id")), F.lit(0)).alias("channel_before"))
+    routed = routed.join(per, ["channel_id", "slab"], "left").withColumn("nth", F.col("channel_before") + F.row_number().over(within_slab("channel_id", "known")))
     within = F.coalesce(F.col("nth") <= F.col("channel_limit"), F.lit(True))
-    routed = routed.withColumns({"candidate": (known & within).cast("int"), "slab": F.floor(F.col(order[0]) / SLAB)})
-    sums = routed.groupBy("slab").agg(F.sum("candidate").alias("in_slab"))
+    routed = routed.withColumn("candidate", (known & within).cast("int"))
     # One row per SLAB positions.
-    before = sums.withColumn("slabs_before", F.coalesce(F.sum("in_slab").over(Window.orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("in_slab")
-    inside = Window.partitionBy("slab").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = routed.groupBy("slab").agg(F.sum("candidate").alias("in_slab"))
+    before = sums.select("slab", F.coalesce(F.sum("in_slab").over(earlier(F.lit(0))), F.lit(0)).alias("slabs_before"))
+    inside = within_slab().rowsBetween(Window.unboundedPreceding, -1)
     running = routed.join(before, "slab").withColumn("sent_before", F.col("slabs_before") + F.coalesce(F.sum("candidate").over(inside), F.lit(0)))
     status = (
         F.when(F.lit(most is not None) & (F.col("sent_before") >= F.lit(most if most is not None else 0)), "global_rate_limited")

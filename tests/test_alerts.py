@@ -97,8 +97,9 @@ def test_dedupe_is_the_loop(spark, seed):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_limiter_is_the_loop(spark, seed):
+def test_limiter_is_the_loop(spark, seed, monkeypatch):
     rng = random.Random(seed)
+    monkeypatch.setattr(alerts, "SLAB", rng.choice([3, 10, 1000]))
     channels = [Channel("a", "webhook", 3), Channel("b", "email", None), Channel("c", "pager", 2)]
     routes = [Route("r0", tuple(rng.sample(channels, 2)), topics=("x",)), Route("r1", tuple(rng.sample(channels, 1)), topics=("x", "y"))]
     topics = [rng.choice("xyz") for _ in range(40)]
