@@ -39,23 +39,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of all texts, and where each text's words begin (one more entry at the end)."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words in bytes that begin and end between words."""
     white = _WHITE[data]
-    before = np.r_[True, white[:-1]]
-    starts = np.flatnonzero(~white & before)
-    begins = np.r_[0, np.cumsum([len(r) + 1 for r in raw])]
-    bounds = np.searchsorted(starts, begins)
+    starts = np.flatnonzero(~white & np.r_[True, white[:-1]])
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
+        return np.zeros(0, np.uint64), starts
     first = np.zeros(len(data), np.int64)
     first[starts] = starts
     place = np.arange(len(data)) - np.maximum.accumulate(first)
     values = _BYTE[data] * _PLACE[place & 4095]
     values[white] = 0
-    return mixed(np.add.reduceat(values, starts)), bounds
+    return mixed(np.add.reduceat(values, starts)), starts
+
+
+#: Bytes whose words are hashed at a time; a longer text is cut between words, so it needs no more memory for this.
+AT_ONCE = 1_000_000
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of all texts, and where each text's words begin (one more entry at the end)."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    begins = np.r_[0, np.cumsum([len(r) + 1 for r in raw])]
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        stop = min(len(data), at + AT_ONCE)
+        if stop < len(data):
+            while stop < len(data) and not _WHITE[data[stop - 1]]:
+                ends = np.flatnonzero(_WHITE[data[stop : stop + AT_ONCE]])
+                stop = stop + int(ends[0]) + 1 if len(ends) else min(len(data), stop + AT_ONCE)
+        h, s = _hashed(data[at:stop])
+        hashes.append(h)
+        starts.append(s + at)
+        at = stop
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), begins)
 
 
 def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -92,6 +92,17 @@ def test_signature_is_unbiased():
     assert abs(np.mean(errors)) < 0.02
 
 
+def test_word_hashes_in_parts(monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(["a", "bb", " ", "\n", "éé", "c" * 40], rng.integers(0, 60))) for _ in range(50)]
+    want = bagminhash.word_hashes(texts)
+    for most in (1, 7, 64):
+        monkeypatch.setattr(bagminhash, "AT_ONCE", most)
+        got = bagminhash.word_hashes(texts)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    assert [b - a for a, b in zip(want[1], want[1][1:])] == [len(re.findall("[^\\x20\\x09-\\x0d]+", t)) for t in texts]
+
+
 def test_nearest(spark, data):
     rows = spark.read.parquet(f"{data}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
