@@ -44,7 +44,7 @@ def ols(s, d):
 
 def scm_sums(s, d):
     sums = series.normal_sums(ols(s, d)[0])
-    return sums.select("asset_id", "n", *[F.round(c, 4).alias(c) for c in sums.columns if c not in ("asset_id", "n")])
+    return sums.select("asset_id", "n", *[F.round(c, 6).alias(c) for c in sums.columns if c not in ("asset_id", "n")])
 
 
 def what_if(s, d):
@@ -165,7 +165,7 @@ ORACLES = {
       SELECT asset_id, CAST(policy_date AS VARCHAR) AS policy_date, pre_days, post_days, round(m, 6) AS yhat, round((s - post_days * m) / post_days, 6) AS avg_effect, round(s - post_days * m, 6) AS cum_effect, true AS used_fallback FROM e WHERE pre_days >= 7""",
     "series_filled": f"""{_R}, g AS (SELECT asset_id, date, CASE WHEN obs % 3 <> 0 THEN round(temp_c, 6) END AS t FROM daily)
       SELECT asset_id, CAST(date AS VARCHAR) AS date, coalesce(last_value(t IGNORE NULLS) OVER (PARTITION BY asset_id ORDER BY date), first_value(t IGNORE NULLS) OVER (PARTITION BY asset_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS temp_c FROM g""",
-    "scm_ols_sums": f"{_R}{_X} SELECT asset_id, count(*) AS n, " + ", ".join(f"round(sum({a} * {b}), 4) AS {a}_{b}" for a, b in _PAIRS) + " FROM x GROUP BY 1",
+    "scm_ols_sums": f"{_R}{_X} SELECT asset_id, count(*) AS n, " + ", ".join(f"round(sum({a} * {b}), 6) AS {a}_{b}" for a, b in _PAIRS) + " FROM x GROUP BY 1",
     "ndvi_change": f"{_PIXELS} SELECT aoi_id, row, col, round(diff, 9) AS diff, round(score, 9) AS score FROM sc",
     "percentile_mask": f"{_PIXELS}{_MASK} SELECT aoi_id, changed, total, round(changed / total, 9) AS changed_frac FROM m",
     "raster_grey": f"{_PIXELS} SELECT aoi_id, 'before' AS timing, row, col, round(0.2989 * r0 + 0.5870 * n0, 9) AS value FROM p UNION ALL SELECT aoi_id, 'after', row, col, round(0.2989 * r1 + 0.5870 * n1, 9) FROM p",
