@@ -106,6 +106,10 @@ ORACLES = {
     "alert_unmatched": f"{_W} SELECT {_PLAIN} FROM ev WHERE pos NOT IN (SELECT pos FROM matched)",
     "alert_dedupe_ttl": f"{_W}{_DEDUPE} SELECT subscription_id, id, status FROM dd",
     "alert_dedupe_metrics": f"{_W}{_DEDUPE} SELECT count(*) AS input, count(*) FILTER (WHERE status = 'kept') AS kept, count(*) FILTER (WHERE status <> 'kept') AS suppressed FROM dd",
+    "alert_flapping": f"""{_W}, k AS (SELECT pos, subscription_id, asset_id, rule_type, severity, CAST(epoch(date_trunc('second', moment)) AS BIGINT) AS t FROM matched),
+      l AS (SELECT *, lag(severity) OVER w AS before, lag(t) OVER w AS t0 FROM k WINDOW w AS (PARTITION BY subscription_id, asset_id, rule_type ORDER BY pos)),
+      n AS (SELECT e.pos, count(c.pos) AS changes FROM l e LEFT JOIN l c ON c.subscription_id = e.subscription_id AND c.asset_id = e.asset_id AND c.rule_type = e.rule_type AND c.pos <= e.pos AND c.before <> c.severity AND c.t0 >= e.t - 259200 GROUP BY 1)
+      SELECT CASE WHEN changes > 3 THEN 'flapping' ELSE 'kept' END AS status, count(*) AS n FROM n GROUP BY 1""",
     "alert_flap_changes": f"""{_W}, c AS (SELECT *, CASE WHEN lag(severity) OVER w <> severity THEN 1 ELSE 0 END AS changed FROM matched WINDOW w AS (PARTITION BY subscription_id, asset_id ORDER BY moment, pos))
       SELECT subscription_id, id, CAST(sum(changed) OVER (PARTITION BY subscription_id, asset_id ORDER BY epoch(moment)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS BIGINT) AS changes FROM c""",
     "alert_routes": f"{_W}{_ROUTED} SELECT subscription_id, id, route_id, channel_id FROM routed",

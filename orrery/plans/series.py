@@ -74,7 +74,7 @@ def bundles(s, d):
 
 def verified(s, d):
     out = proof.issue(bundles(s, d), "secret")
-    spoilt = out.withColumns({"decision": F.when(F.xxhash64("bundle_id") % 5 == 0, "fail").otherwise(F.col("decision")), "signature": F.when(F.xxhash64("bundle_id") % 7 == 0, "00").otherwise(F.col("signature"))})
+    spoilt = out.withColumns({"decision": F.when(F.col("bundle_id") < "3", "fail").otherwise(F.col("decision")), "signature": F.when(F.substring("bundle_id", 2, 1) < "3", "00").otherwise(F.col("signature"))})
     return proof.verify(spoilt, "secret").groupBy(F.array_join("reasons", "; ").alias("reasons"), "valid").agg(F.count("*").alias("n"))
 
 
@@ -175,6 +175,11 @@ ORACLES = {
       SELECT id, round(a, 9) AS x0, round(c, 9) AS y0, round(b, 9) AS x2, round(d, 9) AS y2, round(abs(b - a) * 111.32 * cos(radians((c + d) / 2)) * abs(d - c) * 111.32, 6) AS km2 FROM x""",
     "bundle_issue": f"{_BUNDLES} SELECT pdf_hash, sha256(payload) AS bundle_id, {_HMAC} AS signature, decision FROM j",
     "bundle_list": f"{_BUNDLES}, f AS (SELECT *, count(*) OVER () AS total, sha256(payload) AS bundle_id FROM j WHERE decision = 'pass' AND contains(lower(sha256(payload) || pdf_hash || feature_commit || model_id), 'urgent')) SELECT pdf_hash, model_id, issued_at, total FROM f ORDER BY issued_at DESC, bundle_id DESC LIMIT 20 OFFSET 5",
+    "bundle_verify": f"""{_BUNDLES}, i AS (SELECT *, sha256(payload) AS bundle_id FROM j),
+      v AS (SELECT array_to_string(list_filter([CASE WHEN bundle_id < '3' AND decision = 'pass' THEN '{proof.WRONG_DECISION}' END, CASE WHEN substr(bundle_id, 2, 1) < '3' THEN '{proof.WRONG_SIGNATURE}' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM i)
+      SELECT reasons, reasons = '' AS valid, count(*) AS n FROM v GROUP BY 1, 2""",
+    "feature_commit": f"""WITH p AS (SELECT vec_id, '{{"features":[' || array_to_string(list_transform(embedding[1:8], lambda x: CAST(round_even(x::DOUBLE, 4) AS VARCHAR)), ',') || '],"model_id":"m","precision":4}}' AS payload FROM embeddings)
+      SELECT vec_id, sha256(payload) AS payload_sha256, sha256('{proof.COMMIT_DOMAIN}' || chr(31) || payload) AS commit_sha256 FROM p""",
     "idempotent_ingest": """WITH a AS (SELECT event_id, event_type, 'key-' || user_id || '-' || event_type AS k FROM events), seen AS (SELECT DISTINCT 'key-' || (user_id + 100) || '-' || event_type AS k FROM events WHERE event_id % 50 = 0),
       f AS (SELECT k, min(event_id) AS f FROM a WHERE event_type <> 'error' GROUP BY 1)
       SELECT event_id AS arrival, CASE WHEN event_type = 'error' THEN 'err' WHEN seen.k IS NOT NULL OR event_id > f THEN 'dup' ELSE 'done' END AS outcome FROM a LEFT JOIN f USING (k) LEFT JOIN seen USING (k)""",
