@@ -76,7 +76,18 @@ _TOK = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 _CITED = f"""WITH t AS (SELECT conv_id, turn, {_TOK.format('text')} AS k FROM conversations WHERE role = 'user'),
  x AS (SELECT list_distinct(k[1:6]) AS p, list_distinct(k[4:9]) AS g FROM t), y AS (SELECT len(list_intersect(p, g)) AS h, len(p) AS np, len(g) AS ng FROM x),
  z AS (SELECT *, CASE WHEN np = 0 AND ng = 0 THEN 1.0 WHEN np = 0 THEN 0.0 ELSE h / np END AS p, CASE WHEN np = 0 AND ng = 0 THEN 1.0 WHEN ng = 0 THEN 0.0 ELSE h / ng END AS r FROM y)"""
+_SENT = """, d AS (SELECT DISTINCT doc_sha256, lang, text FROM doc_index),
+ s AS (SELECT doc_sha256, lang, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?؟۔])\\s+([A-Za-z0-9؀-ۿ])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM d),
+ q AS (SELECT doc_sha256, lang, unnest(range(len(parts))) AS i, parts FROM s), sent AS (SELECT doc_sha256, lang, 1 AS page, CAST(i AS INTEGER) AS n, parts[i + 1] AS sentence FROM q)"""
 ORACLES = {
+    "sentences": f"{_W}{_SENT} SELECT DISTINCT doc_sha256, page, n, sentence FROM sent",
+    "doc_clauses": f"""{_W}{_SENT.replace("SELECT DISTINCT doc_sha256, lang, text", "SELECT doc_sha256, lang, text")}
+      SELECT doc_sha256, page, lang, n, sentence AS text, k AS clause_type FROM sent JOIN (VALUES ('metric', 'with'), ('permit', 'und'), ('operational', 'que'), ('policy', 'les')) c(k, w)
+      ON lang = 'en' AND regexp_matches(sentence, '(^|[^\\p{{L}}\\p{{N}}_])(?i:' || w || ')($|[^\\p{{L}}\\p{{N}}_])')""",
+    "draft_jaccard": f"""WITH r AS (SELECT item_id AS pos, string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM benchmark),
+      q AS (SELECT pos, unnest(range(len(parts))) AS n, parts FROM r), t AS (SELECT pos, n, trim(parts[n + 1]) AS sentence, {_TOK.format('parts[n + 1]')} AS k, ['the', 'and', 'with', 'that', 'from'] AS a FROM q),
+      v AS (SELECT *, (len(list_intersect(k, a)) + 0.5) / (len(list_distinct(list_concat(k, a))) + 0.5) AS score, substr(array_to_string(k, ' '), 1, 80) AS same FROM t WHERE len(k) > 0),
+      b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY same ORDER BY score DESC, pos, n) = 1) SELECT pos, sentence, round(score, 9) AS score FROM b ORDER BY b.score DESC, pos, n LIMIT 10""",
     "lang_share": f"{_W}, n AS (SELECT source, lang, count(*) AS n FROM doc_index GROUP BY 1, 2), w AS (SELECT source, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS words FROM doc_index GROUP BY 1) SELECT source, lang, words FROM n JOIN w USING (source) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1",
     "word_counts": r"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS words FROM documents",
     "load_metrics": r"SELECT source, lang, count(*) AS pages, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS words, count(*) FILTER (WHERE len(regexp_extract_all(text, '\S+')) = 0) AS empty_pages FROM documents GROUP BY 1, 2",
