@@ -81,9 +81,8 @@ _SENT = """, d AS (SELECT DISTINCT doc_sha256, lang, text FROM doc_index),
  q AS (SELECT doc_sha256, lang, unnest(range(len(parts))) AS i, parts FROM s), sent AS (SELECT doc_sha256, lang, 1 AS page, CAST(i AS INTEGER) AS n, parts[i + 1] AS sentence FROM q)"""
 ORACLES = {
     "sentences": f"{_W}{_SENT} SELECT DISTINCT doc_sha256, page, n, sentence FROM sent",
-    "doc_clauses": f"""{_W}{_SENT.replace("SELECT DISTINCT doc_sha256, lang, text", "SELECT doc_sha256, lang, text")}
-      SELECT doc_sha256, page, lang, n, sentence AS text, k AS clause_type FROM sent JOIN (VALUES ('metric', 'with'), ('permit', 'und'), ('operational', 'que'), ('policy', 'les')) c(k, w)
-      ON lang = 'en' AND regexp_matches(sentence, '(^|[^\\p{{L}}\\p{{N}}_])(?i:' || w || ')($|[^\\p{{L}}\\p{{N}}_])')""",
+    "doc_clauses": f"{_W}{_SENT.replace('SELECT DISTINCT doc_sha256, lang, text', 'SELECT doc_sha256, lang, text')} "
+    + " UNION ALL ".join(rf"SELECT doc_sha256, page, lang, n, sentence AS text, '{k}' AS clause_type FROM sent WHERE lang = 'en' AND regexp_matches(sentence, '(?i)(^|[^\p{{L}}\p{{N}}_]){w}($|[^\p{{L}}\p{{N}}_])')" for k, w in TEST_KEYWORDS.items()),
     "draft_jaccard": f"""WITH r AS (SELECT item_id AS pos, string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM benchmark),
       q AS (SELECT pos, unnest(range(len(parts))) AS n, parts FROM r), t AS (SELECT pos, n, trim(parts[n + 1]) AS sentence, {_TOK.format('parts[n + 1]')} AS k, ['the', 'and', 'with', 'that', 'from'] AS a FROM q),
       v AS (SELECT *, (len(list_intersect(k, a)) + 0.5) / (len(list_distinct(list_concat(k, a))) + 0.5) AS score, substr(array_to_string(k, ' '), 1, 80) AS same FROM t WHERE len(k) > 0),
