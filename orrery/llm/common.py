@@ -115,6 +115,14 @@ def released() -> None:
         pass  # another C library
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Sends 1,000 rows instead of 10,000 to Python at a time, unless the session says otherwise:
+    rows with whole texts are long, and each task holds a batch on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def with_columns_of_text(df: DataFrame, text_col: str, fields: str, make, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
     """df with more columns made from a text column in Python, whole texts in blocks.
 
@@ -126,6 +134,7 @@ def with_columns_of_text(df: DataFrame, text_col: str, fields: str, make, block_
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
+    short_batches(df.sparkSession)
     new = StructType.fromDDL(fields)
     text = df.columns.index(text_col)
     back = [k for k in range(len(df.columns)) if keep_text or k != text]

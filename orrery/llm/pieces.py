@@ -39,7 +39,7 @@ LITERAL = "\0" + MARK
 #: Letters of the Latin script, before whose punctuation words may be cut.
 LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 #: Words that a worker remembers at most; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Between tasks a worker keeps the words of at most so many characters, which are the frequent ones.
 SHORT = 5
 
