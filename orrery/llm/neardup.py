@@ -61,12 +61,13 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def tokens(s: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A bag as a set: the k-th occurrence of a shingle is a token of its own."""
+    """A bag as a set: the k-th occurrence of a shingle is a token of its own, the first the shingle itself in every bag."""
     if not len(s) or count.max() == 1:
         return s
     again = np.repeat(s, count)
     number = np.arange(len(again)) - np.repeat(np.cumsum(count) - count, count)
-    return np.sort(bag.mixed(again + number.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
+    later = bag.mixed(again + number.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    return np.sort(np.where(number == 0, again, later))
 
 
 def classes(sets: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndarray:
