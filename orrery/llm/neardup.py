@@ -15,8 +15,8 @@ of five-word runs, 0.8); only links of classes, never pairs, leave a task.
 Defined results: a null text is empty; texts without words form one class; texts of fewer
 than five words are alike only if their words are equal; the class id is the least id of
 the class (null ids count as the largest); repeated rows are in one class; rows that
-repeat an id with other texts are classified each by its own text. An empty table gives
-an empty one.
+repeat an id with other texts, or have none, are classified and kept or dropped each by
+its own text. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -45,8 +45,14 @@ def _digests(texts: list[str]) -> list[bytes]:
     return [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def row_key(id_col: str, text_col: str):
+    """16 bytes that tell rows by id and text; ids may repeat or be null."""
+    text = F.concat(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).cast("string"), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest of the words, keys of the bands; no keys without words)."""
+    """(doc_id, row_key, digest of the words, keys of the bands; no keys without words)."""
 
     def make():
         def work(texts):
@@ -56,7 +62,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         return work
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     return with_columns_of_text(rows, "text", "digest binary, keys array<bigint>", make, BLOCK_BYTES, keep_text=False)
 
 
@@ -149,19 +155,19 @@ def _linked(threshold: float):
     return run
 
 
-def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, class_size (rows), text_class (of those with equal words)."""
+def classified(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, row_key, digest, root (the class, also where ids repeat), class_id, class_size, text_class."""
     seen = written(sketches(docs, id_col, text_col))
-    nodes = written(seen.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows"), F.first("keys").alias("keys")))
+    nodes = written(seen.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.count("*").alias("n_rows"), F.first("keys").alias("keys")))
     keyed = nodes.select("digest", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("digest").alias("b"), F.count("*").alias("n")).filter("n > 1")
     ties = keyed.withColumnRenamed("digest", "a").join(shared, "key").filter("a != b").select("a", "b").distinct()
     groups = written(components(written(ties)))
     cut = groups.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("cuts"))
     big = cut.filter("cuts > 1").limit(1).count() > 0
-    todo = groups.join(cut, "root").join(nodes.select("digest", "first_id"), F.col("node") == F.col("digest")).select("root", "cuts", "node", "first_id")
+    todo = groups.join(cut, "root").join(nodes.select("digest", "row_key"), F.col("node") == F.col("digest")).select("root", "cuts", "node", "row_key")
     todo = small(written(todo))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("first_id"), F.col(text_col).alias("text")).join(todo, "first_id")
+    rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).join(todo, "row_key")
     bags = with_columns_of_text(rows, "text", "found binary, data binary", _bags, BLOCK_BYTES, keep_text=False).filter("found = node")
     # A group without cuts goes to one task; else block p meets every block q: (p, q) in order, or alone where there is one.
     bags = bags.withColumn("p", F.expr("cast(pmod(xxhash64(node), cuts) AS int)")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
@@ -173,8 +179,13 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     # Every node of a group with its root; all other nodes are their own.
     of = nodes.join(linked.select("node", "root"), F.col("digest") == F.col("node"), "left").select("digest", "first_id", "n_rows", F.coalesce("root", "digest").alias("root"))
     heads = of.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n_rows").alias("class_size"))
-    named = of.join(heads, "root").select("digest", F.col("first_id").alias("text_class"), "class_id", "class_size")
-    return seen.select("doc_id", "digest").join(written(named), "digest").drop("digest")
+    named = of.join(heads, "root").select("digest", F.col("first_id").alias("text_class"), "root", "class_id", "class_size")
+    return seen.select("doc_id", "row_key", "digest").join(written(named), "digest")
+
+
+def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id, class_size (rows), text_class (of those with equal words)."""
+    return classified(docs, threshold, id_col, text_col).select("doc_id", "text_class", "class_id", "class_size")
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
@@ -184,11 +195,15 @@ def report(docs: DataFrame, **how) -> DataFrame:
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, the one with the least id. Columns as in docs."""
-    found = written(link(docs, threshold, id_col, text_col))
+    """docs with one document of each class, the one with the least id, then the least digest. Columns as in docs.
+
+    Rows are told by id and text: documents that share an id, or have none, are decided each for its own class.
+    """
+    found = written(classified(docs, threshold, id_col, text_col).filter("class_size > 1").select("doc_id", "row_key", "digest", "root"))
     (key,) = renamed(docs, "own_id")
-    drop = found.filter("doc_id != class_id").select(F.col("doc_id").alias(key)).distinct()
-    left = without(docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))), drop, key)
-    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest", "row_key")).alias("k")).select("k.row_key")
+    drop = without(found.select("row_key").distinct(), kept, "row_key").select(F.col("row_key").alias(key))
+    left = without(docs.withColumn(key, row_key(id_col, text_col)), written(drop), key)
+    if found.groupBy("row_key").count().filter("count > 1").limit(1).count():
         left = left.dropDuplicates([key])
     return left.select(*docs.columns)
