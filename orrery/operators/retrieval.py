@@ -71,8 +71,9 @@ def draft(hits: DataFrame, query: str, most: int = 4, text: str = "text", pos: s
 def nli_scores(sentences: DataFrame, hits: DataFrame, score: Callable[[Column, Column], tuple[Column, Column]] | None = None, premise_chars: int = 1200) -> DataFrame:
     """Each sentence's best premise among the hits: entailment, contradiction, doc_id, page; ties go to the earlier hit.
 
-    The drafts and hits of a question are a handful each. Without a model entailment is the
-    share of the sentence's tokens that the premise has, and contradiction is the rest at one half.
+    The drafts of a question are a handful and are sent to all hits, of which each is scored.
+    Without a model entailment is the share of the sentence's tokens that the premise has, and
+    contradiction is the rest at one half.
     """
     if score is None:
 
@@ -81,7 +82,7 @@ def nli_scores(sentences: DataFrame, hits: DataFrame, score: Callable[[Column, C
             share = F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_distinct(a))).otherwise(F.lit(0.0))
             return share, (1 - share) / 2
 
-    pairs = sentences.select("sentence").distinct().join(F.broadcast(hits.limit(1000)), F.lit(True))
+    pairs = hits.select("pos", "doc_id", "page", "text").join(F.broadcast(sentences.select("sentence").distinct()), F.lit(True))
     ent, con = score(F.col("sentence"), F.substring("text", 1, premise_chars))
     pairs = pairs.withColumns({"entailment": ent, "contradiction": con})
     best = F.max_by(F.struct("entailment", "contradiction", F.col("doc_id").alias("best_doc_id"), F.col("page").alias("best_page")), F.struct("entailment", -F.col("pos")))
