@@ -103,22 +103,6 @@ def test_word_hashes_in_parts(monkeypatch):
     assert [b - a for a, b in zip(want[1], want[1][1:])] == [len(re.findall("[^\\x20\\x09-\\x0d]+", t)) for t in texts]
 
 
-def test_nearest(spark, data):
-    rows = spark.read.parquet(f"{data}/embeddings.parquet").collect()
-    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
-    hits = total = 0
-    got = queries.op9_nearest(spark, data).collect()
-    for q in ids[ids % 100 == 0]:
-        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
-        d[ids == q] = np.inf
-        best = set(ids[np.lexsort((ids, d))[:10]].tolist())
-        own = [r for r in got if r.query_id == q]
-        assert [r["rank"] for r in sorted(own, key=lambda r: r["rank"])] == list(range(1, 11))
-        hits += len({r.vec_id for r in own} & best)
-        total += 10
-    assert hits >= 0.9 * total
-
-
 @pytest.mark.parametrize(("name", "label", "least"), [("op2_quality", "quality", 0.95), ("op10_toxicity", "toxic", 0.85)])
 def test_held_out(spark, name, label, least):
     data = "/root/testdata/sf0.01"

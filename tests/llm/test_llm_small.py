@@ -247,27 +247,59 @@ def test_url_model_learns(spark):
     assert (got[300], got[301]) == ("allow", "block")
 
 
+def nearest(ids, x, q, k=10):
+    """Ids of the k nearest of query id q by brute force, an id by its nearest vector."""
+    d = np.min([np.sqrt(((x - y) ** 2).sum(axis=1)) for y in x[ids == q]], axis=0)
+    best = {}
+    for i in np.lexsort((ids, d)):
+        if ids[i] != q:
+            best.setdefault(int(ids[i]), float(d[i]))
+    return sorted(best.items(), key=lambda p: (p[1], p[0]))[:k]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(7)
-    v = rng.normal(size=(400, 16)).round(2).tolist()
+    v = rng.normal(size=(400, 16)).round(2)
     v[100], v[200] = v[0], v[0]
-    rows = [(k, [float(x) for x in y]) for k, y in enumerate(v)] + [(500, None), (600, [0.0] * 16), (700, [float("nan")] * 16), (800, [1.0]), (900, [None] * 16)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v[301:340] = v[300]  # more copies of a query than it asks for
+    ids = np.arange(400)
+    ids[[17, 18, 19]] = 0  # an id with several vectors, which is a query
+    rows = [(int(k), [float(x) for x in y]) for k, y in zip(ids, v)] + [(5, v[5].tolist()), (500, None), (600, [0.0] * 16), (700, [float("nan")] * 16), (800, [1.0]), (900, [None] * 16), (None, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({n: F.lit("mine") for n in ("v", "no", "q", "same", "score", "rank", "block")})
     got = {}
     for r in ann.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    x, hits = np.array(v), 0
-    for q in (0, 100, 200, 300):
-        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
-        d[q] = np.inf
-        want = np.lexsort((np.arange(400), d))[:10].tolist()
-        hits += len({k for k, _ in got[q]} & set(want))
-        assert all(abs(s - d[k]) < 1e-12 for k, s in got[q])
-    assert set(got) == {0, 100, 200, 300} and hits >= 36
-    assert [k for k, _ in got[0]][:2] == [100, 200]
-    three = df.filter("vec_id < 3")
-    assert sorted(r.vec_id for r in ann.search(three, F.col("vec_id") == 0, tables=60, probes=32).collect()) == [1, 2]
+    assert set(got) == {0, 100, 200, 300}
+    for q, found in got.items():
+        want = nearest(ids, v, q)
+        assert [k for k, _ in found] == [k for k, _ in want]
+        assert all(abs(s - d) < 1e-12 for (_, s), (_, d) in zip(found, want))
     assert ann.search(df.limit(0), F.col("vec_id") == 0).count() == 0
+    for few in (1, 8):
+        own = df.filter((F.col("vec_id") >= 40) & (F.col("vec_id") < 40 + few))
+        assert ann.search(own, F.col("vec_id") == 40).count() == min(10, few - 1)
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Hashing alone, over several blocks and copies, finds most of what brute force finds, with few candidates."""
+    monkeypatch.setattr(ann, "BLOCK", 700)
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 64))
+    v = centres[rng.integers(0, 60, 3000)] + 0.25 * rng.normal(size=(3000, 64))
+    df = spark.createDataFrame([(k, y.tolist()) for k, y in enumerate(v)], "vec_id long, embedding array<double>")
+    told: list = []
+    got: dict = {}
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, least=0, report=told).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len(got[q] & {k for k, _ in nearest(np.arange(3000), v, q)}) for q in range(0, 3000, 100)]
+    assert sum(hits) >= 0.9 * 300 and told[:2] == [3000, 30] and told[2] < 0.25 * 3000 * 30
+
+
+def test_distances_of_any_size():
+    v = np.array([[1e200, 0.0], [3e-200, 4e-200], [3.0, 4.0], [0.0, 0.0], [1.7e308, -1.7e308]])
+    got = ann.distances(v, np.zeros(2))
+    assert np.allclose(got[:4], [1e200, 5e-200, 5.0, 0.0], rtol=1e-12, atol=0) and got[4] > 1.7e308
 
 
 def test_rotation_keeps_lengths():
