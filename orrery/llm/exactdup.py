@@ -1,19 +1,26 @@
-"""Exact dedup (7): a minimal perfect hash over distinct digests.
+"""Exact dedup (7): a minimal perfect hash over historical distinct digests.
 
 History is reduced to distinct digests, each with the smallest id of its rows (the
 winner) and the number of its rows. Digests are dealt to shards by their first bytes;
 each shard gets a minimal perfect hash: levels of bit arrays whose ranks number the
 digests 0..n-1. Slot i holds the full 32-byte digest, the winner and the row count.
-A lookup finds the slot, compares all 32 bytes and so tells members from nonmembers;
-nonmembers are grouped by digest among themselves.
-
-Only digests and ids are shuffled, never texts. Copies are summed before the shuffle,
-so a text that a third of all rows repeat costs one row per task.
-
-Defined results: a null text counts as empty; empty texts are copies of each other.
-Rows that repeat both id and text are one document: all of them carry kept = true in
-the report, and `dedup` leaves one of them. A null id loses against any id. An empty
-table gives an empty table. Further columns pass through untouched.
+New rows come as distinct digests, too: a lookup finds the slot, compares all 32 bytes
+and so tells members, which join the slot's group, from nonmembers, which form groups of
+their own. A member's group is known from its slot alone.
+
+A table without an earlier one is deduplicated in two parts, dealt by a hash of the id:
+one is the history of the other, and of a text that both have the smaller id wins.
+
+Only digests and ids are shuffled, texts only where more rows go than can be sent to all
+tasks. Copies are summed before the shuffle, so a text that a third of all rows repeat
+costs one row per task there; where rows get their group's values, the rows of a large
+group are dealt over several tasks.
+
+Defined results: ids are whole numbers; a null text counts as empty; empty texts are
+copies of each other; a text of any length is one digest. Rows that repeat both id and
+text are one document: all of them carry kept = true in the report, and `dedup` leaves
+one of them. A null id loses against any id. An empty table gives an empty table. Further
+columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +32,15 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import normalised, renamed, small, written
 
-#: Digests of a shard: its slots take 48 bytes each.
+#: Digests of a shard: its slots take 49 bytes each.
 SHARD_DIGESTS = 40_000
 #: Bits of a level for each digest that is still without a slot.
 GAMMA = 1.6
+#: Rows of one text that get their group's values in one task.
+HOT_ROWS = 50_000
 
-INDEX_SCHEMA = "shard int, n long, sizes array<int>, bits binary, digests binary, winners binary, counts binary, repeats binary"
-LOOKUP_SCHEMA = "digest binary, member boolean, keep_id long, group_size long, repeats long"
+INDEX_SCHEMA = "shard int, n long, sizes array<int>, bits binary, digests binary, none binary, winners binary, counts binary"
+FOUND_SCHEMA = "digest binary, member boolean, none boolean, winner long, group_size long"
 
 
 def digest(text: Column) -> Column:
@@ -93,41 +102,59 @@ def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     slots = np.empty((n, 32), np.uint8)
     slots[slot] = digests.reshape(n, 32)
 
-    def dealt(values: pd.Series) -> bytes:
-        out = np.empty(n, np.int64)
+    def dealt(values: pd.Series, kind) -> bytes:
+        out = np.empty(n, kind)
         out[slot] = values.to_numpy()
         return out.tobytes()
 
-    row = [key[0], n, sizes, np.packbits(bits).tobytes(), slots.tobytes(), dealt(pdf["winner"]), dealt(pdf["rows"]), dealt(pdf["repeats"])]
+    row = [key[0], n, sizes, np.packbits(bits).tobytes(), slots.tobytes(), dealt(pdf["none"], bool), dealt(pdf["winner"], np.int64), dealt(pdf["rows"], np.int64)]
     return pd.DataFrame([row], columns=[c.split()[0] for c in INDEX_SCHEMA.split(", ")])
 
 
-def _lookup(pdf: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    n = len(pdf)
-    out = pd.DataFrame({"digest": pdf["digest"], "member": False, "keep_id": pdf["winner"], "group_size": pdf["rows"], "repeats": pdf["repeats"]})
-    if not n or not len(index):
-        return out
-    x = index.iloc[0]
-    sizes = [int(s) for s in x["sizes"]]
-    bits = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=sum(sizes)).astype(bool)
-    mine = np.frombuffer(b"".join(pdf["digest"]), np.uint8)
-    slot = find_slots(mine, sizes, bits)
-    held = np.frombuffer(x["digests"], np.uint8).reshape(-1, 32)
-    member = slot >= 0
-    member[member] = (held[slot[member]] == mine.reshape(n, 32)[member]).all(axis=1)  # every byte decides
-    for column, blob in (("keep_id", "winners"), ("group_size", "counts"), ("repeats", "repeats")):
-        values = out[column].to_numpy().copy()
-        values[member] = np.frombuffer(x[blob], np.int64)[slot[member]]
-        out[column] = values
-    out["member"] = member
-    return out
-
-
-def distinct_digests(rows: DataFrame) -> DataFrame:
-    """(digest, doc_id) to (digest, winner, rows, repeats: rows that have the winner's id). Summed before the shuffle."""
-    big = F.lit(2**63 - 1)
-    by_id = rows.groupBy("digest", F.coalesce("doc_id", big).alias("doc_id")).agg(F.count("*").alias("rows"))
-    return by_id.groupBy("digest").agg(F.min("doc_id").alias("winner"), F.sum("rows").alias("rows"), F.min_by("rows", "doc_id").alias("repeats"))
+def _merge(smaller: bool):
+    """A shard's new digests and its index to groups.
+
+    smaller: both are parts of one table, so of a member's two winners the smaller id
+    stands, and groups that only the index has are told, too. Else history's winner stands.
+    """
+
+    def run(pdf: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        new = pd.DataFrame({"digest": pdf["digest"], "member": False, "none": pdf["none"].astype(bool), "winner": pdf["winner"].astype(np.int64), "group_size": pdf["rows"].astype(np.int64)})
+        if not len(index):
+            return new
+        x = index.iloc[0]
+        sizes = [int(s) for s in x["sizes"]]
+        bits = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=sum(sizes)).astype(bool)
+        held = np.frombuffer(x["digests"], np.uint8).reshape(-1, 32)
+        none, winner, counts = (np.frombuffer(x[c], kind).copy() for c, kind in (("none", bool), ("winners", np.int64), ("counts", np.int64)))
+        mine = np.frombuffer(b"".join(pdf["digest"]), np.uint8)
+        slot = find_slots(mine, sizes, bits)
+        member = slot >= 0
+        member[member] = (held[slot[member]] == mine.reshape(-1, 32)[member]).all(axis=1)  # every byte decides
+        at, hit = slot[member], new[member]
+        counts[at] += hit["group_size"].to_numpy()
+        if smaller:
+            better = (none[at] & ~hit["none"].to_numpy()) | ((none[at] == hit["none"].to_numpy()) & (hit["winner"].to_numpy() < winner[at]))
+            none[at[better]], winner[at[better]] = hit["none"].to_numpy()[better], hit["winner"].to_numpy()[better]
+            told = np.arange(len(held))
+        else:
+            told = at
+        rows = held[told].tobytes()
+        groups = pd.DataFrame({"digest": [rows[k : k + 32] for k in range(0, len(rows), 32)], "member": True, "none": none[told], "winner": winner[told], "group_size": counts[told]})
+        return pd.concat([groups, new[~member]], ignore_index=True)
+
+    return run
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest) of each row."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("digest"))
+
+
+def distinct_digests(rows: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, digest) to (digest, none, winner, rows), by more columns if any; a null id is the largest. Summed before the shuffle."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("winner")))
+    return rows.groupBy("digest", *more).agg(least.alias("least"), F.count("*").alias("rows")).select("digest", *more, "least.*", "rows")
 
 
 def _shard(shards: int) -> Column:
@@ -139,58 +166,66 @@ def build_index(distinct: DataFrame, shards: int) -> DataFrame:
     return distinct.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(_build, INDEX_SCHEMA)
 
 
-def lookup(distinct: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """Each digest with what its slot says, or member = false and its own group."""
+def lookup(distinct: DataFrame, index: DataFrame, shards: int, smaller: bool = False) -> DataFrame:
+    """The groups of new distinct digests, of members as their slots say (see _merge)."""
     mine = distinct.withColumn("shard", _shard(shards))
-    return mine.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_lookup, LOOKUP_SCHEMA)
+    return mine.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_merge(smaller), FOUND_SCHEMA)
 
 
 def shards_for(distinct: DataFrame) -> int:
     return max(1, -(-distinct.count() // SHARD_DIGESTS))
 
 
-def duplicates(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each distinct digest of docs with (digest, member, keep_id, group_size, repeats).
+def groups(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Each distinct digest of rows (doc_id, digest) with (member, none, winner, group_size).
 
-    history: earlier documents with the same columns; members take its winner. Without
-    it the table is its own history: every digest is then a member of the index.
+    history: earlier rows of the same kind, whose winners stand. Without it a part of the
+    rows, dealt by a hash of the id, is the history of the others.
     """
-    pick = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("digest"))
-    mine = written(distinct_digests(pick(docs)))
-    past = mine if history is None else written(distinct_digests(pick(history)))
+    if history is not None:
+        past, new = written(distinct_digests(history)), distinct_digests(rows)
+    else:
+        both = written(distinct_digests(rows.withColumn("past", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), "past"))
+        past, new = both.filter("past").drop("past"), both.filter("NOT past").drop("past")
     shards = shards_for(past)
     index = written(build_index(past, shards))
-    return written(lookup(mine, index, shards))
+    return written(lookup(new, index, shards, smaller=history is None))
+
+
+def _told(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with what is known of their digests. The rows of a group above HOT_ROWS are dealt over several tasks."""
+    parts = F.ceil(F.col("group_size") / HOT_ROWS).cast("int")
+    hot = found.filter(F.col("group_size") > HOT_ROWS).select("digest", parts.alias("parts"))
+    dealt = rows.join(small(hot), "digest", "left").withColumn("part", F.coalesce(F.pmod(F.monotonically_increasing_id(), "parts"), F.lit(0).cast("long"))).drop("parts")
+    return dealt.join(found.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - F.lit(1).cast("long")))), ["digest", "part"])
+
+
+def _kept(history: DataFrame | None) -> Column:
+    wins = (F.col("doc_id").isNull() == F.col("none")) & (F.coalesce("doc_id", F.lit(0)) == F.col("winner"))
+    return wins if history is None else wins & ~F.col("member")
 
 
 def report(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256, member."""
-    found = duplicates(docs, history, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("digest"))
-    keep = F.when(F.col("keep_id") != 2**63 - 1, F.col("keep_id"))
-    return rows.join(found, "digest").select(
-        "doc_id",
-        keep.alias("keep_id"),
-        "group_size",
-        F.expr("doc_id <=> " + "CASE WHEN keep_id != 9223372036854775807 THEN keep_id END").alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-        "member",
-    )
+    """One row for each document: doc_id, keep_id, group_size (rows here and in history), kept, text_sha256, member (of the history)."""
+    rows = written(keyed(docs, id_col, text_col))
+    found = groups(rows, None if history is None else keyed(history, id_col, text_col))
+    return _told(rows, found).select("doc_id", F.when(~F.col("none"), F.col("winner")).alias("keep_id"), "group_size", _kept(history).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "member")
 
 
 def dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each normalised text, none of a text that history has. Columns as in docs."""
-    found = duplicates(docs, history, id_col, text_col)
-    d, k, r, i = renamed(docs, "digest", "keep_id", "repeats", "own_id")
-    # Digests are joined to the documents only where rows go: those of groups of more than one row.
-    groups = found.filter("group_size > 1 OR (member AND %s)" % ("true" if history is not None else "false"))
-    goes = groups.select(F.col("digest").alias(d), F.lit(-1 if history is not None else 0).cast("long").alias("past"), F.col("member").alias("was"), F.col("keep_id").alias(k), F.col("repeats").alias(r))
-    goes = small(goes.withColumnsRenamed({"past": f"{k}_past", "was": f"{k}_was"}))
-    tagged = docs.withColumns({d: digest(F.col(text_col)), i: F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))})
-    joined = tagged.join(goes, d, "left")
-    gone = F.col(k).isNotNull() & ((F.col(i) != F.col(k)) | ((F.col(f"{k}_past") == -1) & F.col(f"{k}_was")))
-    left = joined.filter(~gone)
-    if found.filter("repeats > 1").limit(1).count():
-        single = left.filter(F.coalesce(F.col(r), F.lit(1)) == 1)
-        left = single.unionByName(left.filter(F.col(r) > 1).dropDuplicates([d]))
+    rows = written(keyed(docs, id_col, text_col))
+    found = groups(rows, None if history is None else keyed(history, id_col, text_col))
+    d, n, i, twice = renamed(docs, "digest", "no_id", "own_id", "twice")
+    name = [F.col("digest").alias(d), F.col("doc_id").isNull().alias(n), F.coalesce("doc_id", F.lit(0)).alias(i)]
+    # Rows are told by digest and id, and documents meet only the keys of rows that go, or that are there more than once.
+    copies = written(_told(rows, found.filter("group_size > 1")).select(*name, _kept(history).alias("kept")))
+    goes = written(copies.filter("NOT kept").select(d, n, i).distinct())
+    own = F.col(id_col).cast("long")
+    tagged = docs.withColumns({d: digest(F.col(text_col)), n: own.isNull(), i: F.coalesce(own, F.lit(0))})
+    left = tagged.join(small(goes), [d, n, i], "left_anti")
+    again = written(copies.filter("kept").groupBy(d, n, i).count().filter("count > 1").select(d, n, i, F.lit(True).alias(twice)))
+    if again.limit(1).count():
+        left = left.join(small(again), [d, n, i], "left")
+        left = left.filter(F.col(twice).isNull()).unionByName(left.filter(twice).dropDuplicates([d, n, i]))
     return left.select(*docs.columns)

@@ -39,7 +39,7 @@ def labels(spark):
 
 def clash(df):
     """df with columns named like those that operators make."""
-    names = ("size", "target", "copies", "digest", "keep_id", "ids", "n_tokens", "toxicity", "statistics", "score", "own_id", "text_class", "source_key", "again", "rounds")
+    names = ("winner", "none", "part", "twice", "no_id", "size", "target", "copies", "digest", "keep_id", "ids", "n_tokens", "toxicity", "statistics", "score", "own_id", "text_class", "source_key", "again", "rounds")
     return df.withColumns({n: F.lit("mine") for n in names})
 
 
@@ -64,6 +64,38 @@ def test_exact_history(spark, docs):
     assert sorted(r.doc_id or 0 for r in exactdup.dedup(docs, past).collect()) == [0, 3, 5, 6, 7]
 
 
+def test_exact_where_rows_are_many(spark, monkeypatch):
+    """Groups that are dealt over several tasks, ids at the ends of the range, repeated rows, against a plain count."""
+    monkeypatch.setattr(exactdup, "HOT_ROWS", 3)
+    monkeypatch.setattr(exactdup, "SHARD_DIGESTS", 4)
+    rng = np.random.default_rng(13)
+    ids = [None, None, 2**63 - 1, -(2**63), *range(40)]
+    rows = [(ids[int(k)], f"text {int(x)}" if x else None) for k, x in zip(rng.integers(0, 44, 150), rng.integers(0, 25, 150) % 20)] + [(None, "alone"), (2**63 - 1, "alone"), (None, "none"), (None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = lambda i: (i is None, i or 0)
+    of: dict = {}
+    for i, t in rows:
+        of.setdefault(t or "", []).append(i)
+    best = {t: min(v, key=order) for t, v in of.items()}
+    import hashlib
+
+    want = sorted(((hashlib.sha256((t or "").encode()).hexdigest(), i, best[t or ""], len(of[t or ""]), i == best[t or ""]) for i, t in rows), key=str)
+    assert sorted(((r.text_sha256, r.doc_id, r.keep_id, r.group_size, r.kept) for r in exactdup.report(df).collect()), key=str) == want
+    assert sorted(((r.text or "", r.doc_id) for r in exactdup.dedup(df).collect()), key=str) == sorted(best.items(), key=str)
+
+
+def test_exact_rests_on_its_slots(spark):
+    """A slot with a wrong byte no longer joins its members to its group."""
+    rows = spark.range(60).select("id", F.sha2((F.col("id") % 20).cast("string"), 256).alias("text")).select(F.col("id").alias("doc_id"), F.unhex("text").alias("digest"))
+    past, new = exactdup.distinct_digests(rows.filter("doc_id < 40")), exactdup.distinct_digests(rows.filter("doc_id >= 40"))
+    index = exactdup.build_index(past, 1)
+    whole = {(bytes(r.digest), r.winner, r.group_size) for r in exactdup.lookup(new, index, 1, True).collect()}
+    assert len(whole) == 20 and {x[2] for x in whole} == {3}
+    spoilt = index.withColumn("digests", F.concat(F.lit(b"?"), F.expr("substring(digests, 2)")))
+    got = [r for r in exactdup.lookup(new, spoilt, 1, True).collect()]
+    assert len(got) == 21 and sum(not r.member for r in got) == 1 and sorted(r.group_size for r in got)[:2] == [1, 2]
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 5000):
