@@ -3,17 +3,23 @@
 Five small transducers read a clause's tokens by class: insults, threats, targets,
 negation and reported speech. Their product is built once, over reachable states; its
 output on a token says what kind of attack a match is: plain, aimed at a target,
-negated or only reported. A document's score is a logistic function of the weighted
-outputs of its clauses, so matches in a clause count, not words alone.
+negated or only reported. Negation and report stay with the attack that they came before
+until the token that completes it (a threat needs its target, and a target may follow an
+insult). A document's score is a logistic function of the weighted outputs of its clauses,
+so matches in a clause count, not words alone.
 
 What is learned from labelled rows: the insult acceptor (whole words, and stems that
 take many endings), the weight of each of its entries, and the weight of each output.
 Fitting uses at most MAX_TOXIC and MAX_CLEAN labelled rows, those with the smallest
-hashes; the lists of function words are fixed.
+hashes, and of equal texts one; the lexicon holds all that this sample bears out. The
+lists of function words are fixed.
 
 Defined results: a null or empty text has no clause and gets the score of the intercept
-alone; repeated rows get equal scores; with no toxic or no clean labelled row nothing
-can be learned and all scores are 0; documents without a label only get a score.
+alone; a text of any length is one document, whose matches count by their logarithm;
+repeated rows get equal scores; an id with several labels counts as toxic if one says so;
+with no toxic or no clean labelled row nothing can be learned and all scores are 0;
+documents without a label only get a score; a score of exactly the threshold is toxic.
+Columns of the input may have any names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,8 +37,6 @@ from orrery.llm.common import blocks, folded_out, renamed, with_columns_of_text,
 
 #: Most labelled rows of each class that a fit looks at.
 MAX_TOXIC, MAX_CLEAN = 4_000, 12_000
-#: Most entries of the learned lexicon.
-MAX_ENTRIES = 2_000
 #: Tokens over which a negation or a target reaches.
 REACH = 4
 #: An entry's share of toxic documents must be this high, and this improbable by chance (natural log).
@@ -57,35 +61,49 @@ def insults():
 
 
 def negations():
+    """A negation shortly before an attack; it holds for the target that completes the attack, too."""
+
     def step(s, c):
-        return (REACH if c == NEGATION else max(0, s - 1)), "negated" if s and c in (INSULT, THREAT) else ""
+        near, attack = s
+        if c in (INSULT, THREAT):
+            return (max(0, near - 1), REACH if near else 0), "negated" if near else ""
+        if c == TARGET:
+            return (max(0, near - 1), 0), "negated" if attack else ""
+        return (REACH if c == NEGATION else max(0, near - 1), max(0, attack - 1)), ""
 
-    return 0, step
+    return (0, 0), step
 
 
 def reports():
+    """A report anywhere before an attack in the clause; it holds for the target that completes the attack, too."""
+
     def step(s, c):
-        return int(s or c == REPORT), "reported" if s and c in (INSULT, THREAT) else ""
+        told, attack = s
+        if c in (INSULT, THREAT):
+            return (told, REACH if told else 0), "reported" if told else ""
+        if c == TARGET:
+            return (told, 0), "reported" if attack else ""
+        return (int(told or c == REPORT), max(0, attack - 1)), ""
 
-    return 0, step
+    return (0, 0), step
 
 
 def targets():
-    """A target shortly before an attack, or shortly after it."""
+    """A target shortly before an insult, or shortly after it."""
 
     def step(s, c):
         near, attack = s
-        said = "aimed" if (c in (INSULT, THREAT) and near) or (c == TARGET and attack) else ""
-        return (REACH if c == TARGET else max(0, near - 1), REACH if c in (INSULT, THREAT) else 0 if c == TARGET else max(0, attack - 1)), said
+        said = "aimed" if (c == INSULT and near) or (c == TARGET and attack) else ""
+        return (REACH if c == TARGET else max(0, near - 1), REACH if c == INSULT else 0 if c == TARGET else max(0, attack - 1)), said
 
     return (0, 0), step
 
 
 def threats():
-    """A threat counts once its target follows."""
+    """A threat counts once its target follows; an insult in between takes the target."""
 
     def step(s, c):
-        return REACH if c == THREAT else 0 if c == TARGET else max(0, s - 1), "threat" if s and c == TARGET else ""
+        return REACH if c == THREAT else 0 if c in (TARGET, INSULT) else max(0, s - 1), "threat" if s and c == TARGET else ""
 
     return 0, step
 
@@ -110,17 +128,41 @@ def compose(machines: Iterable):
     return moves, outputs
 
 
+@cache
+def product():
+    """The grammar's product: next states and kinds of outputs."""
+    moves, outputs = compose((insults, negations, reports, targets, threats))
+    return moves, [[kind_of(o) for o in row] for row in outputs]
+
+
 #: What the outputs of the product count as.
 KINDS = ("plain", "negated", "reported", "aimed", "threat")
 
 
 def kind_of(said: frozenset) -> int | None:
-    """An output's kind; negation and report weaken an insult before a target strengthens it."""
+    """An output's kind; negation and report weaken an attack before its target strengthens it."""
+    weak = 1 if "negated" in said else 2 if "reported" in said else None
     if "threat" in said:
-        return 4
+        return 4 if weak is None else weak
     if "insult" in said:
-        return 1 if "negated" in said else 2 if "reported" in said else 3 if "aimed" in said else 0
-    return 3 if "aimed" in said else None
+        return weak if weak is not None else 3 if "aimed" in said else 0
+    # A target that follows an insult adds to it, but not to one that is denied or only told.
+    return 3 if "aimed" in said and weak is None else None
+
+
+def automaton(words: Iterable[str]):
+    """One automaton for all words: a text is read once, however many there are."""
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for w in words:
+        made.add_word(w, 0)
+    made.make_automaton()
+    return made
+
+
+def met(needles, text: str) -> bool:
+    return next(needles.iter(text), None) is not None
 
 
 class Grammar:
@@ -129,10 +171,9 @@ class Grammar:
     def __init__(self, entries: dict[str, float], stems: dict[str, float]):
         self.entries, self.stems = entries, stems
         self.classes = {w: c for c, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws}
-        self.needles = [*entries, *stems, *THREATS]
+        self.needles = automaton([*entries, *stems, *THREATS])
         self.lengths = sorted({len(s) for s in stems})
-        self.moves, outputs = compose((insults, negations, reports, targets, threats))
-        self.kinds = [[kind_of(o) for o in row] for row in outputs]
+        self.moves, self.kinds = product()
 
     def token(self, w: str) -> tuple[int, float]:
         if w in self.entries:
@@ -145,9 +186,9 @@ class Grammar:
     def features(self, text: str) -> list[float]:
         """The weight of all matches by kind, damped: the logarithm of one more."""
         low, sums = text.lower(), [0.0] * len(KINDS)
-        if any(n in low for n in self.needles):
+        if met(self.needles, low):
             for clause in CLAUSE.split(low):
-                if any(n in clause for n in self.needles):
+                if met(self.needles, clause):
                     state = 0
                     for w in TOKEN.findall(clause):
                         c, weight = self.token(w)
@@ -158,15 +199,15 @@ class Grammar:
         return [math.log1p(s) for s in sums]
 
 
-def sample(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
-    """(text, y) of the labelled training rows with the smallest hashes, at most MAX_TOXIC and MAX_CLEAN."""
+def sample(docs: DataFrame, labels: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, y) of the labelled training rows with the smallest hashes, at most MAX_TOXIC and MAX_CLEAN; equal texts once."""
     rows = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~folded_out(F.col("doc_id"), 5, 0))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("y"))
     pick = lambda y, n: rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
     few = pick(1, MAX_TOXIC).unionByName(pick(0, MAX_CLEAN)).withColumnRenamed("doc_id", "labelled_id")
     # At most MAX_TOXIC + MAX_CLEAN pairs of numbers.
-    rows = docs.select(F.col("doc_id").alias("own_id"), "text")
-    return rows.join(F.broadcast(few), F.col("own_id") == F.col("labelled_id")).select("text", F.col("y").cast("int").alias("y"))
+    rows = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")).join(F.broadcast(few), F.col("own_id") == F.col("labelled_id"))
+    return rows.groupBy("text").agg(F.max("y").cast("int").alias("y"))
 
 
 def _terms(batches):
@@ -194,7 +235,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     share = F.col("a") / (F.col("a") + F.col("b"))
     log_or_0 = lambda c: F.when(c > 0, F.log(c)).otherwise(0.0)
     told = (F.col("a") * log_or_0(share / base) + F.col("b") * log_or_0((1 - share) / (1 - base))).alias("told")
-    best = counts.filter((share >= PRECISION) & (told >= EVIDENCE)).orderBy(told.desc(), "term").limit(MAX_ENTRIES).collect()
+    best = counts.filter((share >= PRECISION) & (told >= EVIDENCE)).collect()  # each in ten or more of the sample's toxic texts
     odds = lambda a, b: math.log((a + 0.5) / (b + 0.5) * total[0] / total[1])
     words = {x["term"][1:]: (x["a"], x["b"]) for x in best if x["term"][0] == "w"}
     stems = {x["term"][1:]: (x["a"], x["b"]) for x in best if x["term"][0] == "s"}
@@ -232,15 +273,11 @@ def varied(rows: DataFrame, words: dict, stems: dict, base: float, odds) -> tupl
 
         return lambda texts: [[of(t) for t in texts]]
 
-    toxic = with_columns_of_text(rows.filter("y = 1"), "text", "hits array<string>", found).select("hits").collect()  # at most MAX_TOXIC rows
-    contexts = [set() for _ in entries]
-    for x in toxic:
-        for hit in x["hits"]:
-            k, _, context = hit.partition(" ")
-            contexts[int(k)].add(context)
+    hits = with_columns_of_text(rows.filter("y = 1"), "text", "hits array<string>", found).select(F.explode("hits").alias("hit")).distinct()
+    contexts = {x["k"]: x["count"] for x in hits.groupBy(F.substring_index("hit", " ", 1).cast("int").alias("k")).count().collect()}  # a row for each entry
 
     def stands(k: int) -> bool:
-        a, b = min(entries[k][2], len(contexts[k])), entries[k][3]
+        a, b = min(entries[k][2], contexts.get(k, 0)), entries[k][3]
         share = a / max(1, a + b)
         return share > base and a * math.log(share / base) + (b * math.log((1 - share) / (1 - base)) if b else 0.0) >= EVIDENCE
 
@@ -265,9 +302,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """The model: the lexicon and the weights of KINDS with an intercept."""
-    rows = written(sample(docs, labels))
+    rows = written(sample(docs, labels, id_col=id_col, text_col=text_col))
     entries, stems = learn_lexicon(rows)
 
     def features():
@@ -304,7 +341,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", column: str | No
     return with_columns_of_text(docs, text_col, f"`{name}` double", scores, keep_text=keep_text)
 
 
-def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that score the threshold or more. Columns as in docs."""
     (name,) = renamed(docs, "toxicity")
-    return score(docs, fit(docs, labels), column=name).filter(F.col(name) < threshold).select(*docs.columns)
+    return score(docs, fit(docs, labels, id_col, text_col), text_col, column=name).filter(F.col(name) < threshold).select(*docs.columns)

@@ -360,6 +360,82 @@ def test_grammar():
     assert kinds("you oaf")["aimed"] and kinds("not an oaf")["negated"] and kinds("he wrote that one is an oaf")["reported"]
     assert kinds("i kill you")["threat"] and not any(kinds("kill time. you").values())
     assert kinds("blurgish")["plain"] and not any(kinds("loaf").values())
+    only = lambda t: [k for k, v in kinds(t).items() if v]
+    assert only("I will not kill you") == ["negated"] and only("he said he would kill you") == ["reported"]
+    assert only("that one is not an oaf, you know") == ["negated"] and only("an oaf, you know") == ["plain", "aimed"]
+    assert only("never kill the time we had before you") == []
+
+
+def plain_features(text: str, entries: dict, stems: dict) -> list[float]:
+    """The same by looking back from each word, without transducers."""
+    import math
+    import re
+
+    sums = [0.0] * 5
+    lists = {w: c for c, ws in (("R", toxicity.REPORTS), ("N", toxicity.NEGATIONS), ("T", toxicity.TARGETS), ("H", toxicity.THREATS)) for w in ws}
+    for clause in re.split(r"[.!?;:|\n]+", text.lower()):
+        words = re.findall(r"[^\W\d_]+", clause)
+        kinds, weights = [], []
+        for w in words:
+            stem = next((w[:n] for n in range(1, len(w) + 1) if w[:n] in stems), None)
+            insult = entries.get(w, stems.get(stem))
+            kinds.append("I" if insult is not None else lists.get(w, "O"))
+            weights.append(insult if insult is not None else 1.0)
+
+        def weak(i: int) -> int | None:
+            if "N" in kinds[max(0, i - 4) : i]:
+                return 1
+            return 2 if "R" in kinds[:i] else None
+
+        for i, k in enumerate(kinds):
+            if k == "I":
+                how = weak(i)
+                sums[how if how is not None else 3 if "T" in kinds[max(0, i - 4) : i] else 0] += weights[i]
+            if k == "T":
+                j = next((j for j in range(i - 1, max(-1, i - 5), -1) if kinds[j] in "IHT"), None)
+                if j is not None and kinds[j] != "T":
+                    how = weak(j)
+                    if kinds[j] == "H":
+                        sums[4 if how is None else how] += 1.0
+                    elif how is None:
+                        sums[3] += 1.0
+    return [math.log1p(s) for s in sums]
+
+
+def test_grammar_against_plain_rules():
+    rng = np.random.default_rng(15)
+    entries, stems = {"oaf": 1.5, "dolt": 0.5}, {"blurg": 2.0, "zak": 1.0}
+    words = ["oaf", "dolt", "blurgs", "zakko", "kill", "hurt", "you", "he", "not", "never", "said", "one", "two", "three", "loaf", ".", "!", ";"]
+    g = toxicity.Grammar(entries, stems)
+    for _ in range(4000):
+        t = " ".join(rng.choice(words, rng.integers(0, 25)))
+        assert np.allclose(g.features(t), plain_features(t, entries, stems))
+
+
+def test_toxicity_scores_are_the_plain_ones(spark):
+    """The operator's scores of all rows, given its model, are those of the plain rules."""
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    got = {r.doc_id: r.toxicity for r in toxicity.score(docs, model, keep_text=False).collect()}
+    *w, rest = model["weights"]
+    for r in docs.collect():
+        z = rest + float(np.dot(w, plain_features(r.text or "", model["entries"], model["stems"])))
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
+def test_logistic_is_a_minimum():
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(300, 3))
+    y = (x @ [2.0, -1.0, 0.5] + rng.normal(size=300) > 1).astype(float)
+    w = toxicity.logistic(x, y)
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * 300
+
+    def loss(v):
+        z = x @ v[:3] + v[3]
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 1e-2 * 3 / 2 * (v[:3] @ v[:3] + 1e-3 * v[3] ** 2)
+
+    assert all(loss(w) <= loss(w + d) for d in 1e-3 * rng.normal(size=(50, 4)))
 
 
 def test_pipeline(spark, data, docs, empty):
