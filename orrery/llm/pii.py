@@ -1,37 +1,48 @@
 """Personal data (3): fixed patterns, completed by a skip-chain conditional random field.
 
-The patterns give base spans. They and all other tokens with a digit or an @ are the
-nodes of a random field over each document: neighbours in the text share a chain
-potential, and distant nodes that repeat or resemble each other (same letters and
-digits, same last seven digits, same name before an @) share a skip potential. Each
-occurrence is linked to the one before it, so a token that occurs n times has n - 1
-links. Loopy message passing, with base spans held fixed, makes labels consistent;
-tokens whose belief in a kind reaches CONFIDENT become additional spans.
-
-Potentials are trained on at most SAMPLE documents, those with the smallest hashes,
-with base spans as labels: a softmax over shapes, and the log-ratios of label pairs along
-both kinds of links. Without nodes in the sample nothing is added to the base spans.
+The patterns give base spans. They and all other tokens with a digit or an @ are the nodes
+of a random field over each document, and so are runs of tokens that read on like a phone
+number, which a base pattern loses where more digits follow. Neighbours in the text share
+a chain potential. Distant nodes that repeat each other (same letters and digits, or same
+last ten digits) or resemble each other (same last seven digits, same name before an @) share a skip
+potential: every occurrence is linked to the first one, so a token that occurs n times has
+n - 1 links. Loopy message passing, with base spans held fixed, makes labels consistent;
+nodes whose belief in a kind reaches CONFIDENT become additional spans. Every document is
+passed the same number of rounds, so its spans do not depend on what is read beside it.
+
+Training covers all documents. Base spans are labels; other nodes count as none, but for
+those that are hidden: ones that are linked to a base span, or stand in a run, of which the
+patterns cannot tell. Weights of shapes and of both kinds of links are fitted jointly, by
+pseudo-likelihood: a softmax of a node's label given its shape and its neighbours' labels.
+Only counts of distinct shapes with neighbours leave the executors; there are as many as
+shapes, whatever the input. Where links are rare in the data their weights stay near PRIOR.
 
 Whole texts are read, in time linear in their length. Defined results: a null text is
-empty and has no spans; positions are code points; repeated rows get equal results.
+empty and has no spans; a text of any length is one row; positions are code points; repeated
+rows get equal results; without any node nothing is added to the base spans. Columns of the
+input may have any names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import renamed, with_columns_of_text
+from orrery.llm.common import blocks, renamed, with_columns_of_text
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = (None, *KINDS)
-#: Most documents that training looks at, and most of their nodes.
-SAMPLE, NODES = 20_000, 50_000
-ROUNDS, DAMP, CONFIDENT = 12, 0.3, 0.97
+ROUNDS, DAMP, CONFIDENT = 12, 0.3, 0.9
+#: Kinds of links, and the log-odds of equal labels that their fit starts from and is drawn to.
+CHAIN, REPEAT, RESEMBLE = range(3)
+PRIOR = (0.0, 14.0, 12.0)
+#: Neighbours of one kind and label that count in the fit.
+COUNTED = 2
 
 # Possessive, so that no text takes more than linear time.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -76,63 +87,93 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def shape(s: str) -> list[float]:
+def shape(s: str) -> list[int]:
     """What a node looks like, whatever the patterns say of it."""
     digits = NOT_DIGIT.sub("", s)
     n, parts = len(digits), s.split(".")
     name, at, domain = s.partition("@")
     return [
-        1.0,
-        float(bool(at and name and domain)),
-        float("." in domain.strip(".")),
-        float(n == 0),
-        float(1 <= n <= 5),
-        float(6 <= n <= 9),
-        float(10 <= n <= 13),
-        float(14 <= n <= 19),
-        float(n >= 20),
-        float(len(parts) == 4 and n == len(s) - 3 and all(len(p) <= 3 for p in parts)),
-        float(14 <= n <= 19 and luhn(digits)),
-        float(s[:1] == "+"),
-        float(any(c.isalpha() for c in s)),
-        float(n == len(s)),
-        float("=" in s or '"' in s),
+        1,
+        int(bool(at and name and domain)),
+        int("." in domain.strip(".")),
+        int(n == 0),
+        int(1 <= n <= 5),
+        int(6 <= n <= 9),
+        int(10 <= n <= 13),
+        int(14 <= n <= 19),
+        int(n >= 20),
+        int(len(parts) == 4 and n == len(s) - 3 and all(len(p) <= 3 and int(p or 256) <= 255 for p in parts)),
+        int(14 <= n <= 19 and not any(c.isalpha() for c in s) and luhn(digits)),
+        int(s[:1] == "+"),
+        int(s[:1] == "+" and 10 <= n <= 15),
+        int(any(c.isalpha() for c in s)),
+        int(n == len(s)),
+        int("=" in s or '"' in s),
     ]
 
 
-def nodes(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, label) of base spans and other tokens with a digit or an @; label -1: not known."""
-    out, last = [(s, e, k + 1) for s, k, e in spans], 0
-    held = sorted((s, e) for s, _, e in spans)
-    if spans or "@" in text or DIGIT.search(text):
-        for m in TOKEN.finditer(text):
-            s, e = m.span()
-            while s < e and not (text[s].isalnum() or text[s] == "+"):
-                s += 1
-            while s < e and not text[e - 1].isalnum():
-                e -= 1
-            while last < len(held) and held[last][1] <= s:
-                last += 1
-            if s < e and not any(a < e and s < b for a, b in held[max(0, last - 1) : last + 4]):
-                out.append((s, e, -1))
+SHAPES = len(shape(""))
+
+
+def nodes(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool]]:
+    """(start, end, label, in a run) of base spans and of what else has a digit or an @; label -1: not known.
+
+    Tokens with digits that stand a space apart are a run. One that begins with + or ( and
+    gets ten to fifteen digits by those that follow is a node with them, the fewest that do.
+    """
+    out = [(s, e, k + 1, False) for s, k, e in spans]
+    if not (spans or "@" in text or DIGIT.search(text)):
+        return out
+    held, last, tokens = sorted((s, e) for s, _, e in spans), 0, []
+    for m in TOKEN.finditer(text):
+        s, e = m.span()
+        while s < e and not (text[s].isalnum() or text[s] in "+("):
+            s += 1
+        while s < e and not text[e - 1].isalnum():
+            e -= 1
+        while last < len(held) and held[last][1] <= s:
+            last += 1
+        if s < e and not any(a < e and s < b for a, b in held[max(0, last - 1) : last + 4]):
+            tokens.append((s, e))
+    k = 0
+    while k < len(tokens):
+        stop = k + 1
+        while stop < len(tokens) and tokens[stop][0] - tokens[stop - 1][1] <= 2 and not any(c.isalnum() for c in text[tokens[stop - 1][1] : tokens[stop][0]]):
+            stop += 1
+        run = stop - k > 1 or any(0 <= s - tokens[stop - 1][1] <= 1 for s, _ in held[max(0, last - 1) : last + 1])
+        while k < stop:
+            s, end, n = tokens[k][0], k, 0
+            if text[s] in "+(":
+                while end < stop and n < 10 and not any(c.isalpha() for c in text[tokens[end][0] : tokens[end][1]]):
+                    n += len(NOT_DIGIT.sub("", text[tokens[end][0] : tokens[end][1]]))
+                    end += 1
+            if not 10 <= n <= 15:
+                end = k + 1
+            out.append((s, tokens[end - 1][1], -1, run))
+            k = end
     return sorted(out)
 
 
-def links(text: str, found: list[tuple[int, int, int]], first: int) -> list[tuple[int, int, int]]:
-    """(node, node, 0 for chain or 1 for skip), numbered from first. Each occurrence is linked to the last one."""
+def links(text: str, found: list[tuple[int, int, int, bool]], first: int = 0) -> list[tuple[int, int, int]]:
+    """(node, node, kind of link), numbered from first. Each occurrence is linked to the first one."""
     out, seen = [], {}
-    for i, (s, e, _) in enumerate(found):
+    for i, (s, e, _, _) in enumerate(found):
         if i and s - found[i - 1][1] <= 40:
-            out.append((first + i - 1, first + i, 0))
+            out.append((first + i - 1, first + i, CHAIN))
         word = text[s:e].lower()
         digits = NOT_DIGIT.sub("", word)
-        keys = {("word", "".join(filter(str.isalnum, word)))}
+        keys = {("word", "".join(filter(str.isalnum, word))): REPEAT}
         if len(digits) >= 7:
-            keys |= {("digits", digits), ("tail", digits[-7:])}
+            keys |= {("digits", digits[-10:]): REPEAT, ("tail", digits[-7:]): RESEMBLE}  # a country code may be left out
         if "@" in word and word[0] != "@":
-            keys.add(("name", word.split("@")[0]))
-        out += [(a, first + i, 1) for a in sorted({seen[k] for k in keys if k in seen})]
-        seen.update(dict.fromkeys(keys, first + i))
+            keys["name", word.split("@")[0]] = RESEMBLE
+        kinds: dict[int, int] = {}
+        for k, kind in keys.items():
+            if k in seen:
+                kinds[seen[k]] = min(kind, kinds.get(seen[k], kind))
+            else:
+                seen[k] = first + i
+        out += [(a, first + i, kind) for a, kind in sorted(kinds.items())]
     return out
 
 
@@ -151,16 +192,13 @@ def propagate(unary: np.ndarray, pairs: np.ndarray, potentials: np.ndarray) -> n
     table = np.concatenate([potentials[kind], potentials[kind].transpose(0, 2, 1)])
     back = np.r_[np.arange(len(a)) + len(a), np.arange(len(a))]
     message = np.full((len(source), k), -math.log(k))
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS):  # as many for every document
         belief = unary.copy()
         np.add.at(belief, target, message)
         out = (belief[source] - message[back])[:, :, None] + table
         top = out.max(axis=1, keepdims=True)
         new = norm((top + np.log(np.exp(out - top).sum(axis=1, keepdims=True)))[:, 0, :])
-        moved = np.abs(new - message).max()
         message = norm(DAMP * message + (1 - DAMP) * new)
-        if moved < 1e-4:
-            break
     belief = unary.copy()
     np.add.at(belief, target, message)
     return np.exp(norm(belief))
@@ -174,73 +212,90 @@ def all_spans(texts: list[str], model: dict | None) -> list[tuple[list, list]]:
         where, found, pairs = [], [], []
         for i, (t, spans) in enumerate(zip(texts, base)):
             own = nodes(t, spans)
-            if any(label < 0 for _, _, label in own):  # else there is nothing to decide
+            if any(label < 0 for _, _, label, _ in own):  # else there is nothing to decide
                 pairs += links(t, own, len(found))
                 where += [i] * len(own)
                 found += own
         if found:
             weights = np.array(model["weights"])
-            unary = np.array([shape(texts[i][s:e]) for i, (s, e, _) in zip(where, found)]) @ weights.T
-            label = np.array([x for _, _, x in found])
+            unary = np.array([shape(texts[i][s:e]) for i, (s, e, _, _) in zip(where, found)]) @ weights.T
+            label = np.array([x for _, _, x, _ in found])
             known = label >= 0
             unary[known] = -30.0
             unary[known, label[known]] = 0.0
             belief = propagate(unary, np.array(pairs, int).reshape(-1, 3), np.array(model["potentials"]))
             best = belief.argmax(axis=1)
             for j in np.flatnonzero(~known & (best > 0) & (belief.max(axis=1) >= CONFIDENT)):
-                s, e, _ = found[j]
+                s, e, _, _ = found[j]
                 added[where[j]].append((s, int(best[j]) - 1, e))
     return list(zip(base, added))
 
 
-def softmax_fit(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 1e-3, steps: int = 400) -> np.ndarray:
-    """Weights k x features by accelerated gradient descent."""
-    w = z = np.zeros((k, x.shape[1]))
-    hot, t = np.eye(k)[y], 1.0
-    rate = 4.0 / max(1.0, (x**2).sum(axis=1).mean())
+def softmax_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray, ridge: float = 1e-5, steps: int = 4_000) -> np.ndarray:
+    """Weights, classes x features, by accelerated gradient descent; the ridge draws them to where they start."""
+    w = z = start.copy()
+    weight = weight / weight.sum()
+    hot, t = np.eye(len(start))[y], 1.0
+    rate = 1 / (0.5 * np.linalg.eigvalsh((x * weight[:, None]).T @ x)[-1] + ridge)
     for _ in range(steps):
         s = x @ z.T
         p = np.exp(s - s.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        new = z - rate * ((p - hot).T @ x / len(x) + ridge * z)
+        new = z - rate * (((p - hot) * weight[:, None]).T @ x + ridge * (z - start))
         t, old = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
         z, w = new + (old - 1) / t * (new - w), new
     return w
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 3) -> dict | None:
-    """The field's weights from at most SAMPLE documents and NODES nodes, labelled by their base spans."""
-    few = docs.select(F.col(id_col).alias("sample_id")).distinct().orderBy(F.xxhash64("sample_id", F.lit(seed)), "sample_id").limit(SAMPLE)
-    rows = docs.select(id_col, text_col).join(F.broadcast(few), F.col(id_col) == F.col("sample_id")).select(text_col)  # at most SAMPLE numbers
-
-    def of():
-        def one(t: str):
-            own = nodes(t, base_spans(t))
-            return [[float(max(0, x)), *shape(t[s:e])] for s, e, x in own], [list(p) for p in links(t, own, 0)]
-
-        return lambda texts: list(zip(*(one(t) for t in texts)))
-
-    x_col, p_col = renamed(rows, "x", "pairs")
-    got = with_columns_of_text(rows, text_col, f"`{x_col}` array<array<double>>, `{p_col}` array<array<int>>", of).select(x_col, p_col).filter(F.size(x_col) > 0).limit(NODES // 8)
-    x, y, counts = [], [], np.ones((2, len(LABELS), len(LABELS)))
-    for r in got.toLocalIterator():
-        if len(x) >= NODES:
-            break
-        labels = [int(v[0]) for v in r[x_col]]
-        for a, b, kind in r[p_col]:
-            counts[kind, labels[a], labels[b]] += 1
-        x += [v[1:] for v in r[x_col]]
-        y += labels
-    if not x:
+def examples(text: str) -> list[tuple[bytes, int]]:
+    """Of each node that is not hidden its shape with its neighbours' labels, and its label."""
+    own = nodes(text, base_spans(text))
+    if not own:
+        return []
+    pairs = links(text, own)
+    label = [max(0, x) for _, _, x, _ in own]
+    hidden = [x < 0 and run for _, _, x, run in own]
+    for a, b, kind in pairs:
+        if kind != CHAIN and (own[a][2] < 0) != (own[b][2] < 0):
+            hidden[a if own[a][2] < 0 else b] = True
+    beside = [[0] * (len(PRIOR) * len(LABELS)) for _ in own]
+    for a, b, kind in pairs:
+        for i, j in ((a, b), (b, a)):
+            if not hidden[j]:
+                at = kind * len(LABELS) + label[j]
+                beside[i][at] = min(COUNTED, beside[i][at] + 1)
+    return [(bytes([*shape(text[s:e]), *beside[i]]), label[i]) for i, (s, e, _, _) in enumerate(own) if not hidden[i]]
+
+
+def _counts(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for part in blocks(batch, 0) if batch.num_rows else ():
+            found = Counter(x for t in part.column(0).to_pylist() if t for x in examples(t))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["x", "y", "n"])
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> dict | None:
+    """The field's weights from all documents, labelled by their base spans; None without a node."""
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(_counts, "x binary, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).orderBy("x", "y").collect()  # a row for each shape
+    if not rows:
         return None
-    counts += counts.transpose(0, 2, 1)
-    joint = counts / counts.sum(axis=(1, 2), keepdims=True)
-    apart = joint.sum(axis=2, keepdims=True) * joint.sum(axis=1, keepdims=True)
-    return {"weights": softmax_fit(np.array(x), np.array(y), len(LABELS)).tolist(), "potentials": np.clip(np.log(joint / apart), -2.0, 2.0).tolist()}
+    k = len(LABELS)
+    start = np.zeros((k, SHAPES + len(PRIOR) * k))
+    for kind, odds in enumerate(PRIOR):
+        start[:, SHAPES + kind * k : SHAPES + (kind + 1) * k] = odds * np.eye(k)
+    w = softmax_fit(np.array([list(r["x"]) for r in rows], float), np.array([r["y"] for r in rows]), np.array([r["n"] for r in rows], float), start)
+    both = w[:, SHAPES:].reshape(k, len(PRIOR), k).transpose(1, 0, 2)
+    return {"weights": w[:, :SHAPES].tolist(), "potentials": ((both + both.transpose(0, 2, 1)) / 2).tolist()}
+
 
+def find(docs: DataFrame, model: dict | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs (without the text unless it is kept) with two arrays of structs (kind, start, stop): base spans and added ones.
 
-def find(docs: DataFrame, model: dict | None, text_col: str = "text", base: str = "base_spans", added: str = "added_spans", keep_text: bool = True) -> DataFrame:
-    """docs (without the text unless it is kept) with two arrays of structs (kind, start, stop): base spans and added ones."""
+    They are named base_spans and added_spans, with _ after names that docs has (see common.renamed).
+    """
+    base, added = renamed(docs, "base_spans", "added_spans")
 
     def of():
         def structs(spans):

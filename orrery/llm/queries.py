@@ -54,7 +54,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in pii.KINDS]), s["kind"])
     keyed = F.array_sort(F.transform(F.concat("base_spans", "added_spans"), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     return out.select(
-        "doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(keyed).alias("spans"), F.size("added_spans").cast("long").alias("n_added")
+        "doc_id", *[count(k) for k in pii.KINDS], F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(keyed).alias("spans"), F.size("added_spans").cast("long").alias("n_added"), F.size(keyed).cast("long").alias("n_spans")
     )
 
 

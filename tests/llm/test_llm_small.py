@@ -173,6 +173,89 @@ def test_pii(docs, empty):
     assert masked[7] == "write to <email> or <phone>, at <ip>" and masked[3] is None
 
 
+def test_pii_names(docs):
+    mine = docs.withColumns({"base_spans": F.lit("mine"), "added_spans": F.lit("mine"), "masked_text": F.lit("mine")})
+    assert pii.find(mine, None).columns == [*mine.columns, "base_spans_", "added_spans_"]
+    assert pii.masked(mine, None).columns == mine.columns
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Texts with personal data that patterns see, and others with what they lose: (text, added spans wanted)."""
+    rng = np.random.default_rng(17)
+    number = lambda n: "".join(rng.integers(0, 10, n).astype(str))
+
+    def card(right: bool) -> str:
+        while pii.luhn(x := "4" + number(15)) != right:
+            pass
+        return x
+
+    plain, lost = [], []
+    for k in range(300):
+        far, a, b = "some words that keep them apart " * int(rng.integers(2, 12)), int(rng.integers(200, 990)), number(4)
+        phone, mail, ip = f"+1 ({a}) 555-{b}", f"name{k}.of@mail{k % 9}.example.com", ".".join(rng.integers(0, 256, 4).astype(str))
+        parts = [phone, mail, f"at {ip}", f"with {card(True)}", f"order {card(False)}", f"of {number(6)}", number(3), number(10), far, far]
+        plain.append(" and, ".join(parts[int(i)] for i in rng.permutation(10)))
+        kind = k % 6
+        if kind == 0:  # another number follows at once
+            lost.append((f"{far}{phone} {ip} {far}", [("phone", phone)]))
+        if kind == 1:
+            x, y = card(True), card(False)
+            lost.append((f"{far}{x} {y} {far}", [("card", x)]))
+        if kind == 2:  # repeated in another form far away
+            again = (f"{a}-555-{b}", f"({a}) 555-{b}", f"{a}555{b}")[k // 6 % 3]
+            lost.append((f"{far}{phone} {far}{again} {far}", [("phone", again)]))
+        if kind == 3:
+            lost.append((f"{far}{mail} {far}name{k}.of@mail {far}", [("email", f"name{k}.of@mail")]))
+        if kind == 4:  # what looks alike without a link or a pattern
+            lost.append((f"{far}{card(False)} {far}{number(10)} {far}{a}-555-{b} and x@y and {a + 300}.1.2.3 {far}", []))
+        if kind == 5:
+            lost.append((f"{far}{card(False)} {far} {number(3)} {number(3)} token = \"{number(9)}ab{number(9)}c\"", []))
+    return plain, lost
+
+
+def test_pii_adds_what_patterns_lose(spark, planted):
+    plain, lost = planted
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(plain + [t for t, _ in lost])], "doc_id long, text string")
+    model = pii.fit(df)
+    got = {r.doc_id: {(s.kind, r.text[s.start : s.stop]) for s in r.added_spans} for r in pii.find(df, model).collect()}
+    right = wanted = found = 0
+    for k, (_, want) in enumerate(lost, len(plain)):
+        right, wanted, found = right + len(got[k] & set(want)), wanted + len(want), found + len(got[k])
+    assert not any(got[k] for k in range(len(plain)))
+    assert right >= 0.95 * wanted and right >= 0.95 * found
+    # Without skip links the repeated forms are lost.
+    alone = {**model, "potentials": [model["potentials"][0], *([[[0.0] * 5] * 5] * 2)]}
+    less = {r.doc_id: r.added_spans for r in pii.find(df, alone).collect()}
+    assert all(not less[k] for k, (t, w) in enumerate(lost, len(plain)) if w and w[0][0] == "email")
+    # What a document gets does not depend on those beside it.
+    texts = [t for t, _ in lost]
+    assert [pii.all_spans([t], model)[0] for t in texts] == pii.all_spans(texts, model)
+
+
+def test_pii_fit_does_not_depend_on_partitions(spark, planted):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(planted[0])], "doc_id long, text string")
+    assert pii.fit(df.repartition(7)) == pii.fit(df.coalesce(1))
+
+
+def test_pii_beliefs_on_loops():
+    """Loopy beliefs beside exact marginals of small graphs with loops."""
+    rng = np.random.default_rng(18)
+    for _ in range(60):
+        n, k = int(rng.integers(3, 7)), 3
+        pairs = [(a, b, int(rng.integers(0, 2))) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.6]
+        unary, potentials = rng.normal(size=(n, k)), 0.5 * rng.normal(size=(2, k, k))
+        potentials = (potentials + potentials.transpose(0, 2, 1)) / 2
+        want = np.zeros((n, k))
+        for labels in np.ndindex(*[k] * n):
+            p = np.exp(sum(unary[i, x] for i, x in enumerate(labels)) + sum(potentials[c, labels[a], labels[b]] for a, b, c in pairs))
+            for i, x in enumerate(labels):
+                want[i, x] += p
+        want /= want.sum(axis=1, keepdims=True)
+        got = pii.propagate(unary, np.array(pairs, int).reshape(-1, 3), potentials)
+        assert np.abs(got - want).max() < 0.08 and np.abs(got - want).mean() < 0.02
+
+
 def test_pii_field_is_consistent():
     base = "call 4111 1111 1111 1111 now. " + "filler words between. " * 30 + "again 4111111111111111"
     assert [k for _, k, _ in pii.base_spans(base)] == [2, 2]
