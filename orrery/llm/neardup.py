@@ -5,18 +5,24 @@ band are candidates. Buckets never become pairs: each bucket ties its nodes to i
 one, and the ties' connected components are the groups in which all links must lie.
 Only the texts of such groups are read again. A group is checked in one task by its
 inverted index: the overlap with all texts not yet in the class comes from the postings
-of one text, exactly, and what joins a class is not looked at again. A group of more than
-GROUP nodes is cut into blocks, and every two blocks are checked together, so memory is
-bounded, nothing is left out, and tasks stay even.
+of one text, exactly, and what joins a class is not looked at again.
+
+A group that exceeds GROUP nodes or GROUP_BYTES of shingles is not checked as a whole, as
+chains of weak candidates may tie any number of texts, but bucket by bucket (of buckets
+with equal members one). Only a bucket that exceeds these bounds itself is cut into blocks,
+of which every two are checked together. So memory is bounded, nothing is left out, and
+tasks stay even.
 
 Classes are connected by similarity of at least the threshold (weighted Jaccard of bags
 of five-word runs, 0.8); only links of classes, never pairs, leave a task.
 
 Defined results: a null text is empty; texts without words form one class; texts of fewer
 than five words are alike only if their words are equal; the class id is the least id of
-the class (null ids count as the largest); repeated rows are in one class; rows that
-repeat an id with other texts, or have none, are classified and kept or dropped each by
-its own text. An empty table gives an empty one.
+the class (null where no row of it has one: a null counts as larger than any id); repeated
+rows are in one class; rows that repeat an id with other texts, or have none, are classified
+and kept or dropped each by its own text; of a pair at exactly the threshold both are in one
+class; a text of any length is one bag. Ids are whole numbers. Columns of the input may have
+any names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,11 +39,10 @@ from orrery.llm.common import blocks, released, renamed, small, with_columns_of_
 from orrery.llm.components import components
 
 THRESHOLD = 0.8
-#: Nodes that are checked in one task without cutting the group.
-GROUP = 4_096
+#: Nodes, and bytes of their shingles, that are checked together.
+GROUP, GROUP_BYTES = 4_096, 16_000_000
 #: Bytes of text that are hashed together: the arrays take about forty times as many.
 BLOCK_BYTES = 1_000_000
-NO_ID = 2**63 - 1
 
 
 def _digests(texts: list[str]) -> list[bytes]:
@@ -47,23 +52,23 @@ def _digests(texts: list[str]) -> list[bytes]:
 
 def row_key(id_col: str, text_col: str):
     """16 bytes that tell rows by id and text; ids may repeat or be null."""
-    text = F.concat(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).cast("string"), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))
+    text = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))
     return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_key, digest of the words, keys of the bands; no keys without words)."""
+    """(doc_id, row_key, digest of the words, number of shingles, keys of the bands; no keys without words)."""
 
     def make():
         def work(texts):
             bags = bag.bags(texts)
             keys = bag.band_keys(bag.signatures(bags)).view(np.int64)
-            return [_digests(texts), [k if len(s) else [] for k, (s, _) in zip(keys, bags)]]
+            return [_digests(texts), [int(c.sum()) for _, c in bags], [k if len(s) else [] for k, (s, _) in zip(keys, bags)]]
 
         return work
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    return with_columns_of_text(rows, "text", "digest binary, keys array<bigint>", make, BLOCK_BYTES, keep_text=False)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
+    return with_columns_of_text(rows, "text", "digest binary, shingles bigint, keys array<bigint>", make, BLOCK_BYTES, keep_text=False)
 
 
 def tokens(s: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -155,23 +160,43 @@ def _linked(threshold: float):
     return run
 
 
+def _cuts():
+    """Blocks that the nodes of a group make."""
+    return F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("shingles") * 8 / GROUP_BYTES), F.lit(1)).cast("int").alias("cuts")
+
+
+def units(nodes: DataFrame) -> tuple[DataFrame, bool]:
+    """(digest, row_key, parts: the units in which a node is checked, with their cuts), and whether a node may be in several."""
+    keyed = nodes.select("digest", "shingles", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("digest").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    tied = written(keyed.join(shared.select("key", "b"), "key"))
+    groups = written(components(written(tied.filter("digest != b").select(F.col("digest").alias("a"), "b").distinct())))
+    sized = groups.join(nodes.select("digest", "shingles", "row_key"), F.col("node") == F.col("digest"))
+    cut = written(sized.groupBy("root").agg(_cuts()))
+    big = cut.filter("cuts > 1").limit(1).count() > 0
+    found = sized.join(cut, "root").select("digest", "row_key", F.col("root").alias("unit"), "cuts")
+    if big:
+        inside = tied.join(found.filter("cuts > 1").select("digest", "row_key"), "digest")
+        same = F.sum(F.xxhash64("digest").cast("decimal(38,0)"))
+        buckets = inside.groupBy("key").agg(_cuts(), F.count("*").alias("n"), F.min("digest").alias("least"), same.alias("same"))
+        once = buckets.groupBy("n", "least", "same").agg(F.min("key").alias("key"), F.first("cuts").alias("cuts")).select("key", "cuts")
+        found = found.filter("cuts = 1").unionByName(inside.join(once, "key").select("digest", "row_key", F.unhex(F.hex("key")).alias("unit"), "cuts"))
+    return found.groupBy("digest", "row_key").agg(F.collect_list(F.struct("unit", "cuts")).alias("parts")), big  # one for each band at most
+
+
 def classified(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, row_key, digest, root (the class, also where ids repeat), class_id, class_size, text_class."""
     seen = written(sketches(docs, id_col, text_col))
-    nodes = written(seen.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.count("*").alias("n_rows"), F.first("keys").alias("keys")))
-    keyed = nodes.select("digest", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("digest").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    ties = keyed.withColumnRenamed("digest", "a").join(shared, "key").filter("a != b").select("a", "b").distinct()
-    groups = written(components(written(ties)))
-    cut = groups.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("cuts"))
-    big = cut.filter("cuts > 1").limit(1).count() > 0
-    todo = groups.join(cut, "root").join(nodes.select("digest", "row_key"), F.col("node") == F.col("digest")).select("root", "cuts", "node", "row_key")
-    todo = small(written(todo))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first_id")
+    nodes = written(seen.groupBy("digest").agg(least, F.min("row_key").alias("row_key"), F.count("*").alias("n_rows"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys")))
+    todo, big = units(nodes)
+    todo = small(written(todo.withColumnRenamed("digest", "node")))
     rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).join(todo, "row_key")
     bags = with_columns_of_text(rows, "text", "found binary, data binary", _bags, BLOCK_BYTES, keep_text=False).filter("found = node")
-    # A group without cuts goes to one task; else block p meets every block q: (p, q) in order, or alone where there is one.
+    bags = bags.withColumn("part", F.explode("parts")).select("node", "data", "part.unit", "part.cuts")
+    # A unit without cuts goes to one task; else block p meets every block q: (p, q) in order, or alone where there is one.
     bags = bags.withColumn("p", F.expr("cast(pmod(xxhash64(node), cuts) AS int)")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    bags = bags.filter("cuts = 1 OR p != q").select(F.col("root").alias("comp"), F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", "data")
+    bags = bags.filter("cuts = 1 OR p != q").select(F.col("unit").alias("comp"), F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "node", "data")
     linked = bags.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_linked(threshold), "node binary, root binary")
     linked = written(linked)
     if big:
@@ -179,7 +204,7 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     # Every node of a group with its root; all other nodes are their own.
     of = nodes.join(linked.select("node", "root"), F.col("digest") == F.col("node"), "left").select("digest", "first_id", "n_rows", F.coalesce("root", "digest").alias("root"))
     heads = of.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n_rows").alias("class_size"))
-    named = of.join(heads, "root").select("digest", F.col("first_id").alias("text_class"), "root", "class_id", "class_size")
+    named = of.join(heads, "root").select("digest", F.col("first_id.id").alias("text_class"), "root", F.col("class_id.id").alias("class_id"), "class_size")
     return seen.select("doc_id", "row_key", "digest").join(written(named), "digest")
 
 
@@ -188,12 +213,6 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     return classified(docs, threshold, id_col, text_col).select("doc_id", "text_class", "class_id", "class_size")
 
 
-def report(docs: DataFrame, **how) -> DataFrame:
-    """link(), with null where an id was null."""
-    back = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return link(docs, **how).select(back("doc_id"), back("class_id"), "class_size", back("text_class"))
-
-
 def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each class, the one with the least id, then the least digest. Columns as in docs.
 
@@ -201,7 +220,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     """
     found = written(classified(docs, threshold, id_col, text_col).filter("class_size > 1").select("doc_id", "row_key", "digest", "root"))
     (key,) = renamed(docs, "own_id")
-    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest", "row_key")).alias("k")).select("k.row_key")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "row_key")).alias("k")).select("k.row_key")
     drop = without(found.select("row_key").distinct(), kept, "row_key").select(F.col("row_key").alias(key))
     left = without(docs.withColumn(key, row_key(id_col, text_col)), written(drop), key)
     if found.groupBy("row_key").count().filter("count > 1").limit(1).count():

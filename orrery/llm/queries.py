@@ -63,7 +63,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return neardup.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

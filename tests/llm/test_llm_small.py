@@ -293,7 +293,7 @@ def test_chat(spark):
 
 
 def test_near(docs, empty):
-    got = {(r.doc_id, r.class_id, r.class_size) for r in neardup.report(docs).collect()}
+    got = {(r.doc_id, r.class_id, r.class_size) for r in neardup.link(docs).collect()}
     assert {(1, 1, 3), (2, 1, 3), (3, 3, 3), (4, 3, 3), (6, 3, 3), (None, None, 1), (5, 5, 1), (7, 7, 1)} == got
     left = neardup.dedup(clash(docs))
     assert left.columns == clash(docs).columns
@@ -313,8 +313,9 @@ def test_near_in_blocks(spark, monkeypatch):
         texts.append(" ".join(t))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {r.doc_id: r.class_id for r in neardup.link(df).collect()}
-    monkeypatch.setattr(neardup, "GROUP", 7)
-    assert {r.doc_id: r.class_id for r in neardup.link(df).collect()} == want
+    for name, most in (("GROUP", 7), ("GROUP_BYTES", 8 * 196 * 9)):
+        monkeypatch.setattr(neardup, name, most)
+        assert {r.doc_id: r.class_id for r in neardup.link(df).collect()} == want
     sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
     cls = list(range(60))
     for a in range(60):
