@@ -14,7 +14,9 @@ Defined results: a null text is empty; rows with equal turn are ordered by role,
 text; null turns come first; null ids are one conversation; a null role is the role
 "" and, as all unknown ones, is written with the generic mark and makes the order
 invalid. Invalid conversations are formatted too, with valid = false and the first
-turn at which the machine refused. An empty table gives an empty one.
+turn at which the machine refused. A conversation of any length is one row of digests;
+repeated rows are turns of their own. Only the four columns named are read, so others may
+have any names. An empty table gives an empty one.
 """
 
 from __future__ import annotations

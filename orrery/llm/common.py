@@ -22,13 +22,13 @@ def normalised(text):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share. Where none is set a local one serves a local master; else it is an error."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("orrery.checkpoint.dir", None)
     if not where:
-        where = spark.conf.get("orrery.checkpoint.dir", None)
-        if not where:
-            where = "file://" + tempfile.mkdtemp(prefix="orrery-")
-            spark.conf.set("orrery.checkpoint.dir", where)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="orrery-")
+        spark.conf.set("orrery.checkpoint.dir", where)
     return where.rstrip("/")
 
 
@@ -69,6 +69,20 @@ def without(df: DataFrame, drop: DataFrame, key: str) -> DataFrame:
     return df.join(small(drop.select(key)), key, "left_anti")
 
 
+def told_by_size(rows: DataFrame, found: DataFrame, on: list[str], size: str, hot_rows: int, names: tuple[str, str] = ("parts", "part")) -> DataFrame:
+    """rows joined with found, which has each key once and in `size` the number of its rows.
+
+    The rows of a key above hot_rows are dealt over several tasks, among which the key's
+    values are repeated; such keys are at most the rows divided by hot_rows. names: of two
+    columns that neither side has.
+    """
+    n, part = names
+    parts = F.ceil(F.col(size) / hot_rows).cast("int")
+    hot = found.filter(F.col(size) > hot_rows).select(*on, parts.alias(n))
+    dealt = rows.join(small(hot), on, "left").withColumn(part, F.coalesce(F.pmod(F.monotonically_increasing_id(), n), F.lit(0).cast("long"))).drop(n)
+    return dealt.join(found.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), parts - F.lit(1).cast("long")))), [*on, part]).drop(part)
+
+
 def renamed(df: DataFrame, *names: str) -> list[str]:
     """Names like these that df does not have."""
     taken = {c.lower() for c in df.columns}

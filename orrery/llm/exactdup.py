@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import normalised, renamed, small, written
+from orrery.llm.common import normalised, renamed, small, told_by_size, written
 
 #: Digests of a shard: its slots take 49 bytes each.
 SHARD_DIGESTS = 40_000
@@ -193,11 +193,8 @@ def groups(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
 
 def _told(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows with what is known of their digests. The rows of a group above HOT_ROWS are dealt over several tasks."""
-    parts = F.ceil(F.col("group_size") / HOT_ROWS).cast("int")
-    hot = found.filter(F.col("group_size") > HOT_ROWS).select("digest", parts.alias("parts"))
-    dealt = rows.join(small(hot), "digest", "left").withColumn("part", F.coalesce(F.pmod(F.monotonically_increasing_id(), "parts"), F.lit(0).cast("long"))).drop("parts")
-    return dealt.join(found.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - F.lit(1).cast("long")))), ["digest", "part"])
+    """rows with what is known of their digests."""
+    return told_by_size(rows, found, ["digest"], "group_size", HOT_ROWS)
 
 
 def _kept(history: DataFrame | None) -> Column:

@@ -1,15 +1,17 @@
 """Mixing sources to target weights (1), with DataFrame functions only.
 
 Sizes are summed per source, targets follow from weights, and each document is emitted
-floor(rate) times plus once more if a number hashed from seed and id is below the
+floor(rate) times plus once more if a number hashed from seed, id and text is below the
 fraction; rate = target / source size, so the expected size of a source is its target.
 
 One row per source is all that is ever gathered; the largest source is summed before
 the shuffle and its documents stay where they are.
 
 Defined results: a null text has size 0; a null source is a source of its own (last);
-a source without words has rate 0 and emits nothing; repeated rows with one id get the
-same number; an empty table gives an empty one. Columns of the input keep their names.
+a source without words has rate 0 and emits nothing; rows that share an id, or have none,
+get numbers by their texts, and rows that are equal in both the same number; a text of any
+length is one row; sources of equal rank in the filling are taken in their order; an empty
+table gives an empty one. Columns of the input keep their names.
 """
 
 from __future__ import annotations
@@ -37,9 +39,9 @@ def words(text: Column) -> Column:
     return (F.octet_length(one) - F.octet_length(F.replace(one, F.lit(" "), F.lit(""))) + (F.octet_length(one) > 0).cast("int")).cast("long")
 
 
-def unit(seed: str, id_col: Column) -> Column:
-    """A number in [0, 1) that depends on seed and id alone."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null")))
+def unit(seed: str, id_col: Column, text: Column) -> Column:
+    """A number in [0, 1) that depends on seed, id and text alone."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
     return F.conv(F.substring(F.md5(key), 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
@@ -86,7 +88,7 @@ def with_copies(
     out = (
         docs.withColumn(size, words(F.col(text_col)))
         .join(F.broadcast(goals) if few else goals, F.col(source_col).eqNullSafe(F.col(key)), "left")
-        .withColumn(copies, (F.floor(rate) + (unit(seed, F.col(id_col)) < rate - F.floor(rate)).cast("long")).cast("long"))
+        .withColumn(copies, (F.floor(rate) + (unit(seed, F.col(id_col), F.col(text_col)) < rate - F.floor(rate)).cast("long")).cast("long"))
         .drop(key)
     )
     return out, {"size": size, "source_size": source_size, "target": target, "copies": copies}

@@ -18,7 +18,9 @@ executors (32,000 short strings, whatever the input); nothing is trained.
 Defined results: null and empty texts have no pieces and decode to an empty text;
 decode(encode(text)) is the text exactly, which for the mark character itself (U+2581)
 takes its bytes, where the library would turn it into a space; repeated rows get equal
-pieces; a text of any length is one row.
+pieces; a text of any length is one row; of equal merges the leftmost comes first. Columns of the input may have any names: new ones are named ids and
+decoded, with _ after names that are taken (see common.renamed). An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -213,7 +215,7 @@ _codecs: dict[int, Codec] = {}
 
 def _codec(shared) -> Codec:
     """The worker's codec, made once for a vocabulary."""
-    key = hash(tuple(shared.value[-1])) ^ len(shared.value)
+    key = hash(tuple(shared.value))
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(shared.value)
@@ -231,8 +233,9 @@ def _id_lists(ids: list[bytes]):
 BLOCK_BYTES = 4_000_000
 
 
-def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", column: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text") -> DataFrame:
     """docs with a column of piece ids."""
+    (column,) = renamed(docs, "ids")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def make():
@@ -247,8 +250,9 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", column: s
     return with_columns_of_text(docs, text_col, f"`{column}` array<int>", make, BLOCK_BYTES)
 
 
-def decode(rows: DataFrame, path: str = MODEL, ids_col: str = "ids", column: str = "decoded") -> DataFrame:
+def decode(rows: DataFrame, path: str = MODEL, ids_col: str = "ids") -> DataFrame:
     """rows with a column of the text that the ids stand for; null ids count as none."""
+    (column,) = renamed(rows, "decoded")
     from pyspark.sql.types import StringType, StructField, StructType
 
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary(path))

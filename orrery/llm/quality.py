@@ -9,7 +9,9 @@ rows, made where the rows are; the driver sees one row per class.
 
 Defined results: a null text counts as empty; an empty text has the statistics of an
 empty text and gets a score like any other; a class without labelled rows makes every
-score 0.5; repeated rows get equal scores; several labels of an id count separately.
+score 0.5; repeated rows get equal scores; several labels of an id count separately; a
+text of any length is one row; a score of exactly the threshold is of the better class.
+Columns of the input may have any names; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import ann, chat, exactdup, mixing, neardup, pieces, pii, quality, toxicity, urlfilter
-from orrery.llm.common import folded_out, table
+from orrery.llm.common import drop_tables, folded_out, table, tables
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +72,21 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenised(docs).select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "decoded_sha256", "round_trip")
 
 
+def tidy(query):
+    """The query, after which the tables that its result doesn't read are dropped."""
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_pii, op4_chat, op5_near_dedup, op6_pieces, op7_exact_dedup, op8_url_filter, op9_nearest, op10_toxicity)}
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        mark = len(tables)
+        out = query(spark, sf_dir)
+        if len(tables) > mark:
+            drop_tables(spark, mark, out)
+        return out
+
+    return run
+
+
+QUERIES = {f.__name__: tidy(f) for f in (op1_mixing, op2_quality, op3_pii, op4_chat, op5_near_dedup, op6_pieces, op7_exact_dedup, op8_url_filter, op9_nearest, op10_toxicity)}
 
 _MARKS = "|".join(re.escape(m).replace("\\ ", " ").replace("\\#", "#").replace("\n", "\\n") for m in chat.CHAT.marks())
 _RULES = sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))
@@ -116,7 +130,7 @@ SELECT page_id, j.host, j.path, j.rule, coalesce(j.action, CASE WHEN ma IS NULL
 FROM j JOIN s ON j.host = s.host AND j.path = s.path, m""",
     "op1_mixing": r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS t5, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS size,
          [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1]::DOUBLE AS w
@@ -133,7 +147,7 @@ fill AS (
 goals AS (SELECT source, size AS source_size, CASE WHEN k <= n THEN cap ELSE w * rest / ws END AS target FROM ranked, done),
 rated AS (
   SELECT d.doc_id, d.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate,
-         CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
+         CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || d.t5), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM rated""",

@@ -9,12 +9,16 @@ the difference of log-likelihoods divided by the number of characters; the thres
 calibrated on the labelled URLs, between the two classes' means by their spreads.
 
 Distinct host and path pairs are summed before the first shuffle, so a URL that a third
-of all rows have counts once. The table of grams is bounded by the alphabet (38 symbols)
+of all rows have counts once; where rows get their verdict, the rows of such a URL are dealt
+over several tasks. The table of grams is bounded by the alphabet (38 symbols)
 to the power of the order, whatever the input; it is broadcast only below a counted size.
 
 Defined results: null or no `://`: host and path are empty, no rule fits, and the model
 judges the empty string. If rules accept or reject no URL at all there is nothing to
-learn from, and URLs without a rule are allowed with score 0. Repeated rows stay.
+learn from, and URLs without a rule are allowed with score 0; a score of exactly the
+threshold is allowed. A URL of any length is one row, all of whose grams count. Repeated rows
+stay. Columns of the input may have any names (see common.renamed); an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import renamed, small, written
+from orrery.llm.common import renamed, small, told_by_size, written
 
 RULES = (
     ("allow", "com", "/"),
@@ -39,6 +43,8 @@ ORDER = 4
 SYMBOLS = 26 + 1 + 4 + 1 + 2
 #: Weight of the shorter context's distribution, in characters.
 PRIOR = 2.0
+#: Rows of one URL that get its verdict in one task.
+HOT_ROWS = 50_000
 
 
 def host(url: Column) -> Column:
@@ -99,7 +105,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_c
     name, action = rule(F.col("host"), F.col("path"), rules)
     urls = written(parts.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("action", action))
     table = written(ratios(urls))
-    scored = _grams(urls).join(small(table), "gram").groupBy("host", "path", "action").agg(F.avg("ratio").alias("score"))
+    scored = _grams(urls).join(small(table), "gram").groupBy("host", "path", "action").agg(F.avg("ratio").alias("score"), F.first("n").alias("n"))
     scored = written(scored)
     means = {x["action"]: (x["m"], x["d"]) for x in scored.filter("action IS NOT NULL").groupBy("action").agg(F.avg("score").alias("m"), F.coalesce(F.stddev("score"), F.lit(0.0)).alias("d")).collect()}
     if {"allow", "block"} <= means.keys():
@@ -107,9 +113,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_c
         threshold, score = (ma * (db + 1e-9) + mb * (da + 1e-9)) / (da + db + 2e-9), F.col("score")
     else:
         threshold, score = 0.0, F.lit(0.0)
-    verdicts = scored.select(F.col("host").alias(h), F.col("path").alias(p), score.alias(s))
+    n, x, y = renamed(pages.withColumns({k: F.lit(0) for k in names}), "n_rows", "parts", "part")
+    verdicts = scored.select(F.col("host").alias(h), F.col("path").alias(p), score.alias(s), F.col("n").alias(n))
     name, action = rule(F.col(h), F.col(p), rules)
-    found = pages.withColumns({h: host(F.col(url_col)), p: path(F.col(url_col))}).join(verdicts, [h, p], "left")
+    found = told_by_size(pages.withColumns({h: host(F.col(url_col)), p: path(F.col(url_col))}), verdicts, [h, p], n, HOT_ROWS, (x, y))
     told = F.when(F.col(s) >= F.lit(threshold), F.lit("allow")).otherwise(F.lit("block"))
     return found.withColumns({r: name, v: F.coalesce(action, told)}).select(*pages.columns, *names)
 

@@ -340,6 +340,7 @@ def test_pieces(spark, docs, empty):
     out = pieces.tokenised(clash(docs))
     assert out.filter("NOT round_trip").count() == 0 and out.count() == len(ROWS)
     back = pieces.decode(pieces.encode(docs))
+    assert pieces.encode(empty).count() == pieces.decode(pieces.encode(empty)).count() == 0
     assert back.filter("decoded = coalesce(text, '')").count() == len(ROWS)
     assert pieces.tokenised(empty).count() == 0
 
@@ -357,6 +358,28 @@ def test_urls(spark):
     assert urlfilter.keep(few.withColumn("host", F.lit("mine"))).columns == ["page_id", "url", "host"]
 
 
+def test_urls_where_rows_are_many(spark, monkeypatch):
+    """A URL of many rows, whose rows are dealt over several tasks, and columns of clashing names."""
+    rows = [(k, None if k % 2 else "http://b.org/a") for k in range(50)] + [(99, "http://b.com/")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({n: F.lit("mine") for n in ("host", "n_rows", "part", "parts", "score")})
+    want = sorted(map(tuple, urlfilter.judge(df).collect()))
+    monkeypatch.setattr(urlfilter, "HOT_ROWS", 4)
+    assert sorted(map(tuple, urlfilter.judge(df).collect())) == want and len(want) == 51
+    assert urlfilter.judge(df).columns == [*df.columns, "host_", "path", "rule", "verdict", "score_"]
+    long = spark.createDataFrame([(1, "http://c.org/" + "a/" * 200_000)], "page_id long, url string")
+    assert [len(r.path) for r in urlfilter.judge(long).collect()] == [400_001]
+
+
+def test_clashing_names(spark, docs, empty, labels):
+    mine = clash(docs)
+    assert quality.score(mine, labels, columns=mine.columns).columns == [*mine.columns, "score_"]
+    assert quality.score(empty, labels).count() == 0
+    assert pieces.decode(pieces.encode(mine), ids_col="ids_").columns == [*mine.columns, "ids_", "decoded"]
+    assert toxicity.score(mine, {"entries": {}, "stems": {}, "weights": None}).columns == [*mine.columns, "toxicity_"]
+    turns = spark.createDataFrame([(1, 0, "user", "a " * 300_000), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string").withColumns({n: F.lit("mine") for n in ("n_turns", "segment", "loss", "valid")})
+    assert [(r.n_turns, r.loss_chars) for r in chat.digests(turns).collect()] == [(2, 1)] and chat.segments(turns).count() == 6
+
+
 def test_url_model_learns(spark):
     rows = [(k, f"http://s{k}.com/shop/item{k}") for k in range(60)] + [(100 + k, f"http://s{k}.net/fr/casino{k}") for k in range(60)] + [(300, "http://z.org/shop/item5"), (301, "http://z.org/xx/casino")]
     got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
