@@ -47,20 +47,19 @@ def rag_tokens(x: Column) -> Column:
 
 def rag_sentences(x: Column) -> Column:
     """Sentences that end with . ! or ?, whatever follows."""
-    return F.filter(F.transform(F.split(F.trim(x), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.trim(x), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentences(x: Column) -> Column:
-    """Sentences after . ! ? or their Arabic forms before a letter or digit, joined again after an abbreviation."""
-    parts = F.filter(F.transform(F.split(F.trim(x), "(?<=[.!?؟۔])\\s+(?=[A-Za-z0-9؀-ۿ])"), F.trim), lambda s: s != "")
-    ends = lambda s: F.lower(s).rlike("(?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + ")$")
-
-    def put(done, part):
-        before = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(normalize_ws(F.concat_ws(" ", before, part))))
-        return F.when((F.size(done) > 0) & ends(F.try_element_at(done, F.lit(-1))), joined).otherwise(F.concat(done, F.array(part)))
-
-    return F.aggregate(parts, F.array().cast("array<string>"), put)
+    """Sentences after . ! ? or their Arabic forms before a letter or digit, but for ends of abbreviations.
+
+    Where a sentence goes on after an abbreviation its white space becomes single spaces.
+    """
+    joint, ahead = "\ue000", r"\s+(?=[A-Za-z0-9؀-ۿ])"
+    short = "(?i)(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + ")"
+    held = F.regexp_replace(F.trim(x), short + ahead, f"$1{joint}")
+    parts = F.filter(F.transform(F.split(held, "(?<=[.!?؟۔])" + ahead), lambda s: F.trim(s)), lambda s: s != "")
+    return F.transform(parts, lambda s: F.when(s.contains(joint), normalize_ws(F.translate(s, joint, " "))).otherwise(s))
 
 
 def clause_classes(x: Column, patterns: dict[str, str] = CLAUSE_PATTERNS) -> Column:

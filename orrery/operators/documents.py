@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -91,29 +92,50 @@ def clauses(pages: DataFrame, patterns: dict[str, str] = T.CLAUSE_PATTERNS, lang
 
 # Patterns of the Arabic entities.
 ARABIC_ENTITIES = {
-    "PERCENT": r"[0-9٠-٩]+(?:[.,٫][0-9٠-٩]+)?\s*[%٪]",
-    "DATE": r"[0-9٠-٩]{1,4}[/-][0-9٠-٩]{1,2}[/-][0-9٠-٩]{1,4}",
-    "QUANTITY": r"[0-9٠-٩]+(?:[.,٫][0-9٠-٩]+)?\s*(?:طن|كجم|كيلو|متر|لتر|ميغاواط)",
+    "DATE": r"(20\d{2}|19\d{2})",
+    "PERCENT": r"\d+\s*%",
+    "QUANTITY": r"(?i)\b(\d+(?:[\.,]\d+)?\s*(?:tco2e|co2|co₂|kwh|mwh|gwh|tonnes?|m3|m³))\b",
 }
-# Patterns of the English fallback entities.
+# The words and units of the English fallback; a title is a capital with lower-case letters.
+COMPANY_FORMS = ("llc", "plc", "pjsc", "inc.", "inc")
+PLACES = ("UAE", "Dubai", "Abu Dhabi", "KSA", "Saudi", "Qatar", "Bahrain", "Oman", "Kuwait")
+_TITLE = r"[A-Z][a-z]*"
 ENGLISH_ENTITIES = {
-    "PERCENT": r"\b\d+(?:\.\d+)?\s*%",
-    "DATE": r"\b(?:\d{4}-\d{2}-\d{2}|(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4})\b",
-    "QUANTITY": r"\b\d+(?:\.\d+)?\s*(?:kWh|MWh|tCO2e|tonnes?|kg|m3)\b",
+    "ORG": rf"\b{_TITLE}(?:\s+{_TITLE}\b)?(?:\s+(?i:{'|'.join(re.escape(f) for f in COMPANY_FORMS)}))?(?!\w)",
+    "GPE": rf"\w*(?:{'|'.join(PLACES)})\w*",
+    "PERCENT": r"\b\d+(?:[.,]\d+)*\s*%",
+    "MONEY": r"[$€£¥]\s*\d+(?:[.,]\d+)*",
+    "DATE": r"(?<![\w.,])\d{4}(?![\w%])",
 }
 
 
-def entities(pages: DataFrame, patterns: dict[str, str], tagger: Callable[[str], list[tuple[int, int, str]]] | None = None) -> DataFrame:
+def apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Of overlapping spans the longest ones, the first of equal ones; chains of overlaps are short, so each is settled by itself."""
+    out, chain, end = [], [], -1
+    for span in [*spans, None]:
+        if span is None or span[0] >= end:
+            taken: list[tuple[int, int, str]] = []
+            for s in sorted(chain, key=lambda x: (x[0] - x[1], x[0])):
+                if all(s[1] <= x[0] or x[1] <= s[0] for x in taken):
+                    taken.append(s)
+            out += sorted(taken)
+            chain = []
+        if span is not None:
+            chain.append(span)
+            end = max(end, span[1])
+    return out
+
+
+def entities(pages: DataFrame, patterns: dict[str, str], tagger: Callable[[str], list[tuple[int, int, str]]] | None = None, longest: bool = False) -> DataFrame:
     """(doc_sha256, page, span_start, span_end, text, label): what patterns match, or what a tagger says.
 
-    Spans are code points. The tagger, a plain function, is the place for a trained model.
+    longest: of matches that overlap only the longest stays, of equal ones the first. Spans are code points. The tagger, a plain function, is the place for a trained model.
     """
     if tagger is None:
 
         def tagger(t: str, found=tuple(patterns.items())):
-            import re
-
-            return sorted((m.start(), m.end(), k) for k, p in found for m in re.finditer(p, t))
+            every = sorted((m.start(), m.end(), k) for k, p in found for m in re.finditer(p, t))
+            return apart(every) if longest else every
 
     def run(batches):
         import pandas as pd

@@ -52,6 +52,14 @@ def causal_metrics(items: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("assets"), F.round(F.avg(F.when(fine, delta)), 4).alias("delta_rmse_mean"), F.round(F.count_if(fine & (delta < 0)) / F.count_if(fine), 4).alias("improved_fraction"))
 
 
+def causal_metrics_of_rows(rows: DataFrame) -> DataFrame:
+    """causal_metrics from a row for each asset and day: asset_id, post (after the policy), y_true, y_pred. No series is gathered."""
+    gap = F.coalesce((F.col("y_true") - F.col("y_pred")) * (F.col("y_true") - F.col("y_pred")), F.lit(0.0))
+    each = rows.groupBy("asset_id").agg(F.sqrt(F.avg(F.when(~F.col("post"), gap))).alias("pre"), F.sqrt(F.avg(F.when(F.col("post"), gap))).alias("after"))
+    delta = F.col("after") - F.col("pre")
+    return each.agg(F.count("*").alias("assets"), F.round(F.avg(delta), 4).alias("delta_rmse_mean"), F.round(F.count_if(delta < 0) / F.count(delta), 4).alias("improved_fraction"))
+
+
 def precision_at(items: DataFrame, ks: tuple[int, ...] = (), fractions: tuple[float, ...] = (), score: str = "score", label: str = "label", tie: str = "tile_id") -> DataFrame:
     """(k, precision): share of positives among the k best. A fraction stands for half-even(fraction x n), at least 1."""
     n = items.count()

@@ -128,7 +128,7 @@ def _level_model(y: np.ndarray, x: np.ndarray, start: int, period: int, ratio: f
 def structural_effect(series: DataFrame, dates: DataFrame, metric: str = "energy_kwh", period: int = 7, alpha: float = 0.05, min_pre_days: int = 30) -> DataFrame:
     """Counterfactual of a structural model by asset and day: y, yhat, lower, upper, post.
 
-    Level, season and regression on temperature and weekday, fitted before the policy (the
+    Level, season and regression on temperature and on weekdays less the last, fitted before the policy (the
     noise ratio by likelihood over a grid). One asset's daily series is one group: a row a
     day. Assets with too few days before get the mean before, without bands.
     """
@@ -144,7 +144,8 @@ def structural_effect(series: DataFrame, dates: DataFrame, metric: str = "energy
         if known.sum() < min_pre_days or not post.any():
             mean = y[:start][known].mean() if known.any() else np.nan
             return out.assign(yhat=mean, lower=np.nan, upper=np.nan, used_fallback=True)
-        x = np.column_stack([pdf["temp_c"].to_numpy(float) - pdf["temp_c"].mean()])
+        weekday = np.array([d.weekday() for d in pdf["date"]])
+        x = np.column_stack([pdf["temp_c"].to_numpy(float) - pdf["temp_c"].mean(), *((weekday == k).astype(float) for k in np.unique(weekday)[:-1])])
         fits = [_level_model(y, x, start, period, r) for r in (1e-4, 1e-3, 1e-2, 0.1, 1.0)]
         pred, var, _ = max(fits, key=lambda f: f[2])
         half = z * np.sqrt(np.maximum(var, 0))

@@ -38,10 +38,13 @@ def fetched(s, d):
 def core(s, d):
     """The driver's tables as the core schema."""
     orders, customers = table(s, d, "orders"), table(s, d, "customer")
+    key = F.col("p_partkey")
     return {
         "organization": customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")),
         "asset": table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 500).alias("owner_org_id")),
-        "event": orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 300).alias("asset_id"), F.col("o_orderstatus").alias("name")),
+        "event": orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 300).alias("asset_id"), F.col("o_custkey").alias("related_document_id"), F.col("o_orderstatus").alias("event_key")),
+        "document": table(s, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("title")),
+        "permit": table(s, d, "part").select(key.alias("id"), F.col("p_name").alias("reference_id"), (key % 300).alias("asset_id"), (key % 700).alias("org_id"), (key % 900).alias("document_id")),
     }
 
 
@@ -78,7 +81,7 @@ QUERIES = {
     "kg_edges": lambda s, d: evidence.kg_edges(*_docs(s, d)),
     "proof_bundle_ids": lambda s, d: evidence.bundle_ids(doc_index(s, d)),
     "distinct_assets": lambda s, d: doc_index(s, d).agg(F.count_distinct("asset_id").alias("n"), F.count("*").alias("docs")),
-    "kg_nodes": lambda s, d: graph.nodes(core(s, d), dict.fromkeys(("organization", "asset", "event"), "name")),
+    "kg_nodes": lambda s, d: graph.nodes(core(s, d)),
     "kg_node_edges": lambda s, d: graph.edges(core(s, d)),
     "permit_round_robin": lambda s, d: graph.round_robin(table(s, d, "supplier").select("s_suppkey", "s_name"), ["c", "a", "b"], "s_name"),
     "upsert_rows": lambda s, d: graph.upsert(core(s, d)["asset"].select("id", "name"), table(s, d, "customer").select((F.col("c_custkey") * 2).alias("id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("seq")), ["id"], "seq"),
@@ -105,9 +108,14 @@ ORACLES = {
     "proof_bundle_ids": f"{_W} SELECT doc_sha256, doc_id, 'pb-' || substr(md5(doc_sha256), 1, 12) AS bundle_id FROM doc_index",
     "distinct_assets": f"{_W} SELECT count(DISTINCT asset_id) AS n, count(*) AS docs FROM doc_index",
     "kg_nodes": """SELECT 'organization:' || c_custkey AS node, 'organization' AS entity, c_name AS name FROM customer UNION ALL SELECT 'asset:' || s_suppkey, 'asset', s_name FROM supplier
-      UNION ALL SELECT 'event:' || o_orderkey, 'event', o_orderstatus FROM orders""",
+      UNION ALL SELECT 'event:' || o_orderkey, 'event', o_orderstatus FROM orders UNION ALL SELECT 'document:' || doc_id, 'document', CASE WHEN doc_id % 5 <> 0 THEN coalesce(source, '') ELSE '' END FROM documents
+      UNION ALL SELECT 'permit:' || p_partkey, 'permit', p_name FROM part""",
     "kg_node_edges": """SELECT 'asset:' || s_suppkey AS src, 'organization:' || c_custkey AS dst, 'owned_by' AS rel FROM supplier JOIN customer ON s_suppkey % 500 = c_custkey
-      UNION ALL SELECT 'event:' || o_orderkey, 'asset:' || s_suppkey, 'concerns' FROM orders JOIN supplier ON o_orderkey % 300 = s_suppkey""",
+      UNION ALL SELECT 'event:' || o_orderkey, 'asset:' || s_suppkey, 'about' FROM orders JOIN supplier ON o_orderkey % 300 = s_suppkey
+      UNION ALL SELECT 'event:' || o_orderkey, 'document:' || doc_id, 'refers_to' FROM orders JOIN documents ON o_custkey = doc_id
+      UNION ALL SELECT 'permit:' || p_partkey, 'asset:' || s_suppkey, 'applies_to' FROM part JOIN supplier ON p_partkey % 300 = s_suppkey
+      UNION ALL SELECT 'permit:' || p_partkey, 'organization:' || c_custkey, 'issued_by' FROM part JOIN customer ON p_partkey % 700 = c_custkey
+      UNION ALL SELECT 'permit:' || p_partkey, 'document:' || doc_id, 'document' FROM part JOIN documents ON p_partkey % 900 = doc_id""",
     "permit_round_robin": "SELECT s_suppkey, s_name, ['a', 'b', 'c'][(row_number() OVER (ORDER BY s_name) - 1) % 3 + 1] AS dealt_to FROM supplier",
     "upsert_rows": "SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey * 2 FROM customer) UNION ALL SELECT c_custkey * 2, c_name FROM customer",
     "unique_violations": """SELECT 'unique c_nationkey' AS rule, CAST(sum(n) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 1) UNION ALL SELECT 'balance', count(*) FROM customer WHERE NOT c_acctbal >= 0""",

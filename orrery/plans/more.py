@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.functions import severity, text
+from orrery.functions import security, severity, text
 from orrery.operators import bus, core, evaluation, evidence, geo, graph, portals, retrieval, series
 from orrery.plans.evidence import _docs
 from orrery.plans.retrieval import hits
@@ -21,8 +21,8 @@ def investor_top(s, d):
 
 
 def permit_links(s, d):
-    permits = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), (F.col("o_orderkey") % 900).cast("string").alias("reference_id"), F.when(F.col("o_orderkey") % 2 == 0, "old").alias("document_id"))
-    documents = table(s, d, "customer").filter("c_custkey <= 500").select(F.col("c_custkey").cast("string").alias("reference_id"), F.concat(F.lit("d"), F.col("c_custkey")).alias("id"))
+    permits = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").cast("string").alias("reference_id"), F.when(F.col("o_orderkey") % 2 == 0, "old").alias("document_id"))
+    documents = table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("reference_id"), F.concat(F.lit("d"), F.col("c_custkey")).alias("id"))
     return core.link_documents(permits, documents)
 
 
@@ -33,7 +33,7 @@ def metric_lines(s, d):
 
 def ordered(s, d):
     rows = table(s, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
-    return retrieval.ordered_distinct(rows, "doc_id").limit(50)
+    return retrieval.ordered_distinct(rows, "doc_id")
 
 
 def severities(s, d):
@@ -68,7 +68,7 @@ QUERIES = {
     "insert_or_ignore": lambda s, d: graph.insert_or_ignore(table(s, d, "nation").select(F.col("n_nationkey").alias("k")), table(s, d, "customer").select((F.col("c_custkey") % 100).alias("k"), "c_custkey"), "k", "c_custkey"),
     "topic_counts": lambda s, d: table(s, d, "events").select(bus.topic(F.element_at(F.array(F.lit("AlertRaised"), F.lit("ProofIssued"), F.lit("Nothing")), (F.col("event_id") % 3 + 1).cast("int"))).alias("topic")).groupBy("topic").agg(F.count("*").alias("n")),
     "slugs": lambda s, d: table(s, d, "part").select("p_partkey", text.slug(F.concat(F.lit(" ++"), "p_name", F.lit(" / Part!"))).alias("slug")),
-    "hash_to_int": lambda s, d: table(s, d, "customer").select("c_custkey", F.expr("cast(conv(substring(md5(c_name), 25, 8), 16, 10) AS bigint) & 268435455").alias("n")),
+    "hash_to_int": lambda s, d: table(s, d, "customer").select("c_custkey", security.bounded_hash(F.col("c_name")).alias("n")),
     "mercator": lambda s, d: table(s, d, "supplier").select("s_suppkey", *[F.round(c, 3).alias(n) for n, c in zip("xy", geo.to_mercator((F.col("s_suppkey") % 340 - 170).cast("double"), (F.col("s_suppkey") % 120 - 59.5).cast("double")))]),
     "trailing_energy": lambda s, d: series.daily(readings(s, d)).groupBy("weekday").agg(F.round(F.avg("energy_kwh"), 6).alias("energy_kwh"), F.sum("obs").alias("obs")),
 }
@@ -80,9 +80,9 @@ ORACLES = {
     "investor_top10": f"""{_W}, n AS (SELECT doc_sha256, count(*) AS c FROM clauses GROUP BY 1) SELECT doc_id, round(3.0::DOUBLE * c + 2.0::DOUBLE * greatest(0, (365 - date_diff('day', published_at, DATE '2025-01-15')) / 365.0::DOUBLE), 6) AS score
       FROM doc_index JOIN n USING (doc_sha256) ORDER BY score DESC, doc_id LIMIT 10""",
     "news_labels": "SELECT CASE WHEN event_id % 3 <> 0 THEN event_type WHEN event_id % 2 = 0 THEN 'other' ELSE 'neutral' END AS label, count(*) AS n FROM events GROUP BY 1",
-    "permit_links": "SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderkey % 900 AS VARCHAR) AS reference_id, CASE WHEN c_custkey IS NOT NULL THEN 'd' || c_custkey WHEN o_orderkey % 2 = 0 THEN 'old' END AS document_id FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey <= 500) ON c_custkey = o_orderkey % 900",
+    "permit_links": "SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderkey AS VARCHAR) AS reference_id, CASE WHEN c_custkey IS NOT NULL THEN 'd' || c_custkey WHEN o_orderkey % 2 = 0 THEN 'old' END AS document_id FROM orders LEFT JOIN customer ON c_custkey = o_orderkey",
     "metric_lines": """WITH c AS (SELECT 'orrery_n_' || event_type AS name, count(*) AS n FROM events GROUP BY 1) SELECT '# HELP ' || name || ' pipeline metric' AS value FROM c UNION ALL SELECT '# TYPE ' || name || ' gauge' FROM c UNION ALL SELECT name || ' ' || n || '.000000' FROM c""",
-    "ordered_distinct": "SELECT l_suppkey AS doc_id, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY 1 ORDER BY first LIMIT 50",
+    "ordered_distinct": "SELECT l_suppkey AS doc_id, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY 1 ORDER BY first",
     "nli_accepted": "SELECT event_id FROM events WHERE (event_id % 101) / 100.0 >= 0.55 AND (event_id % 37) / 100.0 <= 0.30",
     "clause_classes": f"""{_W}, b AS (SELECT doc_id, text, '(^|[^\\p{{L}}\\p{{N}}_])' AS l, '($|[^\\p{{L}}\\p{{N}}_])' AS r FROM doc_index)
       SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, l || '(?i:the)' || r) THEN 'a' END, CASE WHEN regexp_matches(text, l || '(?i:la|le)' || r) THEN 'b' END, CASE WHEN regexp_matches(text, l || '(?i:und)' || r) THEN 'c' END], lambda x: x IS NOT NULL), ',') AS classes FROM b""",

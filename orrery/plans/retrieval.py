@@ -26,8 +26,9 @@ def chunked(s, d):
 
 
 def cited(s, d):
-    rows = table(s, d, "conversations").filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.slice(T.rag_tokens(F.col("text")), 1, 6).alias("citations_pred"), F.slice(T.rag_tokens(F.col("text")), 4, 6).alias("citations_gold"))
-    return rows
+    """Every turn as an item: longer words are predicted, shorter ones wanted."""
+    words = T.rag_tokens(F.coalesce("text", F.lit("")))
+    return table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.filter(words, lambda w: F.length(w) >= 3).alias("citations_pred"), F.filter(words, lambda w: F.length(w) <= 5).alias("citations_gold"))
 
 
 def covered(s, d):
@@ -36,10 +37,19 @@ def covered(s, d):
     return retrieval.gated(retrieval.coverage(rows, nli)).withColumn("coverage", F.round("coverage", 9))
 
 
+#: Words that clause classes have, in forms of both cases, and ones that look like them.
+WORDS = ("Emissions", "greenhouse  gases", "scope 2", "waters", "Wastewater", "recycling", "landfilled", "solid waste", "KWH", "efficiency", "windy", "solar")
+
+
+def worded():
+    """A sentence of a row of lineitem with two of WORDS and its comment's place."""
+    word = lambda k: F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.col(k) % len(WORDS) + 1).cast("int"))
+    return F.concat_ws(" ", F.lit("Of"), word("l_orderkey"), F.lit("and"), word("l_partkey"), F.lit("we report."))
+
+
 def causal(s, d):
-    rows = table(s, d, "lineitem").filter("l_linenumber <= 4").groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), (F.col("l_discount").cast("double") * 500).alias("p")))).alias("v"))
-    part = lambda a, b: F.struct(F.transform(F.slice("v", a, b), lambda x: x["q"]).alias("y_true"), F.transform(F.slice("v", a, b), lambda x: x["p"]).alias("y_pred"))
-    return evaluation.causal_metrics(rows.filter("size(v) >= 20").select(F.col("l_suppkey").alias("asset_id"), part(1, 10).alias("pre"), part(11, 10).alias("post")))
+    rows = table(s, d, "lineitem").select(F.col("l_suppkey").alias("asset_id"), (F.col("l_shipdate") >= "1995-06-17").alias("post"), F.col("l_quantity").cast("double").alias("y_true"), (F.col("l_discount").cast("double") * 500).alias("y_pred"))
+    return evaluation.causal_metrics_of_rows(rows)
 
 
 def changes(s, d):
@@ -55,9 +65,11 @@ QUERIES = {
     "doc_chunks": chunked,
     "chunk_metrics": lambda s, d: documents.chunk_metrics(chunked(s, d)),
     "doc_clauses": lambda s, d: documents.clauses(pages(s, d), TEST_KEYWORDS),
-    "doc_entities": lambda s, d: documents.entities(pages(s, d), documents.ENGLISH_ENTITIES),
-    "entity_coverage": lambda s, d: documents.entity_coverage(pages(s, d).dropDuplicates(["doc_sha256"]), pages(s, d).filter("doc_id % 3 = 0").select("doc_sha256")),
-    "kg_node_lists": lambda s, d: retrieval.attach_kg_nodes(table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_sha256")), table(s, d, "orders").filter("o_orderkey % 200 < 90").select((F.col("o_orderkey") % 200).cast("string").alias("doc_sha256"), (F.col("o_custkey") % 5).alias("kg_node_id"))).select("doc_sha256", F.array_join("kg_nodes", ",").alias("kg_nodes")),
+    "doc_entities": lambda s, d: documents.entities(pages(s, d), documents.ENGLISH_ENTITIES, longest=True),
+    "number_entities": lambda s, d: documents.entities(pages(s, d), documents.ARABIC_ENTITIES).groupBy("doc_sha256", "label", "text").agg(F.count("*").alias("n")),
+    "shipped_clauses": lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(T.clause_classes(worded()), ",").alias("classes")),
+    "entity_coverage": lambda s, d: documents.entity_coverage(pages(s, d).dropDuplicates(["doc_sha256"]), documents.entities(pages(s, d).dropDuplicates(["doc_sha256"]), documents.ARABIC_ENTITIES)),
+    "kg_node_lists": lambda s, d: retrieval.attach_kg_nodes(table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_sha256")), table(s, d, "orders").select((F.col("o_orderkey") % 100 * 2).cast("string").alias("doc_sha256"), (F.col("o_custkey") % 5).alias("kg_node_id"))).select("doc_sha256", F.array_join("kg_nodes", ",").alias("kg_nodes")),
     "chunk_ids": lambda s, d: retrieval.with_chunk_ids(table(s, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_sha256"), F.col("l_linenumber").alias("n"), F.lit(1).alias("page")), "n"),
     "topk_ip": lambda s, d: retrieval.top_k(table(s, d, "embeddings"), QUERY, 10).withColumn("score", F.round("score", 9)),
     "draft_jaccard": lambda s, d: retrieval.draft(hits(s, d), ASKED, 10).select("pos", "sentence", F.round("score", 9).alias("score")),
@@ -73,13 +85,26 @@ QUERIES = {
 _W = f"WITH {INDEX_SQL}"
 _IP = "list_inner_product(embedding::DOUBLE[], [" + ", ".join(f"{x}::DOUBLE" for x in QUERY) + "])"
 _TOK = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
-_CITED = f"""WITH t AS (SELECT conv_id, turn, {_TOK.format('text')} AS k FROM conversations WHERE role = 'user'),
- x AS (SELECT list_distinct(k[1:6]) AS p, list_distinct(k[4:9]) AS g FROM t), y AS (SELECT len(list_intersect(p, g)) AS h, len(p) AS np, len(g) AS ng FROM x),
+_CITED = f"""WITH t AS (SELECT conv_id, turn, {_TOK.format("coalesce(text, '')")} AS k FROM conversations),
+ x AS (SELECT list_distinct(list_filter(k, lambda w: len(w) >= 3)) AS p, list_distinct(list_filter(k, lambda w: len(w) <= 5)) AS g FROM t), y AS (SELECT len(list_intersect(p, g)) AS h, len(p) AS np, len(g) AS ng FROM x),
  z AS (SELECT *, CASE WHEN np = 0 AND ng = 0 THEN 1.0 WHEN np = 0 THEN 0.0 ELSE h / np END AS p, CASE WHEN np = 0 AND ng = 0 THEN 1.0 WHEN ng = 0 THEN 0.0 ELSE h / ng END AS r FROM y)"""
 _SENT = """, d AS (SELECT DISTINCT doc_sha256, lang, text FROM doc_index),
  s AS (SELECT doc_sha256, lang, list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?؟۔])\\s+([A-Za-z0-9؀-ۿ])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM d),
  q AS (SELECT doc_sha256, lang, unnest(range(len(parts))) AS i, parts FROM s), sent AS (SELECT doc_sha256, lang, 1 AS page, CAST(i AS INTEGER) AS n, parts[i + 1] AS sentence FROM q)"""
+_HAS = " OR ".join(f"regexp_matches(text, '{p}')" for p in documents.ARABIC_ENTITIES.values())
+_ENTITIES = " UNION ALL ".join(f"SELECT doc_sha256, '{k}' AS label, unnest(regexp_extract_all(text, '{p}')) AS text FROM doc_index" for k, p in documents.ARABIC_ENTITIES.items())
+_WORDS = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
+_CLASSES = ", ".join(rf"CASE WHEN regexp_matches(t, '(?i)(^|[^\p{{L}}\p{{N}}_])(?:{p})($|[^\p{{L}}\p{{N}}_])') THEN '{k}' END" for k, p in T.CLAUSE_PATTERNS.items())
 ORACLES = {
+    "number_entities": f"{_W}, e AS ({_ENTITIES}) SELECT doc_sha256, label, text, count(*) AS n FROM e GROUP BY ALL",
+    "shipped_clauses": f"""WITH x AS (SELECT l_orderkey, l_linenumber, 'Of ' || {_WORDS}[l_orderkey % {len(WORDS)} + 1] || ' and ' || {_WORDS}[l_partkey % {len(WORDS)} + 1] || ' we report.' AS t FROM lineitem)
+      SELECT l_orderkey, l_linenumber, array_to_string(list_filter([{_CLASSES}], lambda x: x IS NOT NULL), ',') AS classes FROM x""",
+    "nli_best": f"""WITH r AS (SELECT item_id AS pos, string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM benchmark),
+      q AS (SELECT pos, unnest(range(len(parts))) AS n, parts FROM r), t AS (SELECT pos, n, trim(parts[n + 1]) AS sentence, {_TOK.format('parts[n + 1]')} AS k, ['the', 'and', 'with', 'that', 'from'] AS a FROM q),
+      v AS (SELECT *, (len(list_intersect(k, a)) + 0.5) / (len(list_distinct(list_concat(k, a))) + 0.5) AS score, substr(array_to_string(k, ' '), 1, 80) AS same FROM t WHERE len(k) > 0),
+      b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY same ORDER BY score DESC, pos, n) = 1), s AS (SELECT DISTINCT sentence, list_distinct(k) AS k FROM (SELECT * FROM b ORDER BY b.score DESC, pos, n LIMIT 10)),
+      p AS (SELECT sentence, item_id, len(list_intersect(k, {_TOK.format('substr(text, 1, 1200)')})) / len(k) AS e FROM s, benchmark)
+      SELECT sentence, e AS entailment, (1 - e) / 2 AS contradiction, item_id AS best_doc_id, 1 AS best_page FROM p QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY e DESC, item_id) = 1""",
     "sentences": f"{_W}{_SENT} SELECT DISTINCT doc_sha256, page, n, sentence FROM sent",
     "doc_clauses": f"{_W}{_SENT.replace('SELECT DISTINCT doc_sha256, lang, text', 'SELECT doc_sha256, lang, text')} "
     + " UNION ALL ".join(rf"SELECT doc_sha256, page, lang, n, sentence AS text, '{k}' AS clause_type FROM sent WHERE lang = 'en' AND regexp_matches(sentence, '(?i)(^|[^\p{{L}}\p{{N}}_]){w}($|[^\p{{L}}\p{{N}}_])')" for k, w in TEST_KEYWORDS.items()),
@@ -91,8 +116,8 @@ ORACLES = {
     "word_counts": r"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS words FROM documents",
     "load_metrics": r"SELECT source, lang, count(*) AS pages, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS words, count(*) FILTER (WHERE len(regexp_extract_all(text, '\S+')) = 0) AS empty_pages FROM documents GROUP BY 1, 2",
     "detect_lang": "SELECT doc_id, CASE WHEN len(regexp_replace(text, '[^\\x{0600}-\\x{06FF}]', '', 'g')) / greatest(len(text), 1) >= 0.1 THEN 'ar' ELSE 'en' END AS detected FROM documents",
-    "entity_coverage": f"{_W}, e AS (SELECT DISTINCT doc_sha256 FROM doc_index WHERE lang = 'en'), h AS (SELECT DISTINCT doc_sha256 FROM doc_index WHERE doc_id % 3 = 0) SELECT count(*) AS docs, count(h.doc_sha256) AS covered, count(h.doc_sha256) / count(*) AS coverage FROM e LEFT JOIN h USING (doc_sha256)",
-    "kg_node_lists": "WITH k AS (SELECT o_orderkey % 200 AS d, string_agg(DISTINCT CAST(o_custkey % 5 AS VARCHAR), ',' ORDER BY CAST(o_custkey % 5 AS VARCHAR)) AS kg_nodes FROM orders WHERE o_orderkey % 200 < 90 GROUP BY 1) SELECT CAST(s_suppkey AS VARCHAR) AS doc_sha256, coalesce(kg_nodes, '') AS kg_nodes FROM supplier LEFT JOIN k ON d = s_suppkey",
+    "entity_coverage": f"{_W}, e AS (SELECT DISTINCT doc_sha256 FROM doc_index WHERE lang = 'en'), h AS (SELECT DISTINCT doc_sha256 FROM doc_index WHERE {_HAS}) SELECT count(*) AS docs, count(h.doc_sha256) AS covered, count(h.doc_sha256) / count(*) AS coverage FROM e LEFT JOIN h USING (doc_sha256)",
+    "kg_node_lists": "WITH k AS (SELECT o_orderkey % 100 * 2 AS d, string_agg(DISTINCT CAST(o_custkey % 5 AS VARCHAR), ',' ORDER BY CAST(o_custkey % 5 AS VARCHAR)) AS kg_nodes FROM orders GROUP BY 1) SELECT CAST(s_suppkey AS VARCHAR) AS doc_sha256, coalesce(kg_nodes, '') AS kg_nodes FROM supplier LEFT JOIN k ON d = s_suppkey",
     "chunk_ids": "SELECT CAST(l_orderkey AS VARCHAR) AS doc_sha256, l_linenumber AS n, 1 AS page, l_orderkey || ':1:' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1) AS chunk_id FROM lineitem",
     "topk_ip": f"SELECT vec_id, round({_IP}, 9) AS score FROM embeddings ORDER BY {_IP} DESC, vec_id LIMIT 10",
     "coverage": f"""WITH r AS (SELECT item_id AS id, unnest(string_split(text, '. ')) AS sentence FROM benchmark), n AS (SELECT DISTINCT sentence, (len(sentence) % 11) / 10.0::DOUBLE AS e, (len(sentence) % 4) / 10.0::DOUBLE AS c FROM r WHERE len(sentence) % 5 <> 0),
@@ -101,9 +126,9 @@ ORACLES = {
     "rag_eval": _CITED + """, a AS (SELECT count(*) AS items, sum(h) / sum(np) AS mp, sum(h) / sum(ng) AS mr, avg(p) AS ap, avg(r) AS ar, avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) AS af FROM z)
       SELECT items, round(mp, 4) AS micro_precision, round(mr, 4) AS micro_recall, round(CASE WHEN mp + mr > 0 THEN 2 * mp * mr / (mp + mr) ELSE 0 END, 4) AS micro_f1, round(ap, 4) AS macro_precision, round(ar, 4) AS macro_recall, round(af, 4) AS macro_f1 FROM a""",
     "nli_accuracy": "SELECT round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 4) AS nli_accuracy FROM labels",
-    "rmse_eval": """WITH v AS (SELECT l_suppkey, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) * 500 AS p, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_discount) AS n, count(*) OVER (PARTITION BY l_suppkey) AS c FROM lineitem WHERE l_linenumber <= 4),
-      e AS (SELECT l_suppkey, sqrt(avg((q - p) * (q - p)) FILTER (WHERE n <= 10)) AS pre, sqrt(avg((q - p) * (q - p)) FILTER (WHERE n BETWEEN 11 AND 20)) AS post FROM v WHERE c >= 20 GROUP BY 1)
-      SELECT count(*) AS assets, round(avg(post - pre), 4) AS delta_rmse_mean, round(count(*) FILTER (WHERE post < pre) / count(*), 4) AS improved_fraction FROM e""",
+    "rmse_eval": """WITH v AS (SELECT l_suppkey, l_shipdate >= DATE '1995-06-17' AS post, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) * 500 AS p FROM lineitem),
+      e AS (SELECT l_suppkey, sqrt(avg((q - p) * (q - p)) FILTER (WHERE NOT post)) AS pre, sqrt(avg((q - p) * (q - p)) FILTER (WHERE post)) AS post FROM v GROUP BY 1)
+      SELECT count(*) AS assets, round(avg(post - pre), 4) AS delta_rmse_mean, round(count(*) FILTER (WHERE post < pre) / count(post - pre), 4) AS improved_fraction FROM e""",
     "precision_at_k": f"""WITH r AS (SELECT row_number() OVER (ORDER BY {_IP} DESC, vec_id) AS rn, CASE WHEN label = 3 THEN 1.0 ELSE 0.0 END AS y, count(*) OVER () AS n FROM embeddings),
       k AS (SELECT DISTINCT CAST(unnest([1, 5, 10, 20, max(n), greatest(1, round_even(0.1 * max(n), 0)), greatest(1, round_even(0.25 * max(n), 0))]) AS INTEGER) AS k FROM r)
       SELECT k, round(avg(y), 4) AS precision FROM k JOIN r ON rn <= k GROUP BY 1""",

@@ -110,7 +110,7 @@ def boxes(s, d):
 
 
 def commitments(s, d):
-    rows = table(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("features"), F.lit("m").alias("model_id"), F.lit(4).alias("precision"))
+    rows = table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("features"), F.lit("m").alias("model_id"), F.lit(4).alias("precision"))
     return proof.commitments(rows).select("vec_id", "payload_sha256", "commit_sha256")
 
 
@@ -178,7 +178,7 @@ ORACLES = {
     "bundle_verify": f"""{_BUNDLES}, i AS (SELECT *, sha256(payload) AS bundle_id FROM j),
       v AS (SELECT array_to_string(list_filter([CASE WHEN bundle_id < '3' AND decision = 'pass' THEN '{proof.WRONG_DECISION}' END, CASE WHEN substr(bundle_id, 2, 1) < '3' THEN '{proof.WRONG_SIGNATURE}' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM i)
       SELECT reasons, reasons = '' AS valid, count(*) AS n FROM v GROUP BY 1, 2""",
-    "feature_commit": f"""WITH p AS (SELECT vec_id, '{{"features":[' || array_to_string(list_transform(embedding[1:8], lambda x: CAST(round_even(x::DOUBLE, 4) AS VARCHAR)), ',') || '],"model_id":"m","precision":4}}' AS payload FROM embeddings)
+    "feature_commit": f"""WITH p AS (SELECT vec_id, '{{"features":[' || array_to_string(list_transform(embedding, lambda x: CAST(round_even(x::DOUBLE, 4) AS VARCHAR)), ',') || '],"model_id":"m","precision":4}}' AS payload FROM embeddings)
       SELECT vec_id, sha256(payload) AS payload_sha256, sha256('{proof.COMMIT_DOMAIN}' || chr(31) || payload) AS commit_sha256 FROM p""",
     "idempotent_ingest": """WITH a AS (SELECT event_id, event_type, 'key-' || user_id || '-' || event_type AS k FROM events), seen AS (SELECT DISTINCT 'key-' || (user_id + 100) || '-' || event_type AS k FROM events WHERE event_id % 50 = 0),
       f AS (SELECT k, min(event_id) AS f FROM a WHERE event_type <> 'error' GROUP BY 1)

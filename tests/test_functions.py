@@ -24,6 +24,8 @@ def test_text(spark):
     assert one(spark, text.word_count(t), t="") == 0
     assert one(spark, text.detect_lang(t), t="مرحبا ok") == "ar"
     assert one(spark, text.sentences(t), t="See e.g. Fig. 1. It works! ok? Yes") == ["See e.g. Fig.", "1.", "It works!", "ok?", "Yes"]
+    assert one(spark, text.sentences(t), t=" By 1 of e.g.  2 cases.  1 of 1. 2 are 2. Mr.\n Dr. No") == ["By 1 of e.g. 2 cases.", "1 of 1.", "2 are 2.", "Mr. Dr. No"]
+    assert one(spark, text.rag_sentences(t), t="0 a 0. 1 b 1! 2 c 2") == ["0 a 0.", "1 b 1!", "2 c 2"]
     assert one(spark, text.clause_classes(t), t="CO₂ and wastewater; microenergy") == ["emissions", "water"]
     assert one(spark, text.slug(t), t="  A -- big/Thing! ") == "a.big.thing"
     assert one(spark, text.kwh_threshold(t), t="drop of more than 350 kWh or 20 kwh") == 350.0
@@ -132,3 +134,15 @@ def test_geo(spark):
     assert one(spark, geo.centroid(square)) == [1.0, 1.0]
     assert one(spark, geo.area(square)) == 4.0
     assert one(spark, geo.is_valid(F.slice(square, 1, 4))) is False
+
+
+def test_spans_apart():
+    from orrery.operators.documents import ENGLISH_ENTITIES, apart
+
+    assert apart([(0, 3, "A"), (0, 9, "B"), (8, 12, "C"), (12, 14, "D"), (13, 14, "E")]) == [(0, 9, "B"), (12, 14, "D")]
+    import re
+
+    found = lambda k, t: [m.group() for m in re.finditer(ENGLISH_ENTITIES[k], t)]
+    assert found("ORG", "we met Masdar Clean PLC and Acme inc. there") == ["Masdar Clean PLC", "Acme inc."]
+    assert found("GPE", "in Dubai and the UAE") == ["Dubai", "UAE"] and found("MONEY", "paid $ 3.50 or €20") == ["$ 3.50", "€20"]
+    assert found("PERCENT", "by 12.5 % and 3%") == ["12.5 %", "3%"] and found("DATE", "2030, not 20301 or 3.2030 or x2030") == ["2030"]
