@@ -8,7 +8,7 @@ import pytest
 from compare import check
 from pyspark.sql import functions as F
 
-from orrery.llm import bagminhash, neardup, pii, queries
+from orrery.llm import bagminhash, pii, queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -63,20 +63,6 @@ def test_chat(spark, data):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for _, _, role, t in own).encode()).hexdigest()
 
 
-def test_near(spark, data):
-    docs = texts(spark, data)
-    ids = sorted(docs)
-    sets = [neardup.tokens(*x) for x in bagminhash.bags([docs[i] or "" for i in ids])]
-    cls = {i: i for i in ids}
-    for a, i in enumerate(ids):
-        for b in range(a):
-            both = len(np.intersect1d(sets[a], sets[b]))
-            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
-                old, new = max(cls[i], cls[ids[b]]), min(cls[i], cls[ids[b]])
-                cls = {k: new if v == old else v for k, v in cls.items()}
-    assert {r.doc_id: r.class_id for r in queries.op5_near_dedup(spark, data).collect()} == cls
-
-
 def test_signature_is_unbiased():
     rng = np.random.default_rng(10)
     errors = []
