@@ -17,18 +17,22 @@ from orrery.llm.common import drop_tables, table, tables, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those whose text scores 0.5 or more, by a grammar learned from `labels`; rows with a null id or text are scored like all others."""
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, white space aside: the one with the least id (a null counts as larger). Null texts are empty."""
     return exactdup.dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near copies (0.8 over five-word runs): the one with the least id. Texts without words are one class."""
     return neardup.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row floor(rate) times and once more by a draw on its id and text, so that sources come near their targets. A null source is a source."""
     return mixing.mix(docs)
 
 
@@ -45,7 +49,8 @@ STAGES = [
     ("pieces", to_pieces),
 ]
 
-#: Learned toxicity, signatures and pieces are beyond SQL; tests/llm compare each stage with brute force.
+#: Learned toxicity, signatures and pieces are beyond SQL; test_stages and the operators' tests in tests/llm
+#: compare the stages with brute force.
 ORACLE_SQL = None
 
 
