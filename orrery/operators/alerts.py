@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+from bisect import bisect_left
 from collections.abc import Sequence
 from functools import reduce
 
@@ -112,6 +113,37 @@ def dedupe(matched: DataFrame, config: Dedupe = Dedupe(), order: Sequence[str] =
     return dealt.mapInArrow(run, schema)
 
 
+class History:
+    """Values of one key in order of arrival, and how often they changed since a time.
+
+    Where arrivals are in order of time a question costs a binary search; rows are only
+    looked at again from the first that a late one can concern.
+    """
+
+    def __init__(self, rows=()):
+        self.rows, self.latest, self.changes, self.late = [], [], [], -1
+        for at, value in rows:
+            self.add(at, value)
+
+    def add(self, at: int, value: str) -> None:
+        rows, latest, changes = self.rows, self.latest, self.changes
+        if rows and at < latest[-1]:
+            self.late = len(rows)
+        changes.append(changes[-1] + (rows[-1][1] != value) if rows else 0)
+        latest.append(max(at, latest[-1]) if rows else at)
+        rows.append((at, value))
+
+    def changed(self, least: int, value: str) -> int:
+        """Changes among values not older than `least`, followed by one more value."""
+        start = bisect_left(self.latest, least)
+        if start == len(self.rows):
+            return 0
+        if start > self.late:
+            return self.changes[-1] - self.changes[start] + (self.rows[-1][1] != value)
+        recent = [v for t, v in self.rows[start:] if t >= least]
+        return sum(a != b for a, b in zip(recent, [*recent[1:], value]))
+
+
 class Fold:
     """The dedupe and flapping state of one group of keys, row by row."""
 
@@ -122,13 +154,13 @@ class Fold:
         c, at = self.c, at or 0
         last = self.sent.get(key)
         if last is not None and (age := (at - last) / 1e6) < max(c.min_interval_seconds, c.ttl_seconds):
-            self.history.setdefault(key, []).append((at, value)) if c.flap.enabled else None
+            if c.flap.enabled:
+                self.history.setdefault(key, History()).add(at, value)
             return "cooldown" if age < c.min_interval_seconds else "duplicate"
         if c.flap.enabled:
-            past = self.history.setdefault(flap_key, [])
-            recent = [v for t, v in past if t >= at - c.flap.window_seconds * 1_000_000]
-            changes = sum(a != b for a, b in zip(recent, [*recent[1:], value]))
-            past.append((at, value))
+            past = self.history.setdefault(flap_key, History())
+            changes = past.changed(at - c.flap.window_seconds * 1_000_000, value)
+            past.add(at, value)
             if changes > c.flap.max_changes:
                 return "flapping"
         if flap_key == key and c.flap.enabled and key not in self.sent:

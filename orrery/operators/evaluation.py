@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators.core import numbered
+
 LABELS = ("entailment", "neutral", "contradiction")
 
 
@@ -65,7 +67,8 @@ def precision_at(items: DataFrame, ks: tuple[int, ...] = (), fractions: tuple[fl
     n = items.count()
     wanted = sorted({min(k, n) for k in ks} | {max(1, round(f * n)) for f in fractions}) if n else []
     most = max([k for k in wanted if k > 0], default=0)
-    best = items.orderBy(F.desc(score), tie).limit(most).select(F.row_number().over(Window.orderBy(F.desc(score), tie)).alias("rn"), F.col(label).cast("double").alias("y"))
+    ranked = numbered(items.select(score, tie, F.col(label).cast("double").alias("y")), score, [tie], "rn", descending=True)
+    best = ranked.filter(F.col("rn") <= most)
     sums = [F.struct(F.lit(k).alias("k"), F.round(F.coalesce(F.avg(F.when(F.col("rn") <= k, F.col("y"))), F.lit(0.0)), 4).alias("precision")) for k in wanted]
     return best.agg(F.array(*sums).alias("r")).select(F.explode("r").alias("r")).select("r.*") if sums else items.sparkSession.createDataFrame([], "k int, precision double")
 

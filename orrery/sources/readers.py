@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -19,9 +19,9 @@ def json_array(spark: SparkSession, path: str, schema: str = EVENT_DDL) -> DataF
     raw = spark.read.text(path, wholetext=True)
     if raw.filter(F.substring(F.ltrim("value"), 1, 1) != "[").limit(1).count():
         raise ValueError(f"{path} is no JSON array")
-    items = raw.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "item")).filter(F.substring(F.ltrim("item"), 1, 1) == "{")
-    order = Window.orderBy("pos")  # positions count what is left
-    return items.withColumn("pos", F.row_number().over(order) - 1).select("pos", F.from_json("item", schema).alias("x")).select("pos", "x.*")
+    objects = F.filter(F.from_json("value", "array<string>"), lambda item: F.substring(F.ltrim(item), 1, 1) == "{")
+    items = raw.select(F.posexplode(objects).alias("pos", "item"))  # positions count what is left
+    return items.select("pos", F.from_json("item", schema).alias("x")).select("pos", "x.*")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.config import Dedupe
 from orrery.operators import bus
-from orrery.operators.alerts import Fold, key_text
+from orrery.operators.alerts import Fold, History, key_text
 
 
 def inbox(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -76,7 +76,7 @@ def dedupe(stream: DataFrame, config: Dedupe = Dedupe()) -> DataFrame:
         # Only what the flap window can still reach is kept.
         if fold.sent:
             least = max(fold.sent.values()) - config.flap.window_seconds * 1_000_000
-            fold.history = {k: [x for x in v if x[0] >= least] for k, v in fold.history.items()}
+            fold.history = {k: History(x for x in v.rows if x[0] >= least) for k, v in fold.history.items()}
         state.update((pickle.dumps((fold.sent, fold.history)),))
         yield pdf[["id", "subscription_id", "status"]]
 

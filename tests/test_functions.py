@@ -146,3 +146,36 @@ def test_spans_apart():
     assert found("ORG", "we met Masdar Clean PLC and Acme inc. there") == ["Masdar Clean PLC", "Acme inc."]
     assert found("GPE", "in Dubai and the UAE") == ["Dubai", "UAE"] and found("MONEY", "paid $ 3.50 or €20") == ["$ 3.50", "€20"]
     assert found("PERCENT", "by 12.5 % and 3%") == ["12.5 %", "3%"] and found("DATE", "2030, not 20301 or 3.2030 or x2030") == ["2030"]
+
+
+def test_numbered_in_ranges(spark, monkeypatch):
+    from orrery.operators import core
+
+    monkeypatch.setattr(core, "DRAWN", 50)
+    monkeypatch.setattr(core, "RANGES", 10)
+    rows = [(k, None if k % 11 == 0 else float(k * 37 % 23)) for k in range(400)]
+    df = spark.createDataFrame(rows, "id int, score double")
+    up = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    down = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    for descending, want in ((False, up), (True, down)):
+        got = core.numbered(df, "score", ["id"], descending=descending).orderBy("nth").collect()
+        assert [r.nth for r in got] == list(range(1, 401)) and [r.id for r in got] == [i for i, _ in want]
+    assert core.numbered(df.limit(0), "score", ["id"]).count() == 0
+
+
+def test_history_is_the_plain_count():
+    import random
+
+    from orrery.operators.alerts import History
+
+    draw = random.Random(5)
+    for late in (0, 0.1, 1):
+        past, rows, at = History(), [], 0
+        for _ in range(300):
+            at += draw.randrange(3)
+            t = draw.randrange(at + 1) if draw.random() < late else at
+            v = draw.choice("ab")
+            recent = [x for s, x in rows if s >= t - 20]
+            assert past.changed(t - 20, v) == sum(a != b for a, b in zip(recent, [*recent[1:], v]))
+            past.add(t, v)
+            rows.append((t, v))
