@@ -90,3 +90,18 @@ def kwh_threshold(x: Column) -> Column:
 
 def left(x: Column, n: int = 300) -> Column:
     return F.substring(x, 1, n)
+
+
+def quoted(name: str, quote: str = "`") -> str:
+    """An identifier between quotes; a quote within is doubled."""
+    return quote + name.replace(quote, quote * 2) + quote
+
+
+def latin1(x: Column) -> Column:
+    """Text without the characters that Latin-1 lacks."""
+    return F.regexp_replace(x, r"[^\x{00}-\x{FF}]", "")
+
+
+def paired(a: Column, b: Column) -> Column:
+    """Two arrays as one of pairs; null if they differ in length."""
+    return F.when(F.size(a) == F.size(b), F.arrays_zip(a, b))

@@ -38,8 +38,21 @@ def commitments(df: DataFrame, domain: str = COMMIT_DOMAIN, features: str = "fea
 
 
 def number_json(x: Column) -> Column:
-    """A double as JSON; whole numbers keep their .0. For magnitudes from 1e-3 to 1e7, where Java and Python agree."""
-    return x.cast("double").cast("string")
+    """A double as canonical JSON writes it: whole numbers keep their .0, exponents only below 1e-4 and from 1e16 on.
+
+    The digits are the JVM's. Java before 19 may write one that is not the shortest, in rare
+    values of 16 or 17 digits.
+    """
+    plain = x.cast("double").cast("string")
+    part = lambda k: F.regexp_extract(plain, r"^(-?)(\d)\.(\d+)E(-?\d+)$", k)
+    power = part(4).try_cast("int")
+    rest = F.when(part(3) == "0", "").otherwise(part(3))
+    digits, zeros = F.concat(part(2), rest), lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+    point = F.length(rest) - power
+    large = F.when(point <= 0, F.concat(digits, zeros(-point), F.lit(".0"))).otherwise(F.concat(F.left(digits, power + 1), F.lit("."), F.right(digits, point)))
+    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    short = F.concat(part(2), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), exponent)
+    return F.when(power.isNull(), plain).otherwise(F.concat(part(1), F.when(power.between(7, 15), large).when(power == -4, F.concat(F.lit("0.000"), digits)).otherwise(short)))
 
 
 def payload_json(version: bool = True) -> Column:

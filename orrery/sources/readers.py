@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from orrery.functions.text import paired
 from orrery.operators.documents import news_text
 
 EVENT_DDL = "id string, ts string, topic string, asset_id string, aoi_id string, rule_type string, severity string, acknowledged boolean, delta map<string,double>, payload variant"
@@ -137,8 +138,8 @@ def resolve_area(folder: str, slug: str, listing: Sequence[str] | None = None) -
 def causal_series(spark: SparkSession, path: str) -> DataFrame:
     """(asset_id, metric, date, y) of series files found at any depth; a later file replaces a series."""
     rows = spark.read.schema("asset_id string, metric string, date array<string>, y array<double>").option("recursiveFileLookup", True).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    rows = rows.withColumn("file", F.col("_metadata.file_path")).filter("asset_id IS NOT NULL AND metric IS NOT NULL AND size(date) = size(y)")
-    last = rows.groupBy("asset_id", "metric").agg(F.max_by(F.arrays_zip("date", "y"), "file").alias("v"))
+    rows = rows.withColumn("file", F.col("_metadata.file_path")).withColumn("v", paired(F.col("date"), F.col("y"))).filter("asset_id IS NOT NULL AND metric IS NOT NULL AND v IS NOT NULL")
+    last = rows.groupBy("asset_id", "metric").agg(F.max_by("v", "file").alias("v"))
     return last.select("asset_id", "metric", F.explode("v").alias("x")).select("asset_id", "metric", "x.date", "x.y")
 
 

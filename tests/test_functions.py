@@ -179,3 +179,19 @@ def test_history_is_the_plain_count():
             assert past.changed(t - 20, v) == sum(a != b for a, b in zip(recent, [*recent[1:], v]))
             past.add(t, v)
             rows.append((t, v))
+
+
+def test_numbers_are_written_as_in_canonical_json(spark):
+    import json
+
+    from orrery.operators import proof
+
+    values = [0.0, -0.0, 1.0, -2.5, 1e-3, 1e-4, 1.5e-4, 9.25e-5, -1e-5, 1.25e7, 12345678.5, 1e15, 1.5e15, 123456789012345.6, 1e16, -2.5e16, 1e100, 3e-10, 1.5e-300, 1e7]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", proof.number_json(F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == [json.dumps(r.v) for r in got]
+
+
+def test_names_and_lists(spark):
+    assert text.quoted("a`b") == "`a``b`" and text.quoted('a"b', '"') == '"a""b"'
+    assert one(spark, text.latin1(F.lit("caf\u00e9 \u2192 \u0645\U0001f600x"))) == "caf\u00e9  x"
+    assert one(spark, text.paired(F.array(F.lit(1)), F.array(F.lit(1), F.lit(2)))) is None
