@@ -95,6 +95,14 @@ _HAS = " OR ".join(f"regexp_matches(text, '{p}')" for p in documents.ARABIC_ENTI
 _ENTITIES = " UNION ALL ".join(f"SELECT doc_sha256, '{k}' AS label, unnest(regexp_extract_all(text, '{p}')) AS text FROM doc_index" for k, p in documents.ARABIC_ENTITIES.items())
 _WORDS = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
 _CLASSES = ", ".join(rf"CASE WHEN regexp_matches(t, '(?i)(^|[^\p{{L}}\p{{N}}_])(?:{p})($|[^\p{{L}}\p{{N}}_])') THEN '{k}' END" for k, p in T.CLAUSE_PATTERNS.items())
+# Chunks of 40 to 80 words, folded sentence by sentence.
+_CHUNKS = f"""{_W.replace('WITH ', 'WITH RECURSIVE ', 1)}{_SENT}, w0 AS (SELECT doc_sha256, lang, n, sentence, len(regexp_extract_all(sentence, '\\S+')) AS c FROM sent),
+  w AS (SELECT *, row_number() OVER (PARTITION BY doc_sha256 ORDER BY n) AS k FROM w0 WHERE c > 0),
+  fold AS (SELECT doc_sha256, k, 1 AS chunk_index, c AS words FROM w WHERE k = 1
+    UNION ALL SELECT w.doc_sha256, w.k, f.chunk_index + CASE WHEN f.words >= 80 OR (f.words >= 40 AND f.words + w.c > 96) THEN 1 ELSE 0 END,
+      CASE WHEN f.words >= 80 OR (f.words >= 40 AND f.words + w.c > 96) THEN w.c ELSE f.words + w.c END FROM fold f JOIN w ON w.doc_sha256 = f.doc_sha256 AND w.k = f.k + 1),
+  chunks AS (SELECT doc_sha256, any_value(lang) AS lang, CAST(chunk_index AS INTEGER) AS chunk_index, string_agg(sentence, ' ' ORDER BY k) AS text, CAST(sum(c) AS INTEGER) AS n_words,
+    CAST(count(*) AS INTEGER) AS n_sentences, 1 AS page_start, 1 AS page_end FROM fold JOIN w USING (doc_sha256, k) GROUP BY doc_sha256, chunk_index)"""
 ORACLES = {
     "number_entities": f"{_W}, e AS ({_ENTITIES}) SELECT doc_sha256, label, text, count(*) AS n FROM e GROUP BY ALL",
     "shipped_clauses": f"""WITH x AS (SELECT l_orderkey, l_linenumber, 'Of ' || {_WORDS}[l_orderkey % {len(WORDS)} + 1] || ' and ' || {_WORDS}[l_partkey % {len(WORDS)} + 1] || ' we report.' AS t FROM lineitem)
@@ -105,6 +113,8 @@ ORACLES = {
       b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY same ORDER BY score DESC, pos, n) = 1), s AS (SELECT DISTINCT sentence, list_distinct(k) AS k FROM (SELECT * FROM b ORDER BY b.score DESC, pos, n LIMIT 10)),
       p AS (SELECT sentence, item_id, len(list_intersect(k, {_TOK.format('substr(text, 1, 1200)')})) / len(k) AS e FROM s, benchmark)
       SELECT sentence, e AS entailment, (1 - e) / 2 AS contradiction, item_id AS best_doc_id, 1 AS best_page FROM p QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY e DESC, item_id) = 1""",
+    "doc_chunks": f"{_CHUNKS} SELECT * FROM chunks",
+    "chunk_metrics": f"{_CHUNKS} SELECT count(*) AS chunks, round(avg(n_words), 6) AS mean, quantile_cont(n_words, 0.5) AS median, quantile_cont(n_words, 0.95) AS p95, min(n_words) AS least, max(n_words) AS most FROM chunks",
     "sentences": f"{_W}{_SENT} SELECT DISTINCT doc_sha256, page, n, sentence FROM sent",
     "doc_clauses": f"{_W}{_SENT.replace('SELECT DISTINCT doc_sha256, lang, text', 'SELECT doc_sha256, lang, text')} "
     + " UNION ALL ".join(rf"SELECT doc_sha256, page, lang, n, sentence AS text, '{k}' AS clause_type FROM sent WHERE lang = 'en' AND regexp_matches(sentence, '(?i)(^|[^\p{{L}}\p{{N}}_]){w}($|[^\p{{L}}\p{{N}}_])')" for k, w in TEST_KEYWORDS.items()),
