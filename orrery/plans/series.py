@@ -151,6 +151,22 @@ _PIXELS = f"""WITH g AS (SELECT i % 3 AS a, CAST(i // 3 // 64 AS INTEGER) AS r,
   (2000 + 1000 * {_noise(3)} + CASE WHEN r BETWEEN 10 AND 20 AND c BETWEEN 30 AND 30 + a * 5 THEN 2500 ELSE 0 END) / 10000 AS r1, (4000 + 1000 * {_noise(4)}) / 10000 AS n1 FROM g),
  dif AS (SELECT aoi_id, row, col, (n1 - r1) / greatest(n1 + r1, 1e-6) - (n0 - r0) / greatest(n0 + r0, 1e-6) AS diff FROM p), sc AS (SELECT *, least(greatest(-diff, 0), 1) AS score FROM dif)"""
 _MASK = ", th AS (SELECT aoi_id, quantile_cont(score, 0.97) AS t FROM sc GROUP BY 1), m AS (SELECT aoi_id, CAST(sum(CASE WHEN score >= t THEN 1 ELSE 0 END) AS BIGINT) AS changed, count(*) AS total FROM sc JOIN th USING (aoi_id) GROUP BY 1)"
+_AROUND = "(VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) d(dr, dc)"
+_SHRUNK = f"SELECT aoi_id, row + dr AS row, col + dc AS col FROM {{0}}, {_AROUND} GROUP BY ALL HAVING count(*) = 5"
+_GROWN = f"SELECT DISTINCT aoi_id, row + dr AS row, col + dc AS col FROM {{0}}, {_AROUND} WHERE row + dr BETWEEN 0 AND 63 AND col + dc BETWEEN 0 AND 63"
+# The mask opened and closed once, without holes and without components below 6 pixels; seed: a component's first pixel.
+_CLEANED = f"""{_PIXELS.replace('WITH ', 'WITH RECURSIVE ', 1)}{_MASK}, m0 AS (SELECT aoi_id, row, col FROM sc JOIN th USING (aoi_id) WHERE score >= t),
+ m1 AS ({_SHRUNK.format('m0')}), m2 AS ({_GROWN.format('m1')}), m3 AS ({_GROWN.format('m2')}), m4 AS ({_SHRUNK.format('m3')}),
+ back AS (SELECT aoi_id, row, col FROM sc ANTI JOIN m4 USING (aoi_id, row, col)),
+ flood AS (SELECT * FROM back WHERE row IN (0, 63) OR col IN (0, 63) UNION SELECT back.* FROM flood, {_AROUND}, back WHERE back.aoi_id = flood.aoi_id AND back.row = flood.row + dr AND back.col = flood.col + dc),
+ m5 AS (SELECT aoi_id, row, col FROM sc ANTI JOIN flood USING (aoi_id, row, col)),
+ reach AS (SELECT *, row * 64 + col AS seed FROM m5 UNION SELECT m5.*, seed FROM reach, {_AROUND}, m5 WHERE m5.aoi_id = reach.aoi_id AND m5.row = reach.row + dr AND m5.col = reach.col + dc),
+ own AS (SELECT aoi_id, row, col, min(seed) AS seed FROM reach GROUP BY ALL), clean AS (SELECT *, count(*) OVER (PARTITION BY aoi_id, seed) AS area FROM own QUALIFY area >= 6)"""
+# The policy's coefficient from moments about the means, by determinants of three regressors.
+_MOMENT = lambda a, b: f"covar_pop({a}, {b})"
+_COLUMNS = [[_MOMENT(a, b) for a in ("temp", "weekend", "policy")] for b in ("temp", "weekend", "policy", "y")]
+_DET = lambda a, b, c: f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {b[0]} * ({a[1]} * {c[2]} - {a[2]} * {c[1]}) + {c[0]} * ({a[1]} * {b[2]} - {a[2]} * {b[1]}))"
+_EFFECT = f"sum(policy) * {_DET(_COLUMNS[0], _COLUMNS[1], _COLUMNS[3])} / {_DET(_COLUMNS[0], _COLUMNS[1], _COLUMNS[2])}"
 _NUM = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) || '.0' ELSE CAST({0} AS VARCHAR) END"
 _BUNDLES = f"""WITH b AS (SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS pdf_hash, sha256(CAST(o_custkey AS VARCHAR)) AS feature_commit, CAST(o_totalprice AS DOUBLE) AS score, o_orderpriority AS model_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'v1' END AS model_version, CAST(o_orderdate AS VARCHAR) AS issued_at FROM orders),
  j AS (SELECT *, CASE WHEN score >= 150000 THEN 'pass' ELSE 'fail' END AS decision, '{{"feature_commit":"' || feature_commit || '","model_id":"' || model_id || '"' || CASE WHEN model_version IS NOT NULL THEN ',"model_version":"v1"' ELSE '' END || ',"pdf_hash":"' || pdf_hash || '","score":' || {_NUM.format('score')} || ',"threshold":150000.0}}' AS payload FROM b)"""
@@ -166,6 +182,9 @@ ORACLES = {
     "series_filled": f"""{_R}, g AS (SELECT asset_id, date, CASE WHEN obs % 3 <> 0 THEN round(temp_c, 6) END AS t FROM daily)
       SELECT asset_id, CAST(date AS VARCHAR) AS date, coalesce(last_value(t IGNORE NULLS) OVER (PARTITION BY asset_id ORDER BY date), first_value(t IGNORE NULLS) OVER (PARTITION BY asset_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS temp_c FROM g""",
     "scm_ols_sums": f"{_R}{_X} SELECT asset_id, count(*) AS n, " + ", ".join(f"round(sum({a} * {b}), 6) AS {a}_{b}" for a, b in _PAIRS) + " FROM x GROUP BY 1",
+    "scm_what_if": f"{_R}{_X}, e AS (SELECT asset_id, {_EFFECT} AS effect FROM x GROUP BY 1) SELECT asset_id, round(effect, 4) AS effect, round(effect * 0.4, 4) AS effect_co2 FROM e",
+    "raster_cleaned": f"{_CLEANED} SELECT aoi_id, count(clean.seed) AS changed, count(*) AS total, count(clean.seed) / count(*) AS changed_frac FROM sc LEFT JOIN clean USING (aoi_id, row, col) GROUP BY 1",
+    "raster_components": f"{_CLEANED}, b AS (SELECT aoi_id, seed, min(row) AS r0, min(col) AS c0, max(row) + 1 AS r1, max(col) + 1 AS c1, count(*) AS pixels FROM clean GROUP BY 1, 2) SELECT aoi_id, CAST(row_number() OVER (PARTITION BY aoi_id ORDER BY seed) AS INTEGER) AS label, r0, c0, r1, c1, pixels FROM b",
     "ndvi_change": f"{_PIXELS} SELECT aoi_id, row, col, round(diff, 9) AS diff, round(score, 9) AS score FROM sc",
     "percentile_mask": f"{_PIXELS}{_MASK} SELECT aoi_id, changed, total, round(changed / total, 9) AS changed_frac FROM m",
     "raster_grey": f"{_PIXELS} SELECT aoi_id, 'before' AS timing, row, col, round(0.2989 * r0 + 0.5870 * n0, 9) AS value FROM p UNION ALL SELECT aoi_id, 'after', row, col, round(0.2989 * r1 + 0.5870 * n1, 9) FROM p",
