@@ -80,6 +80,8 @@ _LIMITED = f"""{_ROUTED}, cand AS (
 ), att AS (
   SELECT *, CASE WHEN coalesce(sum(c) OVER (ORDER BY pos, sub_pos, route_pos, channel_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 12 THEN 'global_rate_limited' WHEN c = 0 THEN 'channel_rate_limited' ELSE 'sent' END AS status FROM cand
 )"""
+_PAYLOAD = """'{"subscription_id":"' || m.subscription_id || '","event":{"pos":' || m.pos || ',"id":"' || m.id || '","ts":"' || ts || '","topic":"' || topic || '","asset_id":"' || asset_id || '",' ||
+  CASE WHEN aoi_id IS NULL THEN '' ELSE '"aoi_id":"' || aoi_id || '",' END || '"rule_type":"' || rule_type || '","severity":"' || severity || '","acknowledged":' || CAST(acknowledged AS VARCHAR) || ',"delta":{"ndvi":' || CAST(ndvi AS VARCHAR) || '}}}'"""
 _DEDUPE = """,
 d0 AS (SELECT *, row_number() OVER (PARTITION BY subscription_id, topic, asset_id, rule_type ORDER BY pos, sub_pos) AS n FROM matched),
 dd AS (
@@ -114,6 +116,7 @@ ORACLES = {
       SELECT subscription_id, id, CAST(sum(changed) OVER (PARTITION BY subscription_id, asset_id ORDER BY epoch(moment)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS BIGINT) AS changes FROM c""",
     "alert_routes": f"{_W}{_ROUTED} SELECT subscription_id, id, route_id, channel_id FROM routed",
     "channel_limiter": f"{_W}{_LIMITED} SELECT subscription_id, id, route_id, channel_id, status FROM att",
+    "channel_outbox": f"{_W}{_LIMITED} SELECT channel_id, 'outbox/' || CASE WHEN channel_id LIKE 'wh%' THEN 'webhook' ELSE 'email' END || '/' || channel_id || '/' || m.id || '__' || m.subscription_id || '.json' AS path, {_PAYLOAD} AS payload FROM att JOIN matched m USING (pos, sub_pos) WHERE status = 'sent'",
     "channel_counts": f"{_W}{_LIMITED} SELECT channel_id, count(*) FILTER (WHERE status = 'sent') AS sent, count(*) FILTER (WHERE status <> 'sent') AS skipped FROM att GROUP BY 1",
     "alert_feed": f"{_W}{_FEED} SELECT * FROM feed",
     "feed_counts": f"{_W}{_FEED} SELECT severity, count(*) AS n FROM feed GROUP BY 1",
