@@ -45,12 +45,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
-    """Deletes the tables written since a length of `tables`, but for the one that keep reads.
+def drop_tables(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
+    """Deletes the tables written since a length of `tables`, but for those that keep reads.
 
     Results of operators read such tables until they are written themselves.
     """
-    kept = set(keep.inputFiles()) if keep is not None else set()
+    kept = {f for df in keep for f in df.inputFiles()}
     jvm = spark.sparkContext._jvm
     for path in tables[since:]:
         if not any(path.rpartition("/")[2] in f for f in kept):
@@ -69,7 +69,7 @@ def without(df: DataFrame, drop: DataFrame, key: str) -> DataFrame:
     return df.join(small(drop.select(key)), key, "left_anti")
 
 
-def told_by_size(rows: DataFrame, found: DataFrame, on: list[str], size: str, hot_rows: int, names: tuple[str, str] = ("parts", "part")) -> DataFrame:
+def told_by_size(rows: DataFrame, found: DataFrame, on: list[str], size: str, hot_rows: int, names: tuple[str, str] = ("parts", "part"), how: str = "inner") -> DataFrame:
     """rows joined with found, which has each key once and in `size` the number of its rows.
 
     The rows of a key above hot_rows are dealt over several tasks, among which the key's
@@ -80,7 +80,25 @@ def told_by_size(rows: DataFrame, found: DataFrame, on: list[str], size: str, ho
     parts = F.ceil(F.col(size) / hot_rows).cast("int")
     hot = found.filter(F.col(size) > hot_rows).select(*on, parts.alias(n))
     dealt = rows.join(small(hot), on, "left").withColumn(part, F.coalesce(F.pmod(F.monotonically_increasing_id(), n), F.lit(0).cast("long"))).drop(n)
-    return dealt.join(found.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), parts - F.lit(1).cast("long")))), [*on, part]).drop(part)
+    return dealt.join(found.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), parts - F.lit(1).cast("long")))), [*on, part], how).drop(part)
+
+
+#: Rows of a key above which they are dealt over several tasks.
+HOT_ROWS = 100_000
+
+
+def small_or_dealt(rows: DataFrame, found: DataFrame, on: list[str], size: str | None = None, how: str = "inner", hot_rows: int = HOT_ROWS, counted: DataFrame | None = None) -> DataFrame:
+    """rows joined with found, which has each key once: sent to all executors if counted small, else dealt by key, hot keys over several tasks.
+
+    size: the column of found with the number of rows of its key (not kept); without it keys
+    are counted, so rows should be a table. counted: what found has gathered, if its rows
+    can be long. Nulls match nothing.
+    """
+    if (found if counted is None else counted).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(found.drop(size) if size else found), on, how)
+    (n,) = renamed(rows.join(found, on), "rows_of_key")
+    sized = found.withColumnRenamed(size, n) if size else found.join(rows.groupBy(*on).agg(F.count("*").alias(n)), on)
+    return told_by_size(rows, sized, on, n, hot_rows, tuple(renamed(rows.join(sized, on), "parts", "part")), how).drop(n)
 
 
 def renamed(df: DataFrame, *names: str) -> list[str]:

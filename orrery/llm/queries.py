@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, chat, exactdup, mixing, neardup, pieces, pii, quality, toxicity, urlfilter
+from orrery.llm import ann, chat, decontaminate, exactdup, mixing, neardup, phrases, pieces, pii, quality, toxicity, urlfilter, vafile
 from orrery.llm.common import drop_tables, folded_out, table, tables
 
 
@@ -72,6 +72,18 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenised(docs).select("doc_id", "n_tokens", F.xxhash64("ids").alias("ids_hash"), "decoded_sha256", "round_trip")
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.report(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def tidy(query):
     """The query, after which the tables that its result doesn't read are dropped."""
 
@@ -86,7 +98,7 @@ def tidy(query):
     return run
 
 
-QUERIES = {f.__name__: tidy(f) for f in (op1_mixing, op2_quality, op3_pii, op4_chat, op5_near_dedup, op6_pieces, op7_exact_dedup, op8_url_filter, op9_nearest, op10_toxicity)}
+QUERIES = {f.__name__: tidy(f) for f in (op1_mixing, op2_quality, op3_pii, op4_chat, op5_near_dedup, op6_pieces, op7_exact_dedup, op8_url_filter, op9_nearest, op10_toxicity, op11_codes, op12_phrases, op13_decontaminate)}
 
 _MARKS = "|".join(re.escape(m).replace("\\ ", " ").replace("\\#", "#").replace("\n", "\\n") for m in chat.CHAT.marks())
 _RULES = sorted(urlfilter.RULES, key=lambda r: -len(r[1] + r[2]))
@@ -97,7 +109,51 @@ _ORDERS = "".join(
     for k in (2, 3, 4)
 )
 
+_LOWER = lambda text: f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# Nearest entries and their means, round by round; a distance and an entry are one number, of which the least counts.
+_ROUNDS = "".join(
+    f""", a{k} AS (SELECT id, p, min(16 * list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) + e) AS m FROM x JOIN c{k} c USING (p) GROUP BY id, p),
+s{k} AS (SELECT p, e, j, sum(v) AS s, count(*) AS n FROM (SELECT p, CAST(m % 16 AS INTEGER) AS e, unnest(range(1, len(v) + 1)) AS j, unnest(v) AS v FROM a{k} JOIN x USING (id, p)) GROUP BY ALL),
+c{k + 1} AS (SELECT p, e, coalesce(w.v, c.v) AS v FROM c{k} c LEFT JOIN (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS HUGEINT) ORDER BY j) AS v FROM s{k} GROUP BY ALL) w USING (p, e))"""
+    for k in range(vafile.ROUNDS)
+)
+_KEY = "a.lang || chr(0) || array_to_string(a.ws[{}:{}], ' ')"
+_CUT = lambda k, j: f"SELECT a.id, {j} AS j, l.f AS l, r.f AS r FROM ok a JOIN part l ON l.key = {_KEY.format(1, j)} JOIN part r ON r.key = {_KEY.format(j + 1, k)} WHERE a.k = {k}"
+_WITHIN = lambda k, m: [f"SELECT lang, {k} AS k, array_to_string(ws[{i + 1}:{i + k}], ' ') AS phrase, f FROM c WHERE k = {m}" for i in range(m - k + 1)]
+
 ORACLES = {
+    "op11_codes": f"""
+WITH g AS (SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, list_transform(embedding::DOUBLE[], lambda x: CAST(floor(4096.0::DOUBLE * x) AS HUGEINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT id, p, q[p * (len(q) // 8) + 1 : (p + 1) * (len(q) // 8)] AS v FROM (SELECT id, q, unnest(range(8)) AS p FROM g)),
+c0 AS (SELECT p, id - 1 AS e, v FROM x WHERE id <= 16){_ROUNDS},
+a AS (SELECT id, p, min(16 * list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) + e) AS m FROM x JOIN c{vafile.ROUNDS} c USING (p) GROUP BY id, p),
+d AS (SELECT id, string_agg(printf('%02x', CAST(m % 16 AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a GROUP BY id),
+b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{vafile.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM d JOIN g USING (id), b""",
+    "op12_phrases": rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER('text')}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+g AS ({" UNION ALL ".join(f"SELECT lang, {k} AS k, unnest(list_transform(range(1, len(ws) - {k - 2}), lambda i: ws[i:i + {k - 1}])) AS ws FROM w" for k in range(1, 5))}),
+f AS (SELECT lang, k, ws, array_to_string(ws, ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 30),
+above AS (SELECT lang, k, phrase, max(f) AS f FROM ({" UNION ALL ".join(q for k in (2, 3) for m in range(k + 1, 5) for q in _WITHIN(k, m))}) GROUP BY 1, 2, 3),
+ok AS (SELECT row_number() OVER () AS id, c.lang, c.k, c.ws, c.phrase, c.f AS a FROM c LEFT JOIN above USING (lang, k, phrase) WHERE above.f IS NULL OR 100 * above.f < 80 * c.f),
+part AS (SELECT lang || chr(0) || phrase AS key, f FROM f WHERE f >= 30),
+cut AS ({" UNION ALL ".join(_CUT(k, j) for k in (2, 3, 4) for j in range(1, k))}),
+s AS (SELECT ok.lang, phrase, a, l, r, CAST(2000000::HUGEINT * a // (l + r) AS BIGINT) AS score FROM cut JOIN ok USING (id) QUALIFY row_number() OVER (PARTITION BY id ORDER BY 2000000::HUGEINT * a // (l + r), j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s JOIN n USING (lang) QUALIFY rank <= 2000""",
+    "op13_decontaminate": rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({_LOWER('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all({_LOWER('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+i AS (SELECT DISTINCT item, span, array_to_string(ws[k:k + span - 1], ' ') AS phrase FROM (SELECT item, ws, least(len(ws), 10) AS span, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS k FROM b WHERE len(ws) > 0)),
+t AS (SELECT id, span, unnest(range(1, len(ws) - span + 2)) AS k, unnest(list_transform(range(1, len(ws) - span + 2), lambda k: array_to_string(ws[k:k + span - 1], ' '))) AS phrase FROM d, (SELECT DISTINCT span FROM i)),
+h AS (SELECT id, k, span, item FROM t JOIN i USING (span, phrase)),
+n AS (SELECT id, count(DISTINCT word) AS n_hit FROM (SELECT id, unnest(range(k, k + span)) AS word FROM (SELECT DISTINCT id, k, span FROM h)) GROUP BY 1),
+m AS (SELECT id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT id, item FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (id) LEFT JOIN m USING (id)""",
     "op4_chat": rf"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
