@@ -36,12 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
 tables: list[str] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, drop_shuffles: bool = False) -> DataFrame:
+    """df as a table in the shared folder, read again: cuts the lineage and survives lost executors.
+
+    drop_shuffles: its shuffle files go when the table is there, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orrery/{uuid.uuid4().hex}"
     tables.append(path)
-    df.write.parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    if drop_shuffles:
+        spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -40,7 +40,7 @@ from orrery.llm.common import drop_tables, small_or_dealt, tables, written
 #: Occurrences from which a phrase is frequent; words of a phrase at most; hundredths of its count that make a longer one subsume it.
 LEAST, LONGEST, SUBSUMED = 30, 4, 80
 #: Bytes of text of a chunk; one text more may be in it.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 32_000_000
 #: Groups that each language's candidates are ordered in first.
 SALTS = 32
 #: What a score of equal counts is: twice the share of the phrase among its parts', in millionths.
@@ -199,16 +199,16 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     """(lang, phrase, words, a, l, r, score) of all candidates that none subsumes, and (lang, n), the words of each language."""
     spark = docs.sparkSession
     start = len(tables)
-    texts = written(chunks(docs, text_col, lang_col, chunk_bytes))
+    texts = written(chunks(docs, text_col, lang_col, chunk_bytes), True)
     words = texts.filter("local IS NOT NULL").select("chunk", "local", "lang", "word", "n")
-    totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")))
-    names = [written(named(words, ["lang", "word"], least))]
-    level = written(rewritten(texts.filter("local IS NULL").select("chunk", F.lit(None).cast("binary").alias("ids"), "at"), names[0], False))
+    totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")), True)
+    names = [written(named(words, ["lang", "word"], least), True)]
+    level = written(rewritten(texts.filter("local IS NULL").select("chunk", F.lit(None).cast("binary").alias("ids"), "at"), names[0], False), True)
     drop_tables(spark, start, totals, names[0], level)
     for k in range(2, longest + 1):
-        names.append(written(named(pairs(level), ["left", "right"], least)))
+        names.append(written(named(pairs(level), ["left", "right"], least), True))
         if k < longest:
-            level = written(rewritten(level, names[-1], True))
+            level = written(rewritten(level, names[-1], True), True)
             drop_tables(spark, start, totals, *names, level)
     # What is known of each name: its words, its last word, the counts of its first and of its last 1, 2, ... words.
     one = F.array("f")
