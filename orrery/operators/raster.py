@@ -1,12 +1,13 @@
-"""Raster change on pixel tables (aoi_id, band, timing, row, col, value)."""
+"""Raster change on pixel tables (aoi_id, band, timing, row, col, value); masks as images are in tiles."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import severity
+from orrery.sources.tables import dropped, stored
 
 # Grey weights of red, green and blue.
 GREY = (0.2989, 0.5870, 0.1140)
@@ -44,19 +45,45 @@ def difference(index: DataFrame, mode: str = "abs") -> DataFrame:
     return out.select("aoi_id", "row", "col", d.alias("diff"), score.alias("score"))
 
 
-def masked(scores: DataFrame, percentile: float = 95.0) -> DataFrame:
-    """scores with mask: at least the interpolated percentile of the area's finite scores."""
-    fine = ~F.isnan("score") & (F.abs("score") < float("inf"))
-    cut = scores.filter(fine).groupBy("aoi_id").agg(F.percentile("score", percentile / 100).alias("threshold"))
-    return scores.join(cut, "aoi_id", "left").withColumn("mask", F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)).cast("int"))
+#: Buckets that a pass counts for an image.
+BUCKETS = 1 << 14
+
+
+def thresholds(scores: DataFrame, percentile: float = 95.0, buckets: int = BUCKETS) -> DataFrame:
+    """(aoi_id, threshold): the interpolated percentile of each area's finite scores, exactly.
+
+    The two scores around it are found by refining histograms: a pass counts what lies in each
+    of so many equal parts of the range that is left, and keeps the part that holds the
+    rank, with its least and largest score. A part that holds one value is done, and each
+    pass has fewer values than the one before, so it ends; scores of some decimal places
+    take about four passes. A task holds buckets, never the values of an image.
+    """
+    fine = stored(scores.select("aoi_id", F.col("score").cast("double").alias("score")).filter(~F.isnan("score") & (F.abs("score") < float("inf"))))
+    base = fine.groupBy("aoi_id").agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).withColumn("at", (F.col("n") - 1) * F.lit(percentile / 100))
+    ends = F.array(F.struct(F.lit(0).alias("end"), F.floor("at").alias("nth")), F.struct(F.lit(1).alias("end"), F.ceil("at").alias("nth")))
+    ranks = stored(base.select("aoi_id", "at", "lo", "hi", F.explode(ends).alias("x")).select("aoi_id", "at", "lo", "hi", "x.end", F.col("x.nth").cast("long").alias("nth")))
+    while not ranks.filter("lo < hi").isEmpty():
+        left = ranks.filter("lo < hi").withColumnRenamed("aoi_id", "area")
+        rows = fine.join(left, F.col("aoi_id").eqNullSafe(F.col("area")) & F.col("score").between(F.col("lo"), F.col("hi")))
+        half = F.when(F.col("hi") - F.col("lo") < float("inf"), 1.0).otherwise(0.5)  # the range itself may be no double
+        part = (F.col("score") * half - F.col("lo") * half) / (F.col("hi") * half - F.col("lo") * half)
+        held = rows.groupBy("aoi_id", "at", "end", "nth", F.least(F.floor(part * buckets), F.lit(buckets - 1)).alias("bucket")).agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("aoi_id", "end").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = held.withColumn("before", before).filter("nth >= before AND nth < before + n").withColumn("nth", F.col("nth") - F.col("before"))
+        later = stored(ranks.filter("lo >= hi").unionByName(found.select(*ranks.columns)))
+        dropped(ranks)
+        ranks = later
+    one = lambda k: F.max(F.when(F.col("end") == k, F.col("lo")))
+    dropped(fine)
+    both = ranks.groupBy("aoi_id", "at").agg(one(0).alias("a"), one(1).alias("b"))
+    gap, t = F.col("b") - F.col("a"), F.col("at") - F.floor("at")
+    return both.select("aoi_id", F.when(t >= 0.5, F.col("b") - gap * (1 - t)).otherwise(F.col("a") + gap * t).alias("threshold"))
 
 
-def _grid(pdf):
-    top, left = int(pdf["row"].min()), int(pdf["col"].min())
-    m = np.zeros((int(pdf["row"].max()) - top + 1, int(pdf["col"].max()) - left + 1), bool)
-    on = pdf["mask"].to_numpy(bool)
-    m[pdf["row"].to_numpy()[on] - top, pdf["col"].to_numpy()[on] - left] = True
-    return m, top, left
+def masked(scores: DataFrame, percentile: float = 95.0) -> DataFrame:
+    """scores with mask: at least the interpolated percentile of the area's finite scores; what is no number is not set."""
+    cut = thresholds(scores, percentile).withColumnRenamed("aoi_id", "area")
+    return scores.join(cut, F.col("aoi_id").eqNullSafe(F.col("area")), "left").drop("area").withColumn("mask", F.coalesce((F.col("score") >= F.col("threshold")) & ~F.isnan("score"), F.lit(False)).cast("int"))
 
 
 def erode(m: np.ndarray, outside: bool = False) -> np.ndarray:
@@ -70,70 +97,39 @@ def dilate(m: np.ndarray) -> np.ndarray:
 
 
 def fill_holes(m: np.ndarray) -> np.ndarray:
-    """What the outside does not reach becomes part of the mask."""
-    reach = np.zeros_like(m)
-    edge = np.zeros_like(m)
-    edge[[0, -1], :] = edge[:, [0, -1]] = True
-    reach = edge & ~m
-    while True:
-        more = dilate(reach) & ~m
-        if (more == reach).all():
-            return ~reach
-        reach = more
+    """What the background does not reach from the edge becomes part of the mask."""
+    found = label(~m)
+    edge = np.unique(np.concatenate([found[0], found[-1], found[:, 0], found[:, -1]]))
+    return m | ~np.isin(found, edge[edge > 0]) & (found > 0)
 
 
 def label(m: np.ndarray, connectivity: int = 4) -> np.ndarray:
-    """Components numbered from 1 in the order of their first pixel, rows first."""
-    ids = np.where(m, np.arange(1, m.size + 1).reshape(m.shape), 0)
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
-    parent = np.arange(m.size + 1)
-
-    def root(a):
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
+    """Components numbered from 1 in the order of their first pixel, rows first: runs of pixels are joined, then painted."""
     h, w = m.shape
-    for dr, dc in steps:
-        a = ids[: h - dr, max(0, -dc) : w - max(0, dc)]
-        b = ids[dr:, max(0, dc) : w - max(0, -dc)]
-        for x, y in zip(a[(a > 0) & (b > 0)], b[(a > 0) & (b > 0)]):
-            x, y = root(x), root(y)
-            parent[max(x, y)] = min(x, y)
-    flat = np.array([root(x) if x else 0 for x in ids.ravel()])
-    firsts = np.unique(flat[flat > 0])
-    return np.searchsorted(firsts, flat).reshape(m.shape) * m + m
-
-
-def cleaned(masks: DataFrame, open_iters: int = 0, close_iters: int = 0, min_area: int = 0) -> DataFrame:
-    """(aoi_id, row, col, mask) after opening, closing, filling holes and dropping small components. One image is one group."""
-
-    def run(pdf):
-        m, top, left = _grid(pdf)
-        for steps, first, then in ((open_iters, erode, dilate), (close_iters, dilate, erode)):
-            for f in (first, then):
-                for _ in range(steps):
-                    m = f(m)
-        m = fill_holes(m)
-        if min_area > 0:
-            found = label(m)
-            m &= np.bincount(found.ravel())[found] >= min_area
-        return pdf[["aoi_id", "row", "col"]].assign(mask=m[pdf["row"] - top, pdf["col"] - left].astype("int32"))
-
-    return masks.groupBy("aoi_id").applyInPandas(run, "aoi_id string, row int, col int, mask int")
-
-
-def components(masks: DataFrame, connectivity: int = 4) -> DataFrame:
-    """(aoi_id, row, col, label) of the pixels that are set."""
-
-    def run(pdf):
-        m, top, left = _grid(pdf)
-        found = label(m, connectivity)
-        out = pdf.loc[pdf["mask"] > 0, ["aoi_id", "row", "col"]]
-        return out.assign(label=found[out["row"] - top, out["col"] - left].astype("int32"))
-
-    return masks.groupBy("aoi_id").applyInPandas(run, "aoi_id string, row int, col int, label int")
+    out = np.zeros((h, w), np.int64)
+    step = np.diff(np.pad(m, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(step == 1)
+    _, stop = np.nonzero(step == -1)
+    if not len(row):
+        return out
+    # Places with a gap between rows; a run meets those runs of the next row that it overlaps, or touches at a corner.
+    begin, end, down = row * (w + 2) + start, row * (w + 2) + stop, w + 2
+    low = np.searchsorted(end, begin + down, "left" if connectivity == 8 else "right")
+    high = np.searchsorted(begin, end + down, "right" if connectivity == 8 else "left")
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    root = np.arange(len(row))
+    while True:
+        p, q = root[a], root[b]
+        apart = p != q
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (root != root[root]).any():
+            root = root[root]
+    out[m] = np.repeat(np.unique(root, return_inverse=True)[1] + 1, stop - start)
+    return out
 
 
 def boxes(labelled: DataFrame, min_area: int = 1) -> DataFrame:

@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators import series
 from orrery.sources import readers, sinks
 from orrery.sources.adapters import ALERTS_SQL, READINGS_SQL, alert_events, readings, table
-
-
-def folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local one only for a local master."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="orrery-")
-    return f"{where.rstrip('/')}/files/{uuid.uuid4().hex}"
+from orrery.sources.tables import folder
 
 
 EVENT_COLUMNS = ("id", "ts", "topic", "asset_id", "aoi_id", "rule_type", "severity", "acknowledged")

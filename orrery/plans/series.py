@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orrery.operators import bus, geo, proof, raster, series
+from orrery.operators import bus, geo, proof, raster, series, tiles
 from orrery.sources.adapters import READINGS_SQL, readings, table
 
 POLICY = "2024-01-15"
+#: Pixels along a tile of the queries: less than the images have, so that components pass from tile to tile.
+TILE = 32
 
 
 def daily(s, d):
@@ -52,17 +54,20 @@ def what_if(s, d):
     return series.what_if(rows, fits).groupBy("asset_id").agg(F.round(F.sum("effect"), 4).alias("effect"), F.round(F.sum("effect_co2"), 4).alias("effect_co2"))
 
 
+#: Pixels above this percentile of an image's scores are its mask.
+CUT = 40.0
+
+
 def pixels(s, d):
-    """Images of three areas from a rule, with a rectangle that changes."""
-    grid = s.range(3 * 64 * 64).select((F.col("id") % 3).alias("a"), F.expr("cast(id div 3 div 64 AS int)").alias("row"), F.expr("cast(id div 3 % 64 AS int)").alias("col"))
-    noise = lambda k: F.pmod(F.col("row") * 37 + F.col("col") * 101 + F.col("a") * 13 + k, F.lit(97)) / 97.0
-    hit = F.col("row").between(10, 20) & F.col("col").between(30, 30 + F.col("a") * 5)
-    value = lambda band, timing, k: F.struct(F.lit(band).alias("band"), F.lit(timing).alias("timing"), ((2000 + 1000 * noise(k) + (F.when(hit, 2500.0).otherwise(0.0) if (band, timing) == ("B4", "after") else 0.0) + (2000 if band == "B8" else 0))).alias("value"))
-    return grid.select(F.concat(F.lit("aoi_"), "a").alias("aoi_id"), "row", "col", F.explode(F.array(value("B4", "before", 1), value("B8", "before", 2), value("B4", "after", 3), value("B8", "after", 4))).alias("x")).select("aoi_id", "row", "col", "x.*")
+    """Two bands before and after of three areas: vectors as rows of an image, their components as columns; a pixel's values are its component and the three to the right of it, as reflectances."""
+    x = table(s, d, "embeddings").select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("n")).select("vec_id", "v", "n", F.posexplode("v").alias("col", "x"))
+    value = lambda band, timing, k, base: F.struct(F.lit(band).alias("band"), F.lit(timing).alias("timing"), (base + 1000 * (F.get("v", F.pmod(F.col("col") + k, F.col("n"))) + 1)).alias("value"))
+    bands = F.array(value("B4", "before", 0, 2000.0), value("B8", "before", 1, 4000.0), value("B4", "after", 2, 2000.0), value("B8", "after", 3, 4000.0))
+    return x.select(F.concat(F.lit("aoi_"), F.col("vec_id") % 3).alias("aoi_id"), F.expr("cast(vec_id div 3 AS int)").alias("row"), "col", F.explode(bands).alias("x")).select("aoi_id", "row", "col", "x.*")
 
 
 def change(s, d):
-    return raster.masked(raster.difference(raster.ndvi(raster.scaled(pixels(s, d))), "neg"), 97.0)
+    return raster.masked(raster.difference(raster.ndvi(raster.scaled(pixels(s, d))), "abs"), CUT)
 
 
 def bundles(s, d):
@@ -127,8 +132,8 @@ QUERIES = {
     "ndvi_change": lambda s, d: raster.difference(raster.ndvi(raster.scaled(pixels(s, d))), "neg").select("aoi_id", "row", "col", F.round("diff", 9).alias("diff"), F.round("score", 9).alias("score")),
     "percentile_mask": lambda s, d: raster.change_metrics(change(s, d)).withColumn("changed_frac", F.round("changed_frac", 9)),
     "raster_grey": lambda s, d: raster.grey(raster.scaled(pixels(s, d)), ("B4", "B8", "none")).withColumn("value", F.round("value", 9)),
-    "raster_cleaned": lambda s, d: raster.change_metrics(raster.cleaned(change(s, d).select("aoi_id", "row", "col", "mask"), 1, 1, 6)),
-    "raster_components": lambda s, d: raster.boxes(raster.components(raster.cleaned(change(s, d).select("aoi_id", "row", "col", "mask"), 1, 1, 6))),
+    "raster_cleaned": lambda s, d: raster.change_metrics(tiles.cleaned(change(s, d).select("aoi_id", "row", "col", "mask"), 1, 1, 6, side=TILE)),
+    "raster_components": lambda s, d: raster.boxes(tiles.components(tiles.cleaned(change(s, d).select("aoi_id", "row", "col", "mask"), 1, 1, 6, side=TILE), side=TILE)),
     "change_events": lambda s, d: raster.change_events(raster.change_metrics(change(s, d)), "2024-03-15").withColumn("score", F.round("score", 9)),
     "geo_buffer": rings,
     "geo_pixel_boxes": boxes,
@@ -145,22 +150,21 @@ _R = f"WITH {READINGS_SQL}, daily AS (SELECT asset_id, CAST(timestamp AS DATE) A
 _DATES = ", dates AS (SELECT asset_id, coalesce(CASE asset_id WHEN 'asset_1' THEN DATE '2024-01-15' WHEN 'asset_2' THEN DATE '2024-01-10' END, (list_sort(list(DISTINCT date)))[count(DISTINCT date) // 2 + 1]) AS policy_date FROM daily GROUP BY 1)"
 _X = ", x AS (SELECT asset_id, energy_kwh AS y, 1.0::DOUBLE AS one, temp_c AS temp, CASE WHEN weekday >= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS weekend, CASE WHEN date >= DATE '2024-01-15' THEN 1.0 ELSE 0.0 END::DOUBLE AS policy FROM daily)"
 _PAIRS = [(a, b) for i, a in enumerate(series.TERMS) for b in series.TERMS[i:]] + [(a, "y") for a in series.TERMS] + [("y", "y")]
-_noise = lambda k: f"((r * 37 + c * 101 + a * 13 + {k}) % 97) / 97.0::DOUBLE"
-_PIXELS = f"""WITH g AS (SELECT i % 3 AS a, CAST(i // 3 // 64 AS INTEGER) AS r, CAST((i // 3) % 64 AS INTEGER) AS c FROM range(12288) t(i)),
- p AS (SELECT 'aoi_' || a AS aoi_id, r AS row, c AS col, (2000 + 1000 * {_noise(1)}) / 10000 AS r0, (4000 + 1000 * {_noise(2)}) / 10000 AS n0,
-  (2000 + 1000 * {_noise(3)} + CASE WHEN r BETWEEN 10 AND 20 AND c BETWEEN 30 AND 30 + a * 5 THEN 2500 ELSE 0 END) / 10000 AS r1, (4000 + 1000 * {_noise(4)}) / 10000 AS n1 FROM g),
- dif AS (SELECT aoi_id, row, col, (n1 - r1) / greatest(n1 + r1, 1e-6) - (n0 - r0) / greatest(n0 + r0, 1e-6) AS diff FROM p), sc AS (SELECT *, least(greatest(-diff, 0), 1) AS score FROM dif)"""
-_MASK = ", th AS (SELECT aoi_id, quantile_cont(score, 0.97) AS t FROM sc GROUP BY 1), m AS (SELECT aoi_id, CAST(sum(CASE WHEN score >= t THEN 1 ELSE 0 END) AS BIGINT) AS changed, count(*) AS total FROM sc JOIN th USING (aoi_id) GROUP BY 1)"
+_BAND = lambda k, base: f"({base} + 1000 * (v[(col + {k}) % len(v) + 1] + 1)) / 10000"
+_PIXELS = f"""WITH g AS (SELECT vec_id, embedding::DOUBLE[] AS v, CAST(unnest(range(len(embedding))) AS INTEGER) AS col FROM embeddings),
+ p AS (SELECT 'aoi_' || vec_id % 3 AS aoi_id, CAST(vec_id // 3 AS INTEGER) AS row, col, {_BAND(0, "2000.0::DOUBLE")} AS r0, {_BAND(1, "4000.0::DOUBLE")} AS n0, {_BAND(2, "2000.0::DOUBLE")} AS r1, {_BAND(3, "4000.0::DOUBLE")} AS n1 FROM g),
+ dif AS (SELECT aoi_id, row, col, (n1 - r1) / greatest(n1 + r1, 1e-6) - (n0 - r0) / greatest(n0 + r0, 1e-6) AS diff FROM p), sc AS (SELECT *, least(greatest(-diff, 0), 1) AS neg, abs(diff) AS score FROM dif)"""
+_MASK = ", th AS (SELECT aoi_id, quantile_cont(score, 0.4) AS t FROM sc GROUP BY 1), m AS (SELECT aoi_id, CAST(sum(CASE WHEN score >= t THEN 1 ELSE 0 END) AS BIGINT) AS changed, count(*) AS total FROM sc JOIN th USING (aoi_id) GROUP BY 1)"
 _AROUND = "(VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) d(dr, dc)"
 _SHRUNK = f"SELECT aoi_id, row + dr AS row, col + dc AS col FROM {{0}}, {_AROUND} GROUP BY ALL HAVING count(*) = 5"
-_GROWN = f"SELECT DISTINCT aoi_id, row + dr AS row, col + dc AS col FROM {{0}}, {_AROUND} WHERE row + dr BETWEEN 0 AND 63 AND col + dc BETWEEN 0 AND 63"
+_GROWN = f"SELECT DISTINCT aoi_id, m.row + dr AS row, m.col + dc AS col FROM {{0}} m JOIN ends USING (aoi_id), {_AROUND} WHERE m.row + dr BETWEEN 0 AND bottom AND m.col + dc BETWEEN 0 AND edge"
 # The mask opened and closed once, without holes and without components below 6 pixels; seed: a component's first pixel.
-_CLEANED = f"""{_PIXELS.replace('WITH ', 'WITH RECURSIVE ', 1)}{_MASK}, m0 AS (SELECT aoi_id, row, col FROM sc JOIN th USING (aoi_id) WHERE score >= t),
+_CLEANED = f"""{_PIXELS.replace('WITH ', 'WITH RECURSIVE ', 1)}{_MASK}, ends AS (SELECT aoi_id, max(row) AS bottom, max(col) AS edge FROM sc GROUP BY 1), m0 AS (SELECT aoi_id, row, col FROM sc JOIN th USING (aoi_id) WHERE score >= t),
  m1 AS ({_SHRUNK.format('m0')}), m2 AS ({_GROWN.format('m1')}), m3 AS ({_GROWN.format('m2')}), m4 AS ({_SHRUNK.format('m3')}),
  back AS (SELECT aoi_id, row, col FROM sc ANTI JOIN m4 USING (aoi_id, row, col)),
- flood AS (SELECT * FROM back WHERE row IN (0, 63) OR col IN (0, 63) UNION SELECT back.* FROM flood, {_AROUND}, back WHERE back.aoi_id = flood.aoi_id AND back.row = flood.row + dr AND back.col = flood.col + dc),
+ flood AS (SELECT back.* FROM back JOIN ends USING (aoi_id) WHERE row IN (0, bottom) OR col IN (0, edge) UNION SELECT back.* FROM flood, {_AROUND}, back WHERE back.aoi_id = flood.aoi_id AND back.row = flood.row + dr AND back.col = flood.col + dc),
  m5 AS (SELECT aoi_id, row, col FROM sc ANTI JOIN flood USING (aoi_id, row, col)),
- reach AS (SELECT *, row * 64 + col AS seed FROM m5 UNION SELECT m5.*, seed FROM reach, {_AROUND}, m5 WHERE m5.aoi_id = reach.aoi_id AND m5.row = reach.row + dr AND m5.col = reach.col + dc),
+ reach AS (SELECT *, row * 65536 + col AS seed FROM m5 UNION SELECT m5.*, seed FROM reach, {_AROUND}, m5 WHERE m5.aoi_id = reach.aoi_id AND m5.row = reach.row + dr AND m5.col = reach.col + dc),
  own AS (SELECT aoi_id, row, col, min(seed) AS seed FROM reach GROUP BY ALL), clean AS (SELECT *, count(*) OVER (PARTITION BY aoi_id, seed) AS area FROM own QUALIFY area >= 6)"""
 # The policy's coefficient from moments about the means, by determinants of three regressors.
 _MOMENT = lambda a, b: f"covar_pop({a}, {b})"
@@ -185,7 +189,7 @@ ORACLES = {
     "scm_what_if": f"{_R}{_X}, e AS (SELECT asset_id, {_EFFECT} AS effect FROM x GROUP BY 1) SELECT asset_id, round(effect, 4) AS effect, round(effect * 0.4, 4) AS effect_co2 FROM e",
     "raster_cleaned": f"{_CLEANED} SELECT aoi_id, count(clean.seed) AS changed, count(*) AS total, count(clean.seed) / count(*) AS changed_frac FROM sc LEFT JOIN clean USING (aoi_id, row, col) GROUP BY 1",
     "raster_components": f"{_CLEANED}, b AS (SELECT aoi_id, seed, min(row) AS r0, min(col) AS c0, max(row) + 1 AS r1, max(col) + 1 AS c1, count(*) AS pixels FROM clean GROUP BY 1, 2) SELECT aoi_id, CAST(row_number() OVER (PARTITION BY aoi_id ORDER BY seed) AS INTEGER) AS label, r0, c0, r1, c1, pixels FROM b",
-    "ndvi_change": f"{_PIXELS} SELECT aoi_id, row, col, round(diff, 9) AS diff, round(score, 9) AS score FROM sc",
+    "ndvi_change": f"{_PIXELS} SELECT aoi_id, row, col, round(diff, 9) AS diff, round(neg, 9) AS score FROM sc",
     "percentile_mask": f"{_PIXELS}{_MASK} SELECT aoi_id, changed, total, round(changed / total, 9) AS changed_frac FROM m",
     "raster_grey": f"{_PIXELS} SELECT aoi_id, 'before' AS timing, row, col, round(0.2989 * r0 + 0.5870 * n0, 9) AS value FROM p UNION ALL SELECT aoi_id, 'after', row, col, round(0.2989 * r1 + 0.5870 * n1, 9) FROM p",
     "change_events": f"{_PIXELS}{_MASK} SELECT sha256(aoi_id || '|2024-03-15T00:00:00Z|p95') AS event_id, aoi_id, '2024-03-15T00:00:00Z' AS occurred_at, round(changed / total, 9) AS score, CASE WHEN changed / total >= 0.05 THEN 'high' WHEN changed / total >= 0.01 THEN 'medium' ELSE 'low' END AS severity FROM m",
