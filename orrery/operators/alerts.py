@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from orrery.config import Dedupe, Route, Subscription
 from orrery.functions import severity
+from orrery.sources.buckets import BucketTable
+from orrery.sources.tables import dropped, stored
 
 EVENT = ("pos", "id", "ts", "topic", "asset_id", "aoi_id", "rule_type", "severity", "acknowledged", "delta")
 
@@ -72,27 +74,33 @@ def key_text(fields: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.when(F.col(f).cast("string").isin("true", "false"), F.initcap(F.col(f).cast("string"))).otherwise(F.col(f).cast("string")), F.lit("None")) for f in fields])
 
 
-def dedupe(matched: DataFrame, config: Dedupe = Dedupe(), order: Sequence[str] = ("pos", "sub_pos")) -> DataFrame:
-    """Matched rows with status (kept, cooldown, duplicate, flapping), decided in input order.
-
-    Rows are dealt by the fields that both keys share, so each group's state is its own.
-    The fold over a group's rows is a streaming pass over sorted partitions: it holds the
-    state of one group's keys, never its rows. Input order is the order of processing; a
-    late row has a negative age and counts as cooldown.
-    """
+def keyed(matched: DataFrame, config: Dedupe) -> DataFrame:
+    """matched with the texts of its keys, and its time in microseconds (unreadable: the epoch). Rows whose keys share no field form one group."""
     common = [f for f in config.key_fields if f in config.flap.key_fields] if config.flap.enabled else list(config.key_fields)
-    keyed = matched.withColumns(
+    at = F.unix_micros(F.col("ts").try_cast("timestamp")) if dict(matched.dtypes)["ts"] == "string" else F.unix_micros(F.col("ts").cast("timestamp"))
+    return matched.withColumns(
         {
             "group_key": key_text(common) if common else F.lit(""),
             "dedupe_key": key_text(config.key_fields),
             "flap_key": key_text(config.flap.key_fields),
             "flap_value": key_text([config.flap.value_field]),
-            "at": F.unix_micros(F.col("ts").try_cast("timestamp")) if dict(matched.dtypes)["ts"] == "string" else F.unix_micros(F.col("ts").cast("timestamp")),
+            "at": F.coalesce(at, F.lit(0).cast("long")),
         }
     )
+
+
+def dedupe(matched: DataFrame, config: Dedupe = Dedupe(), order: Sequence[str] = ("pos", "sub_pos")) -> DataFrame:
+    """Matched rows with status (kept, cooldown, duplicate, flapping), decided in input order.
+
+    Rows are dealt by the fields that both keys share, so each group's state is its own.
+    The fold over a group's rows is a streaming pass over sorted partitions: it holds the
+    state of one group's keys, never its rows. Input order is the order of processing; a
+    late row has a negative age and counts as cooldown.
+    """
+    rows = keyed(matched, config)
     names = [*matched.columns, "status"]
-    at = {c: keyed.columns.index(c) for c in ("group_key", "dedupe_key", "flap_key", "flap_value", "at")}
-    keep = [keyed.columns.index(c) for c in matched.columns]
+    at = {c: rows.columns.index(c) for c in ("group_key", "dedupe_key", "flap_key", "flap_value", "at")}
+    keep = [rows.columns.index(c) for c in matched.columns]
 
     def run(batches):
         import pyarrow as pa
@@ -109,10 +117,86 @@ def dedupe(matched: DataFrame, config: Dedupe = Dedupe(), order: Sequence[str] =
     from pyspark.sql.types import StringType, StructField, StructType
 
     schema = StructType([*matched.schema.fields, StructField("status", StringType())])
-    dealt = keyed.repartition("group_key").sortWithinPartitions("group_key", *order)
+    dealt = rows.repartition("group_key").sortWithinPartitions("group_key", *order)
+    return dealt.mapInArrow(run, schema)
+
+
+#: What is known of a group of keys after its rows: when each key was last sent, and its values in order of arrival.
+PAST = "group_key string, entry string, key string, nth long, at long, value string"
+
+
+def dedupe_on(matched: DataFrame, past: DataFrame, config: Dedupe = Dedupe(), order: Sequence[str] = ("pos", "sub_pos"), late_seconds: int | None = None) -> DataFrame:
+    """dedupe() of rows that follow a past: decided rows, and rows of PAST (status null) that a later call takes.
+
+    A past goes through the same sorted pass, ahead of its group's rows. It is kept whole, so
+    that calls on parts decide as one call on all, however late a row is. With late_seconds
+    only what rows up to so late can reach is kept, and a key that fell out is a new one.
+    """
+    every = keyed(matched, config)
+    own = [f for f in every.schema.fields if f.name in matched.columns]
+    fields = ("group_key", "dedupe_key", "flap_key", "flap_value", "at", "entry", "nth")
+    lacks = lambda kind: F.lit(None).cast(kind)
+    rows = every.select(F.struct(*[F.col(f.name) for f in own]).alias("row"), *fields[:5], lacks("string").alias("entry"), lacks("long").alias("nth"))
+    old = past.select(lacks(rows.schema["row"].dataType).alias("row"), "group_key", F.col("key").alias("dedupe_key"), F.col("key").alias("flap_key"), F.col("value").alias("flap_value"), "at", "entry", "nth")
+    dealt = rows.unionByName(old).repartition("group_key").sortWithinPartitions("group_key", F.col("entry").isNull(), "nth", *[F.col(f"row.{c}") for c in order])
+
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    text = lambda c: StructField(c, StringType())
+    schema = StructType([StructField("row", rows.schema["row"].dataType), text("status"), text("group_key"), text("entry"), text("key"), StructField("nth", LongType()), StructField("at", LongType()), text("value")])
+
+    def run(batches):
+        import pyarrow as pa
+
+        row_type, group, state = None, None, None
+
+        def told(group, state):
+            state.expire(late_seconds)
+            made = state.rows()
+            column = lambda k, kind: pa.array([m[k] for m in made], kind)
+            return pa.RecordBatch.from_arrays(
+                [pa.nulls(len(made), row_type), pa.nulls(len(made), pa.string()), pa.array([group] * len(made), pa.string()), column(0, pa.string()), column(1, pa.string()), column(2, pa.int64()), column(3, pa.int64()), column(4, pa.string())], names=schema.names
+            )
+
+        for batch in batches:
+            row_type = batch.column(0).type
+            statuses, told_now = [], []
+            for g, d, f, v, t, entry in zip(*(batch.column(k).to_pylist() for k in range(1, 7))):
+                if g != group:
+                    if state is not None:
+                        told_now.append(told(group, state))
+                    group, state = g, Fold(config)
+                statuses.append(state.put(d, f, v, t) if entry is None else state.recall(entry, d, t, v))
+            decided = pa.array([x is not None for x in statuses])
+            n = sum(x is not None for x in statuses)
+            none = lambda kind: pa.nulls(n, kind)  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(decided), pa.array([x for x in statuses if x is not None], pa.string()), none(pa.string()), none(pa.string()), none(pa.string()), none(pa.int64()), none(pa.int64()), none(pa.string())], names=schema.names)
+            yield from told_now
+        if state is not None:
+            yield told(group, state)
+
     return dealt.mapInArrow(run, schema)
 
 
+def dedupe_run(matched: DataFrame, path: str, run: int, config: Dedupe = Dedupe(), order: Sequence[str] = ("pos", "sub_pos"), late_seconds: int | None = None, buckets: int = 64) -> DataFrame:
+    """dedupe() after all earlier runs on the same path; runs are numbered upwards.
+
+    The state is read for the keys of these rows only, and decisions count once the state is
+    swapped: a run that broke off is done again, one that is done gives what it decided.
+    Streams do the same by batch.
+    """
+    spark = matched.sparkSession
+    table = BucketTable(spark, f"{path}/state", PAST, ["group_key"], buckets)
+    decided = f"{path}/decided/run={run}"
+    if not table.has(run):
+        touched = table.touched(keyed(matched, config))
+        out = stored(dedupe_on(matched, table.read(touched), config, order, late_seconds))
+        out.filter("status IS NOT NULL").select("row.*", "status").write.mode("overwrite").parquet(decided)
+        table.replace(out.filter("status IS NULL").select("group_key", "entry", "key", "nth", "at", "value"), touched, run)
+        dropped(out)
+    return spark.read.parquet(decided)
+
+
 class History:
     """Values of one key in order of arrival, and how often they changed since a time.
 
@@ -168,6 +252,27 @@ class Fold:
         self.sent[key] = at
         return "kept"
 
+    def recall(self, entry: str, key: str, at: int, value: str | None) -> None:
+        """Takes in a row of an earlier fold."""
+        if entry == "sent":
+            self.sent[key] = at
+        else:
+            self.history.setdefault(key, History()).add(at, value)
+
+    def rows(self) -> list[tuple]:
+        """(entry, key, nth, at, value) of all that is known, values in order of arrival."""
+        return [("sent", k, -1, at, None) for k, at in self.sent.items()] + [("seen", k, n, at, v) for k, h in self.history.items() for n, (at, v) in enumerate(h.rows)]
+
+    def expire(self, late_seconds: int | None) -> None:
+        """Forgets what no row can reach that is at most so late; nothing if that is None."""
+        times = [*self.sent.values(), *(h.latest[-1] for h in self.history.values() if h.rows)]
+        if late_seconds is None or not times:
+            return
+        least = lambda seconds: max(times) - (late_seconds + seconds) * 1_000_000
+        sent, seen = least(max(self.c.ttl_seconds, self.c.min_interval_seconds)), least(self.c.flap.window_seconds)
+        self.sent = {k: at for k, at in self.sent.items() if at > sent}
+        self.history = {k: h for k, old in self.history.items() if (h := History(x for x in old.rows if x[0] >= seen)).rows}
+
 
 def dedupe_metrics(decided: DataFrame) -> DataFrame:
     return decided.agg(F.count("*").alias("input"), F.count_if(F.col("status") == "kept").alias("kept"), F.count_if(F.col("status") != "kept").alias("suppressed"))
