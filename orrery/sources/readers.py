@@ -11,18 +11,14 @@ from pyspark.sql.types import StructType
 
 from orrery.functions.text import paired
 from orrery.operators.documents import news_text
+from orrery.sources import json_items
 
 EVENT_DDL = "id string, ts string, topic string, asset_id string, aoi_id string, rule_type string, severity string, acknowledged boolean, delta map<string,double>, payload variant"
 
 
 def json_array(spark: SparkSession, path: str, schema: str = EVENT_DDL) -> DataFrame:
-    """Objects of a JSON array with their position as `pos`; other items are dropped, another top level is an error."""
-    raw = spark.read.text(path, wholetext=True)
-    if raw.filter(F.substring(F.ltrim("value"), 1, 1) != "[").limit(1).count():
-        raise ValueError(f"{path} is no JSON array")
-    objects = F.filter(F.from_json("value", "array<string>"), lambda item: F.substring(F.ltrim(item), 1, 1) == "{")
-    items = raw.select(F.posexplode(objects).alias("pos", "item"))  # positions count what is left
-    return items.select("pos", F.from_json("item", schema).alias("x")).select("pos", "x.*")
+    """Objects of JSON arrays with their position in the file as `pos`, which counts objects only; other items are dropped, another top level is an error. Files are read by several tasks."""
+    return json_items.objects(spark, path).select("pos", F.from_json("item", schema).alias("x")).select("pos", "x.*")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
