@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
+from orrery.functions import tokens
 
 CHUNKS = "chunk_index int, text string, n_words int, n_sentences int, page_start int, page_end int"
 
@@ -18,6 +20,16 @@ def page_sentences(pages: DataFrame, key: str = "doc_sha256") -> DataFrame:
     return pages.select(key, "page", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
 
 
+def sentence_spans(pages: DataFrame, key: str = "doc_sha256") -> DataFrame:
+    """(key, page, n, span_start, span_end, sentence): sentences with their places in the stripped text of the page, in code points."""
+
+    @F.pandas_udf("array<struct<span_start: int, span_end: int, sentence: string>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(("span_start", "span_end", "sentence"), s)) for s in tokens.sentence_spans(t or "")])
+
+    return pages.select(key, "page", F.posexplode(spans("text")).alias("n", "x")).select(key, "page", "n", "x.*")
+
+
 def chunk(pages: DataFrame, least: int = 400, most: int = 800, key: str = "doc_sha256", more: tuple[str, ...] = ("lang",)) -> DataFrame:
     """Pages of a document packed into chunks of whole sentences.
 
@@ -126,14 +138,14 @@ def apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
-def entities(pages: DataFrame, patterns: dict[str, str], tagger: Callable[[str], list[tuple[int, int, str]]] | None = None, longest: bool = False) -> DataFrame:
+def entities(pages: DataFrame, patterns: dict[str, str] | None = None, tagger: Callable[[str], list[tuple[int, int, str]]] | None = None, longest: bool = False) -> DataFrame:
     """(doc_sha256, page, span_start, span_end, text, label): what patterns match, or what a tagger says.
 
-    longest: of matches that overlap only the longest stays, of equal ones the first. Spans are code points. The tagger, a plain function, is the place for a trained model.
+    longest: of matches that overlap only the longest stays, of equal ones the first. Spans are code points. The tagger is a plain function: `tokens.entities` has rules over English tokens, and a trained model has its place here.
     """
     if tagger is None:
 
-        def tagger(t: str, found=tuple(patterns.items())):
+        def tagger(t: str, found=tuple((patterns or {}).items())):
             every = sorted((m.start(), m.end(), k) for k, p in found for m in re.finditer(p, t))
             return apart(every) if longest else every
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
+from orrery.functions import tokens
 from orrery.operators import documents, evaluation, retrieval
 from orrery.sources.adapters import INDEX_SQL, TEST_KEYWORDS, doc_index, table
 
@@ -65,7 +66,8 @@ QUERIES = {
     "doc_chunks": chunked,
     "chunk_metrics": lambda s, d: documents.chunk_metrics(chunked(s, d)),
     "doc_clauses": lambda s, d: documents.clauses(pages(s, d), TEST_KEYWORDS),
-    "doc_entities": lambda s, d: documents.entities(pages(s, d), documents.ENGLISH_ENTITIES, longest=True),
+    "doc_entities": lambda s, d: documents.entities(pages(s, d), tagger=tokens.entities),
+    "sentence_spans": lambda s, d: documents.sentence_spans(pages(s, d).dropDuplicates(["doc_sha256"])),
     "number_entities": lambda s, d: documents.entities(pages(s, d), documents.ARABIC_ENTITIES).groupBy("doc_sha256", "label", "text").agg(F.count("*").alias("n")),
     "shipped_clauses": lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(T.clause_classes(worded()), ",").alias("classes")),
     "entity_coverage": lambda s, d: documents.entity_coverage(pages(s, d).dropDuplicates(["doc_sha256"]), documents.entities(pages(s, d).dropDuplicates(["doc_sha256"]), documents.ARABIC_ENTITIES)),
@@ -115,6 +117,11 @@ ORACLES = {
       SELECT sentence, e AS entailment, (1 - e) / 2 AS contradiction, item_id AS best_doc_id, 1 AS best_page FROM p QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY e DESC, item_id) = 1""",
     "doc_chunks": f"{_CHUNKS} SELECT * FROM chunks",
     "chunk_metrics": f"{_CHUNKS} SELECT count(*) AS chunks, round(avg(n_words), 6) AS mean, quantile_cont(n_words, 0.5) AS median, quantile_cont(n_words, 0.95) AS p95, min(n_words) AS least, max(n_words) AS most FROM chunks",
+    "sentence_spans": f"""{_W}, d AS (SELECT DISTINCT doc_sha256, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS text FROM doc_index),
+      s AS (SELECT doc_sha256, string_split(regexp_replace(text, '([.!?؟۔]\\s+)([A-Za-z0-9؀-ۿ])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS parts FROM d WHERE text <> ''),
+      p AS (SELECT doc_sha256, unnest(range(len(parts))) AS n, unnest(parts) AS part FROM s),
+      q AS (SELECT doc_sha256, n, regexp_replace(part, '\\s+$', '') AS sentence, CAST(coalesce(sum(len(part)) OVER (PARTITION BY doc_sha256 ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS span_start FROM p)
+      SELECT doc_sha256, 1 AS page, CAST(n AS INTEGER) AS n, span_start, CAST(span_start + len(sentence) AS INTEGER) AS span_end, sentence FROM q""",
     "sentences": f"{_W}{_SENT} SELECT DISTINCT doc_sha256, page, n, sentence FROM sent",
     "doc_clauses": f"{_W}{_SENT.replace('SELECT DISTINCT doc_sha256, lang, text', 'SELECT doc_sha256, lang, text')} "
     + " UNION ALL ".join(rf"SELECT doc_sha256, page, lang, n, sentence AS text, '{k}' AS clause_type FROM sent WHERE lang = 'en' AND regexp_matches(sentence, '(?i)(^|[^\p{{L}}\p{{N}}_]){w}($|[^\p{{L}}\p{{N}}_])')" for k, w in TEST_KEYWORDS.items()),
