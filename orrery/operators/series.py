@@ -96,40 +96,65 @@ def two_sided_p(cumulative: float, variance: float) -> float:
     return 2 * (1 - NormalDist().cdf(abs(cumulative / variance**0.5)))
 
 
-def _level_model(y: np.ndarray, x: np.ndarray, start: int, period: int, ratio: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """One-step Kalman filter of a local level, seasonal places and regression, diffuse start; forecasts from `start` on."""
-    n, k = len(y), x.shape[1]
-    m = 1 + (period - 1) + k
+#: Powers of ten between which the ratios of level and season to the irregular variance are sought, points of a grid along one of them, and where it is fine enough.
+RATIOS, POINTS, FINE = (-8.0, 3.0), 5, 0.02
+
+
+def level_model(y: np.ndarray, x: np.ndarray, start: int, period: int, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Kalman filters of a local level, seasonal places and regression with a diffuse start, one for each row of ratios.
+
+    ratios: variances of the level's and the season's steps in units of the irregular one.
+    Days before `start` are taken in, the rest is forecast. Gives one-step predictions, their
+    variances, the log-likelihood with the irregular variance at its best, and that variance.
+    """
+    n, m = len(y), period + x.shape[1]
     t = np.eye(m)
     t[1:period, 1:period] = 0
     t[1, 1:period] = -1
     t[range(2, period), range(1, period - 1)] = 1
-    a, p, q = np.zeros(m), np.eye(m) * 1e6, np.zeros((m, m))
-    q[0, 0], q[1, 1] = ratio, ratio / 10
-    pred, var, total, used = np.zeros(n), np.zeros(n), 0.0, 0
-    errors = []
+    k = len(ratios)
+    a, p, q = np.zeros((k, m)), np.tile(np.eye(m) * 1e6, (k, 1, 1)), np.zeros((k, m, m))
+    q[:, 0, 0] = ratios[:, 0]
+    if period > 1:
+        q[:, 1, 1] = ratios[:, 1]
+    pred, var = np.zeros((k, n)), np.zeros((k, n))
+    squares, logs, used = np.zeros(k), np.zeros(k), np.zeros(k)
     for i in range(n):
-        z = np.r_[1.0, 1.0, np.zeros(period - 2), x[i]]
-        pred[i], f = z @ a, z @ p @ z + 1.0
-        var[i] = f
+        z = np.r_[1.0, np.ones(min(1, period - 1)), np.zeros(max(0, period - 2)), x[i]]
+        pz = p @ z
+        pred[:, i], f = a @ z, pz @ z + 1.0
+        var[:, i] = f
         if i < start and np.isfinite(y[i]):
-            v = y[i] - pred[i]
-            gain = p @ z / f
-            a, p = a + gain * v, p - np.outer(gain, z @ p)
-            if f < 1e5:
-                errors.append((v, f))
-        a, p = t @ a, t @ p @ t.T + q
-    used = max(1, len(errors))
-    sigma = sum(v * v / f for v, f in errors) / used
-    total = -0.5 * (used * np.log(max(sigma, 1e-12)) + sum(np.log(f) for _, f in errors))
-    return pred, var * sigma, total
+            v = y[i] - pred[:, i]
+            a, p = a + (v / f)[:, None] * pz, p - pz[:, :, None] * pz[:, None, :] / f[:, None, None]
+            counts = f < 1e5  # the first days only settle the start
+            squares += np.where(counts, v * v / f, 0.0)
+            logs += np.where(counts, np.log(f), 0.0)
+            used += counts
+        a, p = a @ t.T, t @ p @ t.T + q
+    used = np.maximum(used, 1)
+    sigma = squares / used
+    return pred, var * sigma[:, None], -0.5 * (used * np.log(np.maximum(sigma, 1e-12)) + logs), sigma
+
+
+def likeliest(y: np.ndarray, x: np.ndarray, start: int, period: int) -> np.ndarray:
+    """The ratios of greatest likelihood: a grid of both that follows its best point and halves where that is its middle."""
+    low, high = RATIOS
+    middle, reach = np.array([-2.0, -3.0]), 4.0
+    while reach > FINE:
+        steps = np.linspace(-reach, reach, POINTS)
+        grid = np.clip(np.array([(middle[0] + a, middle[1] + b) for a in steps for b in steps]), low, high)
+        best = grid[int(np.argmax(level_model(y, x, start, period, 10.0**grid)[2]))]
+        reach = reach / 2 if np.allclose(best, middle) or np.abs(best - middle).max() < reach * 0.75 or best.min() == low or best.max() == high else reach
+        middle = best
+    return 10.0**middle
 
 
 def structural_effect(series: DataFrame, dates: DataFrame, metric: str = "energy_kwh", period: int = 7, alpha: float = 0.05, min_pre_days: int = 30) -> DataFrame:
     """Counterfactual of a structural model by asset and day: y, yhat, lower, upper, post.
 
-    Level, season and regression on temperature and on weekdays less the last, fitted before the policy (the
-    noise ratio by likelihood over a grid). One asset's daily series is one group: a row a
+    Level, season and regression on temperature and on weekdays less the last, fitted before the policy, with
+    the variances of level and season by likelihood. One asset's daily series is one group: a row a
     day. Assets with too few days before get the mean before, without bands.
     """
     z = NormalDist().inv_cdf(1 - alpha / 2)
@@ -146,8 +171,7 @@ def structural_effect(series: DataFrame, dates: DataFrame, metric: str = "energy
             return out.assign(yhat=mean, lower=np.nan, upper=np.nan, used_fallback=True)
         weekday = np.array([d.weekday() for d in pdf["date"]])
         x = np.column_stack([pdf["temp_c"].to_numpy(float) - pdf["temp_c"].mean(), *((weekday == k).astype(float) for k in np.unique(weekday)[:-1])])
-        fits = [_level_model(y, x, start, period, r) for r in (1e-4, 1e-3, 1e-2, 0.1, 1.0)]
-        pred, var, _ = max(fits, key=lambda f: f[2])
+        (pred,), (var,), _, _ = level_model(y, x, start, period, likeliest(y[:start], x[:start], start, period)[None])
         half = z * np.sqrt(np.maximum(var, 0))
         return out.assign(yhat=pred, lower=pred - half, upper=pred + half, used_fallback=False)
 
