@@ -320,36 +320,67 @@ KNOWN_TYPES = ("webhook", "email")
 def limit(attempts: DataFrame, most: int | None, order: Sequence[str] = ("pos", "sub_pos", "route_pos", "channel_pos")) -> DataFrame:
     """attempts with status: sent, or why not (no_route, global_rate_limited, channel_rate_limited, unknown_channel_type).
 
-    Sends in order; only successful ones use up a budget. With one limit per channel this
-    is a closed form: a row is a candidate if it is among its channel's first `limit` of
-    known type, and global sends before it are the candidates before it. Both running counts
-    are made of sums by range of the order, so no task sees all rows of a channel or of all.
+    Sends in order; only successful ones use up a budget. A limit is reached at one place of
+    the order and never left again, so all that rows need is those places: one for each
+    limit that a channel has (routes may give a channel different ones, which share its
+    count), and one for all. They are found among few rows: counts by SLAB positions tell
+    which of them can still be within a limit. Attempts themselves are neither sorted nor dealt.
     """
-    known = F.col("channel_type").isin(*KNOWN_TYPES)
-    earlier = lambda *by: Window.partitionBy(*by).orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
-    within_slab = lambda *by: Window.partitionBy(*by, "slab").orderBy(*order)
-    routed = attempts.filter("route_id IS NOT NULL").withColumns({"known": known, "slab": F.floor(F.col(order[0]) / SLAB)})
-    # One row per channel and SLAB positions.
-    per = routed.filter("known").groupBy("channel_id", "slab").agg(F.count("*").alias("in_slab"))
-    per = per.select("channel_id", "slab", F.coalesce(F.sum("in_slab").over(earlier("channel_id")), F.lit(0)).alias("channel_before"))
-    routed = routed.join(per, ["channel_id", "slab"], "left").withColumn("nth", F.col("channel_before") + F.row_number().over(within_slab("channel_id", "known")))
-    within = F.coalesce(F.col("nth") <= F.col("channel_limit"), F.lit(True))
-    routed = routed.withColumn("candidate", (known & within).cast("int"))
-    # One row per SLAB positions.
-    sums = routed.groupBy("slab").agg(F.sum("candidate").alias("in_slab"))
-    before = sums.select("slab", F.coalesce(F.sum("in_slab").over(earlier(F.lit(0))), F.lit(0)).alias("slabs_before"))
-    inside = within_slab().rowsBetween(Window.unboundedPreceding, -1)
-    running = routed.join(before, "slab").withColumn("sent_before", F.col("slabs_before") + F.coalesce(F.sum("candidate").over(inside), F.lit(0)))
-    status = (
-        F.when(F.lit(most is not None) & (F.col("sent_before") >= F.lit(most if most is not None else 0)), "global_rate_limited")
-        .when(known & ~within, "channel_rate_limited")
-        .when(~known, "unknown_channel_type")
-        .otherwise("sent")
-    )
-    done = running.withColumn("status", status).select(*attempts.columns, "status")
+    key = F.struct(*order)
+    known = F.coalesce(F.col("channel_type").isin(*KNOWN_TYPES), F.lit(False))
+    slim = stored(attempts.filter(F.col("route_id").isNotNull() & known).select(*order, "channel_id", F.col("channel_limit").alias("most"), F.floor(F.col(order[0]) / SLAB).alias("slab")))
+    ends = limit_ends(slim, order)
+    left = F.broadcast(ends)  # a row for each limit of a channel that is reached: no more than routes have channels
+    placed = lambda rows, limit: rows.join(left, F.col("channel_id").eqNullSafe(F.col("of")) & (F.col(limit) == F.col("reached")), "left")
+    within = lambda limit: F.col(limit).isNull() | ((F.col(limit) > 0) & (F.col("end").isNull() | (key <= F.col("end"))))
+    last = None
+    if most is not None and most > 0:
+        sent = placed(slim, "most").filter(within("most"))
+        sums = sent.groupBy("slab").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each SLAB positions
+        at = sums.filter((F.col("before") < most) & (F.col("before") + F.col("n") >= most)).first()
+        if at is not None:
+            nth = F.row_number().over(Window.partitionBy("slab").orderBy(*order))
+            last = sent.filter(F.col("slab") == at["slab"]).withColumn("nth", nth).filter(F.col("nth") == most - at["before"]).select(*order).first()
+    over = F.lit(most == 0)
+    if last is not None:
+        kinds = dict(attempts.dtypes)
+        over = key > F.struct(*[F.lit(last[c]).cast(kinds[c]).alias(c) for c in order])
+    status = F.when(over, "global_rate_limited").when(known & ~within("channel_limit"), "channel_rate_limited").when(~known, "unknown_channel_type").otherwise("sent")
+    routed = attempts.filter("route_id IS NOT NULL")
+    done = placed(routed, "channel_limit").withColumn("status", status).drop("of", "reached", "end")
     return done.unionByName(attempts.filter("route_id IS NULL").withColumn("status", F.lit("no_route")))
 
 
+def limit_ends(slim: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(of, reached, end): of each channel and limit that it reaches the place of the send that does.
+
+    As no more than the largest limit of a channel counts, only so many first rows of each of its
+    limits are put in order.
+    """
+    top = slim.groupBy("channel_id").agg(F.max("most").alias("top")).filter("top > 0").select(F.col("channel_id").alias("c"), "top")
+    per = slim.groupBy("channel_id", "most", "slab").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("channel_id", "most").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    early = per.withColumn("before", before).join(F.broadcast(top), F.col("channel_id").eqNullSafe(F.col("c"))).filter("before < top").select("c", F.col("most").alias("m"), F.col("slab").alias("s"), "top")
+    rows = slim.join(early, F.col("channel_id").eqNullSafe(F.col("c")) & F.col("most").eqNullSafe(F.col("m")) & (F.col("slab") == F.col("s")))
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("channel_id", "most").orderBy(*order))).filter("nth <= top")
+    kinds = dict(slim.dtypes)
+
+    def fold(pdf):
+        import pandas as pd
+
+        used, out = 0, []
+        limits = set(pdf["most"].dropna())
+        for r in pdf.sort_values(list(order)).itertuples(index=False):
+            if pd.isna(r.most) or used < r.most:
+                used += 1
+                if used in limits:
+                    out.append((r.channel_id, used, *(getattr(r, c) for c in order)))
+        return pd.DataFrame(out, columns=["of", "reached", *order])
+
+    found = first.select("channel_id", "most", *order).groupBy("channel_id").applyInPandas(fold, f"of {kinds['channel_id']}, reached int, " + ", ".join(f"{c} {kinds[c]}" for c in order))
+    return stored(found.select("of", "reached", F.struct(*order).alias("end")))
+
+
 #: Positions of the order that one running sum covers.
 SLAB = 100_000
 
