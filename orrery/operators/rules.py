@@ -102,14 +102,31 @@ class Compiler:
 
     def __init__(self, event: str = "event", kg: str | None = None):
         self.sources = {"event": event} | ({"kg": kg} if kg else {})
+        self.parsed: dict[str, Column] = {c: F.try_parse_json(F.col(c)) for c in self.sources.values()}
+        self.known: dict[tuple[str, ...], Column] = {}
+
+    def prepared(self, rows: DataFrame, rules: Sequence[dict]) -> tuple[DataFrame, list[str]]:
+        """rows with each source parsed once and each path of the rules looked up once, in columns of their own, and those columns' names."""
+        prefix = next(f"rules_{'_' * k}" for k in range(len(rows.columns) + 1) if not any(c.startswith(f"rules_{'_' * k}") for c in rows.columns))
+        names = {c: f"{prefix}{k}" for k, c in enumerate(self.parsed)}
+        rows = rows.withColumns({n: self.parsed[c] for c, n in names.items()})
+        self.parsed = {c: F.col(n) for c, n in names.items()}
+        paths = {tuple(k.split(".")) for r in rules if r["trigger"].get("type") == "event" for k in r["trigger"].get("match") or {}} | {tuple(c["tokens"]) for r in rules for c in r["clauses"]}
+        found = {t: f"{prefix}path_{k}" for k, t in enumerate(sorted(paths))}
+        if found:
+            rows = rows.withColumns({n: self.value(t) for t, n in found.items()})
+        self.known = {t: F.col(n) for t, n in found.items()}
+        return rows, [*names.values(), *found.values()]
 
     def value(self, tokens: Sequence[str]) -> Column:
         """A path's JSON value as text with its quotes, or null: as named, else below event, else below kg."""
+        if tuple(tokens) in self.known:
+            return self.known[tuple(tokens)]
         tries = []
         if tokens[0] in self.sources:
             tries.append((self.sources[tokens[0]], tokens[1:]))
         tries += [(c, tokens) for c in self.sources.values()]
-        found = [F.try_variant_get(F.try_parse_json(F.col(c)), "$" + "".join(f"['{t}']" for t in path), "variant") for c, path in tries if path]
+        found = [F.try_variant_get(self.parsed[c], "$" + "".join(f"['{t}']" for t in path), "variant") for c, path in tries if path]
         text = [F.to_json(v) for v in found]
         return F.nullif(F.coalesce(*text), F.lit("null"))
 
@@ -172,7 +189,8 @@ def enforce(events: DataFrame, manifest: Sequence[dict], event: str = "event", k
     c = Compiler(event, kg)
     if not chosen:
         return events.limit(0).select("*", F.lit("").alias("rule_id"), F.lit(0).alias("rule_version"), F.lit("").alias("rule_severity"), F.array().cast("array<struct<path:string,op:string,value:string,resolved:string,ok:boolean>>").alias("evidence"))
-    found = events.withColumn("violation", F.explode(F.array_compact(F.array(*[c.violation(r, asset) for r in chosen]))))
+    rows, own = c.prepared(events, chosen)
+    found = rows.withColumn("violation", F.explode(F.array_compact(F.array(*[c.violation(r, asset) for r in chosen])))).drop(*own)
     return found.select("*", "violation.rule_id", "violation.rule_version", F.col("violation.severity").alias("rule_severity"), "violation.evidence").drop("violation")
 
 
