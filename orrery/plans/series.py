@@ -107,6 +107,17 @@ def rings(s, d):
     return ring.select("id", F.size("ring").alias("corners"), geo.is_valid(F.col("ring")).alias("valid"), (F.abs(c[0] - F.col("lon")) < 1e-3).alias("centred"))
 
 
+#: Corners of a buffer that its query tells, counted from the east in steps of 11.25 degrees.
+CORNERS = (0, 3, 8, 21)
+
+
+def corners(s, d):
+    """Some corners of the buffers around points from all latitudes."""
+    rows = table(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3400 / 10.0 - 170).alias("lon"), (F.col("c_custkey") % 1580 / 10.0 - 79).alias("lat"))
+    ring = rows.withColumn("ring", geo.buffer(F.col("lon"), F.col("lat")))
+    return ring.select("id", *[F.round(F.col("ring")[k][j], 7).alias(f"{name}{k}") for k in CORNERS for j, name in enumerate(("lon", "lat"))])
+
+
 def boxes(s, d):
     rows = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 50).alias("r0"), (F.col("s_suppkey") % 30).alias("c0"))
     bbox = F.array(*[F.lit(x) for x in (54.4, 24.3, 54.6, 24.6)])
@@ -136,6 +147,7 @@ QUERIES = {
     "raster_components": lambda s, d: raster.boxes(tiles.components(tiles.cleaned(change(s, d).select("aoi_id", "row", "col", "mask"), 1, 1, 6, side=TILE), side=TILE)),
     "change_events": lambda s, d: raster.change_events(raster.change_metrics(change(s, d)), "2024-03-15").withColumn("score", F.round("score", 9)),
     "geo_buffer": rings,
+    "geo_buffer_corners": corners,
     "geo_pixel_boxes": boxes,
     "bundle_issue": lambda s, d: proof.issue(bundles(s, d), "secret").select("pdf_hash", "bundle_id", "signature", "decision"),
     "bundle_verify": verified,
@@ -194,6 +206,10 @@ ORACLES = {
     "raster_grey": f"{_PIXELS} SELECT aoi_id, 'before' AS timing, row, col, round(0.2989 * r0 + 0.5870 * n0, 9) AS value FROM p UNION ALL SELECT aoi_id, 'after', row, col, round(0.2989 * r1 + 0.5870 * n1, 9) FROM p",
     "change_events": f"{_PIXELS}{_MASK} SELECT sha256(aoi_id || '|2024-03-15T00:00:00Z|p95') AS event_id, aoi_id, '2024-03-15T00:00:00Z' AS occurred_at, round(changed / total, 9) AS score, CASE WHEN changed / total >= 0.05 THEN 'high' WHEN changed / total >= 0.01 THEN 'medium' ELSE 'low' END AS severity FROM m",
     "geo_buffer": "SELECT s_suppkey AS id, 33 AS corners, true AS valid, true AS centred FROM supplier",
+    "geo_buffer_corners": """WITH p AS (SELECT c_custkey AS id, radians(c_custkey % 3400 / 10.0::DOUBLE - 170) * 6378137 AS x, 6378137 * ln(tan(pi() / 4 + radians(c_custkey % 1580 / 10.0::DOUBLE - 79) / 2)) AS y FROM customer)
+      SELECT id, """
+    + ", ".join(f"round(degrees((x + 250 * cos({k} * pi() / 16)) / 6378137), 7) AS lon{k}, round(degrees(2 * atan(exp((y + 250 * sin({k} * pi() / 16)) / 6378137)) - pi() / 2), 7) AS lat{k}" for k in CORNERS)
+    + " FROM p",
     "geo_pixel_boxes": """WITH b AS (SELECT s_suppkey AS id, s_suppkey % 50 AS r0, s_suppkey % 30 AS c0 FROM supplier), x AS (SELECT id, 54.4::DOUBLE + (54.6::DOUBLE - 54.4::DOUBLE) * c0 / 64 AS a, least(54.4::DOUBLE + (54.6::DOUBLE - 54.4::DOUBLE) * (c0 + 10) / 64, 54.6) AS b, 24.6::DOUBLE - (24.6::DOUBLE - 24.3::DOUBLE) * r0 / 64 AS c, greatest(24.6::DOUBLE - (24.6::DOUBLE - 24.3::DOUBLE) * (r0 + 20) / 64, 24.3) AS d FROM b)
       SELECT id, round(a, 9) AS x0, round(c, 9) AS y0, round(b, 9) AS x2, round(d, 9) AS y2, round(abs(b - a) * 111.32 * cos(radians((c + d) / 2)) * abs(d - c) * 111.32, 6) AS km2 FROM x""",
     "bundle_issue": f"{_BUNDLES} SELECT pdf_hash, sha256(payload) AS bundle_id, {_HMAC} AS signature, decision FROM j",
