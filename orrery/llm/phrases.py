@@ -35,7 +35,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import drop_tables, small_or_dealt, tables, written
+from orrery.llm.common import drop_tables, released, small_or_dealt, tables, written
 
 #: Occurrences from which a phrase is frequent; words of a phrase at most; hundredths of its count that make a longer one subsume it.
 LEAST, LONGEST, SUBSUMED = 30, 4, 80
@@ -71,7 +71,7 @@ def chunks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", chun
 
     def run(batches):
         from collections import defaultdict
-        from itertools import count
+        from itertools import count, islice
 
         import numpy as np
         import pyarrow as pa
@@ -81,16 +81,19 @@ def chunks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", chun
 
         def made(ids, known, chunk):
             at = np.concatenate(ids)
-            words = [(lang, w, i) for lang, own in known.items() for w, i in own.items() if i]
-            n = np.bincount(at, minlength=len(words) + 1)
-            local = np.array([w[2] for w in words], np.int32)
-            rows = len(words)
+            ids.clear()
+            n = np.bincount(at, minlength=1)
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([_packed(at - 1)], pa.binary()), *(pa.nulls(1, t) for t in (pa.int32(), pa.string(), pa.binary(), pa.int64()))], names=names)
-            for s in range(0, rows, 50_000):
-                own = words[s : s + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * len(own)), pa.nulls(len(own), pa.binary()), pa.array(local[s : s + 50_000] - 1), pa.array([w[0] for w in own], pa.string()), pa.array([w[1] for w in own], pa.binary()), pa.array(n[local[s : s + 50_000]])], names=names
-                )
+            del at
+            for lang, own in known.items():
+                rest = (wi for wi in own.items() if wi[1])
+                while some := list(islice(rest, 50_000)):
+                    local = np.array([i for _, i in some], np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([chunk] * len(some)), pa.nulls(len(some), pa.binary()), pa.array(local - 1), pa.array([lang] * len(some), pa.string()), pa.array([w for w, _ in some], pa.binary()), pa.array(n[local])], names=names
+                    )
+            known.clear()
+            released()
 
         names = ["chunk", "at", "local", "lang", "word", "n"]
 
