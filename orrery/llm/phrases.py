@@ -40,7 +40,7 @@ from orrery.llm.common import drop_tables, released, small_or_dealt, tables, wri
 #: Occurrences from which a phrase is frequent; words of a phrase at most; hundredths of its count that make a longer one subsume it.
 LEAST, LONGEST, SUBSUMED = 30, 4, 80
 #: Bytes of text of a chunk; one text more may be in it.
-CHUNK_BYTES = 32_000_000
+CHUNK_BYTES = 16_000_000
 #: Groups that each language's candidates are ordered in first.
 SALTS = 32
 #: What a score of equal counts is: twice the share of the phrase among its parts', in millionths.
