@@ -5,18 +5,18 @@ Walsh-Hadamard transform: d log d additions and no matrix) and takes the signed
 is nearest. A table's key joins HASHES such axes of different rotations, so that there are
 (2 d) ** HASHES buckets. Every vector is dealt to one bucket in each of TABLES tables; a
 query looks into those buckets of each that lose least: the sum over the hashes of the
-squared gap between an axis and the nearest one. The fuller the buckets, the fewer of them
-it looks into (see probes_for), so that what it meets grows about with the square root of
-the vectors, not with their number. Beyond some vectors per bucket (about 10^6 vectors of 64
-components) one bucket a table remains, and more HASHES keep it small.
+squared gap between an axis and the nearest one. How many buckets it looks into follows from
+a recall that is measured first: MEASURED of the queries are compared with all vectors, which
+is one scan, and the least number of buckets counts with which the tables find TARGET of
+their nearest. Among n vectors a key joins as many axes as leave about one vector a bucket,
+two at least; where these do not reach the target with MOST_PROBES buckets, one fewer.
 
 Tables hold numbers of rows, not vectors. What queries meet is reduced to distinct
 candidates first, listed by block of vectors; then each vector goes to its block once (and
 once more for each further QUERIES queries), where candidates are reranked by exact
 Euclidean distance on the original vectors in double precision. A block returns k + 1 rows
-per query. All candidates are kept; nothing is capped. Where a query meets few, its nearest
-are hardly nearer than the rest and hashing does not find them surely: one that met fewer
-than LEAST is compared with all vectors, block by block. In a large table hardly any does.
+per query. All candidates are kept; nothing is capped. Only a query that met fewer than k
+is compared with all vectors, block by block, as it must get k if there are as many.
 
 Rows of one vector are interchangeable but for their ids, so of each vector only the k + 1
 smallest ids are dealt, and queries of one vector ask once: a vector that a third of all
@@ -39,11 +39,12 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import written
 
-TABLES, HASHES = 96, 2
-#: Buckets of a table that a query looks into where buckets hold LOAD vectors, and at most; how they fall with more.
-PROBES, MOST_PROBES, LOAD, FALL = 20, 24, 0.6, 0.65
-#: Candidates with which a query is content.
-LEAST = 600
+#: Tables; hashes of a key at least and at most.
+TABLES, HASHES, MOST_HASHES = 96, 2, 4
+#: Queries whose nearest are found exactly first, the share of these that the tables have to find, and the buckets of a table that a query looks into at most.
+MEASURED, TARGET, MOST_PROBES = 128, 0.95, 64
+#: Buckets that a query looks into where there is nothing to measure.
+PROBES = 8
 #: Vectors of a block, and queries that it meets at once.
 BLOCK, QUERIES = 8_192, 4_096
 SEED = 11
@@ -80,17 +81,72 @@ def keys(unit: np.ndarray, table: int, probes: int, hashes: int = HASHES) -> np.
         both = np.stack((x, -x), axis=2).reshape(n, -1)  # 2i for +, 2i + 1 for -
         gap = (both.max(axis=1, keepdims=True) - both) ** 2
         axes = np.argsort(gap, axis=1, kind="stable")[:, :probes] if probes > 1 else both.argmax(axis=1)[:, None]
-        found = (found[:, :, None] * both.shape[1] + axes[:, None, :]).reshape(n, -1)
-        loss = (loss[:, :, None] + np.take_along_axis(gap, axes, axis=1)[:, None, :]).reshape(n, -1)
+        # Both sides are sorted, so the i-th and the j-th together are at best the (i j)-th.
+        i, j = np.nonzero(np.outer(np.arange(1, found.shape[1] + 1), np.arange(1, axes.shape[1] + 1)) <= max(1, probes))
+        found = found[:, i] * both.shape[1] + axes[:, j]
+        loss = loss[:, i] + np.take_along_axis(gap, axes, axis=1)[:, j]
         best = np.argsort(loss, axis=1, kind="stable")[:, :probes]
         found, loss = np.take_along_axis(found, best, axis=1), np.take_along_axis(loss, best, axis=1)
     return found
 
 
-def probes_for(n: int, length: int, hashes: int = HASHES) -> int:
-    """Buckets of a table that a query looks into among n vectors of so many components."""
-    buckets = (2 << max(1, length - 1).bit_length()) ** hashes
-    return max(1, min(MOST_PROBES, round(PROBES * (max(1, n) / buckets / LOAD) ** -FALL)))
+def units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def least_probes(x: np.ndarray, q: np.ndarray, y: np.ndarray, tables: int, hashes: int, most: int) -> np.ndarray:
+    """Of each pair of a query x[q] and a row of y the buckets a table with which some table finds it; above most: none does."""
+    out = np.full(len(y), most + 1)
+    for t in range(tables):
+        hit = keys(x, t, most, hashes)[q] == keys(y, t, 1, hashes)
+        out = np.minimum(out, np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, most + 1))
+    return out
+
+
+def others_nearest(dealt: DataFrame, x: np.ndarray, k: int) -> DataFrame:
+    """(q, no): the k nearest vectors of each row of x that do not equal it, by one scan; a task returns k rows a query at most."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        own = (x * x).sum(axis=1)[:, None]
+        best, who = np.zeros((len(x), 0)), np.zeros((len(x), 0), np.int64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4_096):
+                    part = batch.slice(at, 4_096)
+                    v, no = _matrix(part.column(1)), part.column(0).to_numpy(zero_copy_only=False)
+                    d = own - 2 * (x @ v.T) + (v * v).sum(axis=1)
+                    d[~(d > 1e-9 * own)] = np.inf  # equal ones, and what is no number
+                    best, who = np.concatenate((best, d), axis=1), np.concatenate((who, np.broadcast_to(no, d.shape)), axis=1)
+                    if best.shape[1] > k:
+                        keep = np.argpartition(best, k - 1, axis=1)[:, :k]
+                        best, who = np.take_along_axis(best, keep, axis=1), np.take_along_axis(who, keep, axis=1)
+        q, c = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(who[q, c]), pa.array(best[q, c])], names=["q", "no", "d"])
+
+    near = dealt.select("no", "v").mapInArrow(run, "q int, no long, d double")
+    return near.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("d", "no"))).filter(F.col("nth") <= k).select("q", "no")
+
+
+def fitted(dealt: DataFrame, posed: DataFrame, n: int, k: int, tables: int) -> tuple[int, int]:
+    """(hashes, probes) with which the tables find TARGET of the nearest of MEASURED queries; the driver sees k vectors of each of these."""
+    asked = posed.orderBy("same").limit(MEASURED).select("v").collect()
+    if not asked:
+        return HASHES, PROBES
+    x = np.array([r["v"] for r in asked])
+    near = dealt.join(F.broadcast(others_nearest(dealt, x, k)), "no").select("q", "v").collect()  # k rows of MEASURED queries at most
+    axes = 2 << max(1, x.shape[1] - 1).bit_length()
+    first = min(MOST_HASHES, max(HASHES, int(np.log(max(n, 2)) / np.log(axes))))
+    if not near:
+        return first, PROBES
+    q, x, y = np.array([r["q"] for r in near]), units(x), units(np.array([r["v"] for r in near]))
+    for hashes in range(first, 0, -1):
+        wanted = np.sort(least_probes(x, q, y, tables, hashes, MOST_PROBES))[int(np.ceil(TARGET * len(y))) - 1]
+        if wanted <= MOST_PROBES:
+            break
+    return hashes, int(min(wanted, MOST_PROBES))
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -121,8 +177,7 @@ def hashed(rows: DataFrame, probes: int, tables: int, hashes: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1_000):
                 part = batch.slice(at, 1_000)
                 x, no = _matrix(part.column(1)), part.column(0).to_numpy(zero_copy_only=False)
-                unit = x / np.abs(x).max(axis=1, keepdims=True)
-                unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+                unit = units(x)
                 for t in range(tables):
                     found = keys(unit, t, probes, hashes)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(found.size, t, np.int32)), pa.array(found.ravel()), pa.array(np.repeat(no, found.shape[1]))], names=["tab", "key", "no"])
@@ -170,13 +225,13 @@ def _rerank(k: int):
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, probes: int | None = None, hashes: int = HASHES, least: int = LEAST, id_col: str = "vec_id", vector_col: str = "embedding", report: list | None = None
+    vectors: DataFrame, is_query: Column, k: int = 10, tables: int = TABLES, probes: int | None = None, hashes: int = HASHES, id_col: str = "vec_id", vector_col: str = "embedding", report: list | None = None
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row where is_query, a condition on vec_id.
 
-    probes: buckets of a table that a query looks into; None: by the number of vectors.
+    probes: buckets of a table that a query looks into; None: hashes and probes by measured recall.
 
-    report, a list, gets the numbers of vectors dealt, of distinct query vectors and of distinct candidate pairs.
+    report, a list, gets the numbers of vectors dealt, of distinct query vectors and of distinct candidate pairs, then hashes and probes.
     """
     # A key of 16 bytes stands for the vector; -0.0 and 0.0 may make two of one, which costs a row and changes nothing.
     same = F.unhex(F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",")))
@@ -187,8 +242,8 @@ def search(
     asks = written(rows.filter(is_query).select("vec_id", "same", "v"))
     posed = written(asks.dropDuplicates(["same"]).select("same", "v", F.monotonically_increasing_id().alias("no")))
     n, m = dealt.count(), posed.count()
-    length = dealt.select(F.size("v")).first() if probes is None else None
-    probes = probes or probes_for(n, length[0] if length else 1, hashes)
+    if probes is None:
+        hashes, probes = fitted(dealt, posed, n, k, tables)
     parts, copies = max(1, -(-n // BLOCK)), max(1, -(-m // QUERIES))
 
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
@@ -197,7 +252,7 @@ def search(
     lists = hashed(posed, probes, tables, hashes).withColumnRenamed("no", "q").join(held, ["tab", "key"])
     met = written(lists.groupBy("q", "block").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("candidates")))  # at most tables x a block's numbers
     if report is not None:
-        report += [n, m, met.agg(F.coalesce(F.sum(F.size("candidates")), F.lit(0))).first()[0]]
+        report += [n, m, met.agg(F.coalesce(F.sum(F.size("candidates")), F.lit(0))).first()[0], hashes, probes]
 
     each = posed.select(F.col("no").alias("q"), "v")
     copied = dealt.select("vec_id", "no", "v", block("no").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
@@ -216,9 +271,7 @@ def search(
         return own.select("query_id", "q", F.filter(F.coalesce("found", F.expr("array()").cast("array<struct<vec_id:bigint,score:double>>")), lambda x: x["vec_id"] != F.col("query_id")).alias("found"))
 
     found = written(of_queries(reranked(met)))
-    content = met.groupBy("q").agg(F.sum(F.size("candidates")).alias("met")).filter(F.col("met") >= max(k + 1, least)).select("q")
-    content = content.join(found.filter(F.size("found") >= k), "q", "left_semi")
-    short = written(each.select("q").join(content, "q", "left_anti"))
+    short = written(each.select("q").join(found.filter(F.size("found") >= k).select("q"), "q", "left_anti"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("block")
     again = of_queries(reranked(short.select("q", every, F.lit(None).cast("array<bigint>").alias("candidates"))))
     whole = found.join(short, "q", "left_anti").unionByName(again.join(short, "q", "left_semi"))  # of a query either or
