@@ -12,7 +12,7 @@ their nearest. Among n vectors a key joins as many axes as leave about one vecto
 two at least; where these do not reach the target with MOST_PROBES buckets, one fewer.
 
 Tables hold numbers of rows, not vectors. What queries meet is reduced to distinct
-candidates first, listed by block of vectors; then each vector goes to its block once (and
+candidates first, listed by SPAN blocks of vectors and then by block; then each vector goes to its block once (and
 once more for each further QUERIES queries), where candidates are reranked by exact
 Euclidean distance on the original vectors in double precision. A block returns k + 1 rows
 per query. All candidates are kept; nothing is capped. Only a query that met fewer than k
@@ -45,8 +45,8 @@ TABLES, HASHES, MOST_HASHES = 96, 2, 4
 MEASURED, TARGET, MOST_PROBES = 128, 0.95, 64
 #: Buckets that a query looks into where there is nothing to measure.
 PROBES = 8
-#: Vectors of a block, and queries that it meets at once.
-BLOCK, QUERIES = 8_192, 4_096
+#: Vectors of a block, and queries that it meets at once; blocks whose candidates are listed together.
+BLOCK, QUERIES, SPAN = 8_192, 4_096, 8
 SEED = 11
 
 
@@ -246,16 +246,20 @@ def search(
         hashes, probes = fitted(dealt, posed, n, k, tables)
     parts, copies = max(1, -(-n // BLOCK)), max(1, -(-m // QUERIES))
 
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
-    # A bucket is met as lists, one for each block that it has vectors in, so a crowded one makes no row for each pair.
-    held = hashed(dealt, 1, tables, hashes).groupBy("tab", "key", block("no").alias("block")).agg(F.collect_list("no").alias("held"))  # at most a block's numbers
+    block = lambda no: F.pmod(no + F.shiftright(no, 33), F.lit(parts))  # noqa: E731 - numbers run within a partition, whose own begins at bit 33
+    span = F.floor(block(F.col("no")) / SPAN)
+    # A bucket is met as lists, one for each span that it has vectors in, so a crowded one makes no row for each pair.
+    held = hashed(dealt, 1, tables, hashes).groupBy("tab", "key", span.alias("span")).agg(F.collect_list("no").alias("held"))  # at most a span's numbers
     lists = hashed(posed, probes, tables, hashes).withColumnRenamed("no", "q").join(held, ["tab", "key"])
-    met = written(lists.groupBy("q", "block").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("candidates")))  # at most tables x a block's numbers
+    spans = lists.groupBy("q", "span").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("all"))  # at most tables x a span's numbers
+    blocks = F.sequence(F.col("span") * SPAN, F.least(F.col("span") * SPAN + (SPAN - 1), F.lit(parts - 1).cast("long")))
+    cut = spans.select("q", "all", F.explode(blocks).alias("block"))
+    met = written(cut.select("q", "block", F.filter("all", lambda no: block(no) == F.col("block")).alias("candidates")).filter(F.size("candidates") > 0))
     if report is not None:
         report += [n, m, met.agg(F.coalesce(F.sum(F.size("candidates")), F.lit(0))).first()[0], hashes, probes]
 
     each = posed.select(F.col("no").alias("q"), "v")
-    copied = dealt.select("vec_id", "no", "v", block("no").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    copied = dealt.select("vec_id", "no", "v", block(F.col("no")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
 
     def reranked(lists: DataFrame) -> DataFrame:
         """(q, block, candidates) to the nearest ids by query."""

@@ -456,6 +456,7 @@ def test_nearest_in_blocks(spark, monkeypatch):
     """Hashing alone, over several blocks and copies, finds most of what brute force finds, with few candidates."""
     monkeypatch.setattr(ann, "BLOCK", 700)
     monkeypatch.setattr(ann, "QUERIES", 7)
+    monkeypatch.setattr(ann, "SPAN", 2)
     rng = np.random.default_rng(12)
     centres = rng.normal(size=(60, 64))
     v = centres[rng.integers(0, 60, 3000)] + 0.25 * rng.normal(size=(3000, 64))
