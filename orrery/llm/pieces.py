@@ -18,7 +18,7 @@ executors (32,000 short strings, whatever the input); nothing is trained.
 Defined results: null and empty texts have no pieces and decode to an empty text;
 decode(encode(text)) is the text exactly, which for the mark character itself (U+2581)
 takes its bytes, where the library would turn it into a space; repeated rows get equal
-pieces; a text of any length is one row; of equal merges the leftmost comes first. Columns of the input may have any names: new ones are named ids and
+pieces; a text of any length is one row, and one without spaces is one word that is not remembered; of equal merges the leftmost comes first. Columns of the input may have any names: new ones are named ids and
 decoded, with _ after names that are taken (see common.renamed). An empty table gives an
 empty one.
 """
@@ -40,8 +40,8 @@ MARK = "▁"
 LITERAL = "\0" + MARK
 #: Letters of the Latin script, before whose punctuation words may be cut.
 LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
-#: Words that a worker remembers at most; then it starts afresh.
-REMEMBERED = 250_000
+#: Words that a worker remembers at most beside a block's; then it starts afresh. Longer words than LONG characters go with their block.
+REMEMBERED, LONG = 250_000, 64
 #: Between tasks a worker keeps the words of at most so many characters, which are the frequent ones.
 SHORT = 5
 
@@ -185,8 +185,13 @@ class Codec:
         cut, cores = [self.cut(t) for t in texts], self.cores
         if len(cores) > REMEMBERED:
             cores.clear()
-        cores.update(self.viterbi(sorted(set().union(*cut).difference(cores))))
-        return [b"".join([cores[w] for w in ws]) for ws in cut]
+        new = self.viterbi(sorted(set().union(*cut).difference(cores)))
+        cores.update(new)
+        out = [b"".join([cores[w] for w in ws]) for ws in cut]
+        for w in new:
+            if len(w) > LONG:
+                del cores[w]
+        return out
 
     def forget(self) -> None:
         """Keeps the short words only."""

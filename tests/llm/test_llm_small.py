@@ -421,6 +421,19 @@ def test_nearest(spark):
     assert {r.query_id for r in ann.search(df, F.col("vec_id") % 100 == 0).collect()} == {0, 100, 200, 300}
 
 
+def test_long_words_are_not_remembered():
+    """What a worker remembers does not grow with texts without spaces, and these are encoded as ever."""
+    import base64
+
+    codec, rng = pieces.Codec(pieces.vocabulary()), np.random.default_rng(4)
+    for _ in range(20):
+        texts = [base64.b64encode(rng.bytes(15_000)).decode(), "some words " + "漢字" * 3_000, "some words"]
+        got = codec.encode(texts)
+        assert [codec.decode(np.frombuffer(x, "<i4")) for x in got] == texts
+        assert all(len(w) <= pieces.LONG for w in codec.cores) and sum(map(len, codec.cores.values())) < 2_000
+    assert codec.encode(texts) == got == pieces.Codec(pieces.vocabulary()).encode(texts)
+
+
 def test_fewest_of_sorted_sums():
     """The buckets that lose least are those of all combinations of axes, in order."""
     x = ann.units(np.random.default_rng(3).normal(size=(20, 16)))
