@@ -74,17 +74,22 @@ def key_text(fields: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.when(F.col(f).cast("string").isin("true", "false"), F.initcap(F.col(f).cast("string"))).otherwise(F.col(f).cast("string")), F.lit("None")) for f in fields])
 
 
+def micros(rows: DataFrame) -> Column:
+    """A row's time in microseconds: its `moment`, where rows have one, as `ts` may be cut to seconds; null if it cannot be read."""
+    name = "moment" if "moment" in rows.columns else "ts"
+    return F.unix_micros(F.col(name).try_cast("timestamp") if dict(rows.dtypes)[name] == "string" else F.col(name).cast("timestamp"))
+
+
 def keyed(matched: DataFrame, config: Dedupe) -> DataFrame:
     """matched with the texts of its keys, and its time in microseconds (unreadable: the epoch). Rows whose keys share no field form one group."""
     common = [f for f in config.key_fields if f in config.flap.key_fields] if config.flap.enabled else list(config.key_fields)
-    at = F.unix_micros(F.col("ts").try_cast("timestamp")) if dict(matched.dtypes)["ts"] == "string" else F.unix_micros(F.col("ts").cast("timestamp"))
     return matched.withColumns(
         {
             "group_key": key_text(common) if common else F.lit(""),
             "dedupe_key": key_text(config.key_fields),
             "flap_key": key_text(config.flap.key_fields),
             "flap_value": key_text([config.flap.value_field]),
-            "at": F.coalesce(at, F.lit(0).cast("long")),
+            "at": F.coalesce(micros(matched), F.lit(0).cast("long")),
         }
     )
 

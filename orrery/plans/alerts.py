@@ -32,7 +32,8 @@ def pseudonyms(spark, d):
 
 def flaps(spark, d):
     config = replace(Dedupe(), ttl_seconds=0, min_interval_seconds=0, flap=replace(Dedupe().flap, window_seconds=259_200))
-    return alerts.dedupe(matched(spark, d), config).groupBy("status").agg(F.count("*").alias("n"))
+    by_second = matched(spark, d).drop("moment")  # its SQL counts whole seconds
+    return alerts.dedupe(by_second, config).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def roi(spark, d):

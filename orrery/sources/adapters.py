@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as alerts: pos, id, ts (ISO text), topic, asset_id, aoi_id, rule_type, severity, acknowledged, delta."""
+    """events as alerts: pos, id, ts (ISO text, whole seconds), moment (the time itself), topic, asset_id, aoi_id, rule_type, severity, acknowledged, delta."""
     k = F.get_json_object("props", "$.k").cast("int")
     topic = F.when(F.col("event_type") == "error", "policy.enforcement").when(F.col("event_type") == "purchase", "sat.change").when(F.col("event_type") == "signup", "zk.issue").when(F.col("event_type") == "click", "zk.verify").otherwise("doc.ingested")
     v = F.col("value")
@@ -20,6 +20,7 @@ def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("pos"),
         F.concat(F.lit("e"), F.col("event_id")).alias("id"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+        F.to_timestamp(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("moment"),
         topic.alias("topic"),
         F.concat(F.lit("asset_"), F.col("user_id") % 20).alias("asset_id"),
         F.when(k % 5 != 4, F.concat(F.lit("aoi_"), k % 5)).alias("aoi_id"),
