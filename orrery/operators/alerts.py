@@ -284,12 +284,15 @@ def dedupe_metrics(decided: DataFrame) -> DataFrame:
 
 
 def flap_changes(events: DataFrame, key: Sequence[str], value: str, seconds: int) -> DataFrame:
-    """events with `changes`: how often the value changed within the trailing window, the row's own change included."""
-    by = Window.partitionBy(*key).orderBy("at_s", "pos")
+    """events with `changes`: how often the value changed within the trailing window, the row's own change included.
+
+    Values follow each other by the time itself, the window counts times rounded to seconds.
+    """
+    by = Window.partitionBy(*key).orderBy("at_us", "pos")
     changed = F.when(F.lag(value).over(by).isNotNull() & ~F.lag(value).over(by).eqNullSafe(F.col(value)), 1).otherwise(0)
-    timed = events.withColumn("at_s", F.unix_seconds(F.to_timestamp("ts"))).withColumn("changed", changed)
+    timed = events.withColumn("at_us", micros(events)).withColumn("at_s", F.rint(F.col("at_us") / 1e6).cast("long")).withColumn("changed", changed)
     span = Window.partitionBy(*key).orderBy("at_s").rangeBetween(-seconds, 0)
-    return timed.withColumn("changes", F.sum("changed").over(span)).drop("at_s", "changed")
+    return timed.withColumn("changes", F.sum("changed").over(span)).drop("at_us", "at_s", "changed")
 
 
 def _route_predicate(r: Route) -> Column:

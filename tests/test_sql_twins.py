@@ -29,6 +29,6 @@ def events(spark):
     return spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
 
 
-@pytest.mark.parametrize("name", ["alert_dedupe_ttl", "alert_dedupe_metrics", "alert_dedupe_runs", "alert_flapping"])
+@pytest.mark.parametrize("name", ["alert_dedupe_ttl", "alert_dedupe_metrics", "alert_dedupe_runs", "alert_flap_changes", "alert_flapping"])
 def test_parts_of_a_second(spark, tmp_path, name):
     twin(spark, tmp_path, name, events=events(spark))
