@@ -61,3 +61,16 @@ def test_whole_query(spark, data):
         found.setdefault(r.doc_sha256, set()).add((r.span_start, r.span_end, r.label))
         assert docs[r.doc_sha256][r.span_start : r.span_end] == r.text
     assert found == {k: set(v) for k, t in docs.items() if (v := brute(t or ""))}
+
+
+def test_a_word_is_looked_at_once():
+    """Rules are tried where a word can begin one; what a word begins is remembered, so that repeats cost no test."""
+    seen = []
+
+    def is_seven(t):
+        seen.append(t)
+        return t == "seven"
+
+    rules = (("N", ((is_seven, False),)), ("M", ((lambda t: t == "a", True), (lambda t: t == "b", False))))
+    assert tokens.entities("seven a b c " * 50, rules)[:3] == [(0, 5, "N"), (6, 9, "M"), (12, 17, "N")]
+    assert len(seen) == 4 + 50  # each word once, and the match itself
