@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import text as T
@@ -15,6 +14,18 @@ from orrery.functions import tokens
 CHUNKS = "chunk_index int, text string, n_words int, n_sentences int, page_start int, page_end int"
 
 
+#: Rows and bytes of a batch that a task turns into Python objects at a time; a row that is longer comes alone.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 22
+
+
+def slices(batch):
+    """A batch in parts of few rows and bytes, so that what a task holds does not grow with its partition."""
+    start, size = 0, max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    while start < batch.num_rows:
+        yield batch.slice(start, size)
+        start += size
+
+
 def page_sentences(pages: DataFrame, key: str = "doc_sha256") -> DataFrame:
     """(key, page, n, sentence): the sentences of each page in order."""
     return pages.select(key, "page", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
@@ -23,22 +34,35 @@ def page_sentences(pages: DataFrame, key: str = "doc_sha256") -> DataFrame:
 def sentence_spans(pages: DataFrame, key: str = "doc_sha256") -> DataFrame:
     """(key, page, n, span_start, span_end, sentence): sentences with their places in the stripped text of the page, in code points."""
 
-    @F.pandas_udf("array<struct<span_start: int, span_end: int, sentence: string>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("span_start", "span_end", "sentence"), s)) for s in tokens.sentence_spans(t or "")])
+    kinds = dict(pages.dtypes)
+    ddl = f"{key} {kinds[key]}, page {kinds['page']}, n int, span_start int, span_end int, sentence string"
+
+    def run(batches):
+        import pyarrow as pa
 
-    return pages.select(key, "page", F.posexplode(spans("text")).alias("n", "x")).select(key, "page", "n", "x.*")
+        for batch in batches:
+            for part in slices(batch):
+                found = [tokens.sentence_spans(t or "") for t in part.column(2).to_pylist()]
+                row = pa.array([k for k, spans in enumerate(found) for _ in spans], pa.int32())
+                own = [part.column(k).take(row) for k in (0, 1)]
+                n = pa.array([n for spans in found for n in range(len(spans))], pa.int32())
+                starts, ends, texts = (pa.array([x[c] for spans in found for x in spans], kind) for c, kind in enumerate((pa.int32(), pa.int32(), pa.string())))
+                yield pa.RecordBatch.from_arrays([*own, n, starts, ends, texts], names=[key, "page", "n", "span_start", "span_end", "sentence"])
 
+    return pages.select(key, "page", "text").mapInArrow(run, ddl)
 
-def chunk(pages: DataFrame, least: int = 400, most: int = 800, key: str = "doc_sha256", more: tuple[str, ...] = ("lang",)) -> DataFrame:
+
+def chunk(pages: DataFrame, least: int = 400, most: int = 800, key: str = "doc_sha256", more: tuple[str, ...] = ("lang",), parts: Column | None = None) -> DataFrame:
     """Pages of a document packed into chunks of whole sentences.
 
     Before a sentence is added the chunk ends if it has at least `least` words and would
     get more than 1.2 x most; after that it ends if it has at least `most`; the rest is a
-    chunk. Rows are dealt by document and sorted by page, and packed as they stream by:
-    only the sentences of one open chunk are held, however long the document is.
+    chunk. parts: a page's sentences, those of its text if none are given. Pages are dealt by
+    document and sorted, then go on sentence by sentence and are packed as they stream by:
+    a task holds a batch of sentences and those of one open chunk, however long the document is.
     """
-    rows = pages.select(key, *more, "page", T.sentences(F.col("text")).alias("parts")).repartition(key).sortWithinPartitions(key, "page")
+    dealt = pages.select(key, *more, "page", (T.sentences(F.col("text")) if parts is None else parts).alias("parts")).repartition(key).sortWithinPartitions(key, "page")
+    rows = dealt.select(key, *more, "page", F.explode("parts").alias("sentence"))
     kinds = dict(rows.dtypes)
     limit = int(1.2 * most)
 
@@ -57,20 +81,19 @@ def chunk(pages: DataFrame, least: int = 400, most: int = 800, key: str = "doc_s
             held, words = [], 0
 
         for pdf in batches:
-            for k, *extra, page, parts in pdf.itertuples(index=False, name=None):
+            for k, *extra, page, s in pdf.itertuples(index=False, name=None):
                 if k != doc:
                     flush()
                     doc, rest, index = k, extra, 0
-                for s in parts:
-                    n = len(s.split())
-                    if not n:
-                        continue
-                    if words >= least and words + n > limit and words + n > most:
-                        flush()
-                    held.append((s, page))
-                    words += n
-                    if words >= least and words >= most:
-                        flush()
+                n = len(s.split())
+                if not n:
+                    continue
+                if words >= least and words + n > limit and words + n > most:
+                    flush()
+                held.append((s, page))
+                words += n
+                if words >= least and words >= most:
+                    flush()
             yield pd.DataFrame(out, columns=names)
             out.clear()
         flush()
@@ -150,13 +173,17 @@ def entities(pages: DataFrame, patterns: dict[str, str] | None = None, tagger: C
             return apart(every) if longest else every
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            rows = [(d, p, s, e, t[s:e], k) for d, p, t in pdf.itertuples(index=False, name=None) if t for s, e, k in tagger(t)]
-            yield pd.DataFrame(rows, columns=["doc_sha256", "page", "span_start", "span_end", "text", "label"])
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.string())
+        for batch in batches:
+            for part in slices(batch):
+                found = [(k, s, e, t[s:e], label) for k, t in enumerate(part.column(2).to_pylist()) if t for s, e, label in tagger(t)]
+                row, *spans = zip(*found) if found else [()] * 5
+                own = [part.column(k).take(pa.array(row, pa.int32())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, spans, kinds)], names=["doc_sha256", "page", "span_start", "span_end", "text", "label"])
 
-    return pages.select("doc_sha256", "page", "text").mapInPandas(run, "doc_sha256 string, page int, span_start int, span_end int, text string, label string")
+    return pages.select("doc_sha256", F.col("page").cast("int").alias("page"), "text").mapInArrow(run, "doc_sha256 string, page int, span_start int, span_end int, text string, label string")
 
 
 def entity_coverage(pages: DataFrame, found: DataFrame) -> DataFrame:

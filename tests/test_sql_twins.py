@@ -7,6 +7,7 @@ import pytest
 from compare import check
 from pyspark.sql import functions as F
 
+from orrery.operators import documents
 from orrery.plans import registry
 
 START = datetime(2024, 1, 1)
@@ -32,3 +33,23 @@ def events(spark):
 @pytest.mark.parametrize("name", ["alert_dedupe_ttl", "alert_dedupe_metrics", "alert_dedupe_runs", "alert_flap_changes", "alert_flapping"])
 def test_parts_of_a_second(spark, tmp_path, name):
     twin(spark, tmp_path, name, events=events(spark))
+
+
+def test_documents_go_by_slices():
+    """A task makes Python objects of few rows and bytes at a time."""
+    import pyarrow as pa
+
+    short = pa.RecordBatch.from_arrays([pa.array(["x"] * 1000)], names=["text"])
+    long = pa.RecordBatch.from_arrays([pa.array(["y" * (1 << 20)] * 10)], names=["text"])
+    assert [b.num_rows for b in documents.slices(short)] == [256, 256, 256, 232]
+    assert max(b.num_rows for b in documents.slices(long)) <= 4 and sum(b.num_rows for b in documents.slices(long)) == 10
+    assert list(documents.slices(short.slice(0, 0))) == []
+
+
+def test_chunks_take_sentences_one_by_one(spark):
+    """What a task gets is a row for each sentence, not a document's array."""
+    pages = spark.createDataFrame([("a", 1, "en", "One two. Three four. " * 30)], "doc_sha256 string, page int, lang string, text string")
+    plan = documents.chunk(pages, 4, 8)._jdf.queryExecution().optimizedPlan().toString()
+    task = plan.index("MapInPandas")
+    assert "Generate explode" in plan[task:] and "array<" not in plan[task : plan.index("Generate explode")]
+    assert documents.chunk(pages, 4, 8).count() == 15
