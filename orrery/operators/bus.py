@@ -31,21 +31,26 @@ OPTIONAL = ("trace_id", "payload")
 
 
 def errors(raw: str = "value") -> Column:
-    """What is wrong with a JSON envelope, as an array; empty if nothing is. An unknown type is an error like others."""
+    """What is wrong with a JSON envelope, as an array; empty if nothing is. An unknown type is an error like others.
+
+    The envelope's fields are read once and bound as one struct; of payloads only the fields of the event's type are read.
+    """
     get = lambda p: F.get_json_object(raw, p)
-    keys = F.json_object_keys(raw)
-    tests = [F.when(F.try_parse_json(F.col(raw)).isNull() | keys.isNull(), "not an object")]
-    for name, pattern in ENVELOPE.items():
-        v = get(f"$.{name}")
-        tests.append(F.when(v.isNull(), f"{name} is missing").when(~v.rlike(pattern), f"{name} does not fit"))
-    known = F.array(*[F.lit(k) for k in (*ENVELOPE, *OPTIONAL)])
-    tests.append(F.when(F.size(F.array_except(keys, known)) > 0, "unknown field"))
-    for kind, fields in PAYLOADS.items():
-        of_kind = get("$.event_type") == kind
-        tests += [F.when(of_kind & get(f"$.payload.{f}").isNull(), f"payload.{f} is missing") for f in fields]
-    cloud = get("$.payload.cloud_cover").try_cast("double")
-    tests.append(F.when((cloud < 0) | (cloud > 1), "payload.cloud_cover is out of range"))
-    return F.array_compact(F.array(*tests))
+    read = F.struct(*[get(f"$.{name}").alias(name) for name in ENVELOPE], F.json_object_keys(raw).alias("keys"), F.try_parse_json(F.col(raw)).isNull().alias("broken"), get("$.payload.cloud_cover").try_cast("double").alias("cloud"))
+
+    def tests(x: Column) -> Column:
+        keys, cloud = x["keys"], x["cloud"]
+        found = [F.when(x["broken"] | keys.isNull(), "not an object")]
+        for name, pattern in ENVELOPE.items():
+            found.append(F.when(x[name].isNull(), f"{name} is missing").when(~x[name].rlike(pattern), f"{name} does not fit"))
+        known = F.array(*[F.lit(k) for k in (*ENVELOPE, *OPTIONAL)])
+        found.append(F.when(F.size(F.array_except(keys, known)) > 0, "unknown field"))
+        of_kind = F.array().cast("array<string>")
+        for kind, fields in PAYLOADS.items():
+            of_kind = F.when(x["event_type"] == kind, F.array(*[F.when(get(f"$.payload.{f}").isNull(), f"payload.{f} is missing") for f in fields])).otherwise(of_kind)
+        return F.array_compact(F.concat(F.array(*found), of_kind, F.array(F.when((cloud < 0) | (cloud > 1), "payload.cloud_cover is out of range"))))
+
+    return F.transform(F.array(read), tests)[0]
 
 
 def topic(event_type: Column) -> Column:
