@@ -144,7 +144,7 @@ QUERIES = {
     "percentile_mask": lambda s, d: raster.change_metrics(change(s, d)).withColumn("changed_frac", F.round("changed_frac", 9)),
     "raster_grey": lambda s, d: raster.grey(raster.scaled(pixels(s, d)), ("B4", "B8", "none")).withColumn("value", F.round("value", 9)),
     "raster_cleaned": lambda s, d: raster.change_metrics(tiles.cleaned(change(s, d).select("aoi_id", "row", "col", "mask"), 1, 1, 6, side=TILE)),
-    "raster_components": lambda s, d: raster.boxes(tiles.components(tiles.cleaned(change(s, d).select("aoi_id", "row", "col", "mask"), 1, 1, 6, side=TILE), side=TILE)),
+    "raster_components": lambda s, d: raster.boxes(tiles.labelled(tiles.cleaned_tiles(change(s, d).select("aoi_id", "row", "col", "mask"), 1, 1, 6, side=TILE), side=TILE)),
     "change_events": lambda s, d: raster.change_events(raster.change_metrics(change(s, d)), "2024-03-15").withColumn("score", F.round("score", 9)),
     "geo_buffer": rings,
     "geo_buffer_corners": corners,

@@ -90,3 +90,28 @@ def test_thresholds_are_numpys(spark):
         assert "none" not in got and "ends" in got
     out = raster.masked(df, 97.0).filter("aoi_id = 'uniform'").agg(F.sum("mask"), F.count("*")).first()
     assert tuple(out) == ((areas["uniform"] >= np.percentile(areas["uniform"], 97.0)).sum() + 1, 3002)  # infinity is set, NaN is not
+
+
+@pytest.mark.parametrize("span", [8, 16])
+def test_parts_of_many_blocks(spark, monkeypatch, span):
+    """Blocks of one tile and of four: parts pass from block to block, and halos do."""
+    monkeypatch.setattr(tiles, "SPAN", span)
+    found = images()
+    df = spark.createDataFrame(rows_of(found), SPOT).repartition(5)
+    got = {(r.aoi_id, r.row, r.col): r["mask"] for r in tiles.cleaned(df, 1, 3, 6, side=8).collect()}
+    assert got == {(name, r + top, c + left): int(v) for name, (m, top, left) in found.items() for (r, c), v in np.ndenumerate(whole(m, 1, 3, 6))}
+    for connectivity in (4, 8):
+        got = {(r.aoi_id, r.row, r.col): r.label for r in tiles.components(df, connectivity, side=8).collect()}
+        assert got == {(name, r + top, c + left): int(v) for name, (m, top, left) in found.items() for (r, c), v in np.ndenumerate(raster.label(m, connectivity)) if v}
+
+
+def test_roots_in_one_task_or_by_steps(spark, monkeypatch):
+    """A few edges are joined at once, whatever their nodes are; more of them step by step, with the same roots."""
+    rows = [((None, k), (None, k + 1)) for k in range(60)] + [(("a", k), ("a", k + 2)) for k in range(40)] + [(("b", 1), ("b", 1)), (("a", 3), None)]
+    df = spark.createDataFrame(rows, "a struct<area: string, first: int>, b struct<area: string, first: int>").repartition(3)
+    by_steps = dict(linked.roots(df, few=0).collect())
+    tables, stored = [], linked.stored
+    monkeypatch.setattr(linked, "stored", lambda df: tables.append(df) or stored(df))
+    assert dict(linked.roots(df).collect()) == by_steps and len(tables) == 1
+    assert by_steps == {(None, k): (None, 0) for k in range(61)} | {("a", k): ("a", k % 2) for k in range(42)}
+    assert linked.roots(df.filter("a.area = 'b'"), few=0).collect() == linked.roots(df.filter("a.area = 'b'")).collect() == []
