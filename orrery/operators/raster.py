@@ -15,10 +15,10 @@ GREY = (0.2989, 0.5870, 0.1140)
 
 def scaled(pixels: DataFrame) -> DataFrame:
     """Values to 0..1: above 1.5 they count as ten thousandths, then by the largest value if it is above 1.001."""
-    top = pixels.groupBy("aoi_id", "band", "timing").agg(F.max("value").alias("top"))
+    # One row per image, as a table: Spark sees its size and need not deal the pixels for the join.
+    top = stored(pixels.groupBy("aoi_id", "band", "timing").agg(F.max("value").alias("top")))
     first = F.when(F.col("top") > 1.5, F.col("value") / 10_000).otherwise(F.col("value"))
     top2 = F.when(F.col("top") > 1.5, F.col("top") / 10_000).otherwise(F.col("top"))
-    # One row per image.
     return pixels.join(top, ["aoi_id", "band", "timing"]).withColumn("value", F.when(top2 > 1.001, first / top2).otherwise(first)).drop("top")
 
 
@@ -38,11 +38,23 @@ def ndvi(pixels: DataFrame, red: str = "B4", nir: str = "B8") -> DataFrame:
 def difference(index: DataFrame, mode: str = "abs") -> DataFrame:
     """(aoi_id, row, col, diff, score) after minus before; neg and pos are clipped to 0..1. One shuffle serves both dates."""
     b, a = (F.max(F.when(F.col("timing") == t, F.col("value"))) for t in ("before", "after"))
-    out = index.groupBy("aoi_id", "row", "col").agg(b.alias("b"), a.alias("a")).filter("a IS NOT NULL AND b IS NOT NULL")
+    return _scored(index.groupBy("aoi_id", "row", "col").agg(b.alias("b"), a.alias("a")), mode)
+
+
+def ndvi_difference(pixels: DataFrame, mode: str = "abs", red: str = "B4", nir: str = "B8") -> DataFrame:
+    """difference of ndvi. One shuffle serves both bands, too: a pixel's values are together before it."""
+    held = [F.max(F.when((F.col("band") == band) & (F.col("timing") == t), F.col("value"))).alias(name) for t, band, name in (("before", red, "r0"), ("before", nir, "n0"), ("after", red, "r1"), ("after", nir, "n1"))]
+    index = lambda r, n: (F.col(n) - F.col(r)) / F.greatest(F.col(n) + F.col(r), F.lit(1e-6))
+    out = pixels.filter(F.col("band").isin(red, nir)).groupBy("aoi_id", "row", "col").agg(*held)
+    return _scored(out.select("aoi_id", "row", "col", index("r0", "n0").alias("b"), index("r1", "n1").alias("a")), mode)
+
+
+def _scored(both: DataFrame, mode: str) -> DataFrame:
+    """Indexes before (b) and after (a) as their difference and its score."""
     d = F.col("a") - F.col("b")
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     score = {"abs": F.abs(d), "neg": clip(-d), "pos": clip(d)}[mode]
-    return out.select("aoi_id", "row", "col", d.alias("diff"), score.alias("score"))
+    return both.filter("a IS NOT NULL AND b IS NOT NULL").select("aoi_id", "row", "col", d.alias("diff"), score.alias("score"))
 
 
 #: Buckets that a pass counts for an image.
@@ -58,7 +70,18 @@ def thresholds(scores: DataFrame, percentile: float = 95.0, buckets: int = BUCKE
     pass has fewer values than the one before, so it ends; scores of some decimal places
     take about four passes. A task holds buckets, never the values of an image.
     """
-    fine = stored(scores.select("aoi_id", F.col("score").cast("double").alias("score")).filter(~F.isnan("score") & (F.abs("score") < float("inf"))))
+    fine = stored(_finite(scores))
+    out = _ranked(fine, percentile, buckets)
+    dropped(fine)
+    return out
+
+
+def _finite(scores: DataFrame) -> DataFrame:
+    return scores.select("aoi_id", F.col("score").cast("double").alias("score")).filter(~F.isnan("score") & (F.abs("score") < float("inf")))
+
+
+def _ranked(fine: DataFrame, percentile: float, buckets: int = BUCKETS) -> DataFrame:
+    """thresholds of a table's finite scores."""
     base = fine.groupBy("aoi_id").agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).withColumn("at", (F.col("n") - 1) * F.lit(percentile / 100))
     ends = F.array(F.struct(F.lit(0).alias("end"), F.floor("at").alias("nth")), F.struct(F.lit(1).alias("end"), F.ceil("at").alias("nth")))
     ranks = stored(base.select("aoi_id", "at", "lo", "hi", F.explode(ends).alias("x")).select("aoi_id", "at", "lo", "hi", "x.end", F.col("x.nth").cast("long").alias("nth")))
@@ -74,7 +97,6 @@ def thresholds(scores: DataFrame, percentile: float = 95.0, buckets: int = BUCKE
         dropped(ranks)
         ranks = later
     one = lambda k: F.max(F.when(F.col("end") == k, F.col("lo")))
-    dropped(fine)
     both = ranks.groupBy("aoi_id", "at").agg(one(0).alias("a"), one(1).alias("b"))
     gap, t = F.col("b") - F.col("a"), F.col("at") - F.floor("at")
     return both.select("aoi_id", F.when(t >= 0.5, F.col("b") - gap * (1 - t)).otherwise(F.col("a") + gap * t).alias("threshold"))
@@ -82,7 +104,8 @@ def thresholds(scores: DataFrame, percentile: float = 95.0, buckets: int = BUCKE
 
 def masked(scores: DataFrame, percentile: float = 95.0) -> DataFrame:
     """scores with mask: at least the interpolated percentile of the area's finite scores; what is no number is not set."""
-    cut = thresholds(scores, percentile).withColumnRenamed("aoi_id", "area")
+    scores = stored(scores)  # read by each pass and by the mask
+    cut = _ranked(_finite(scores), percentile).withColumnRenamed("aoi_id", "area")
     return scores.join(cut, F.col("aoi_id").eqNullSafe(F.col("area")), "left").drop("area").withColumn("mask", F.coalesce((F.col("score") >= F.col("threshold")) & ~F.isnan("score"), F.lit(False)).cast("int"))
 
 

@@ -67,7 +67,7 @@ def pixels(s, d):
 
 
 def change(s, d):
-    return raster.masked(raster.difference(raster.ndvi(raster.scaled(pixels(s, d))), "abs"), CUT)
+    return raster.masked(raster.ndvi_difference(raster.scaled(pixels(s, d)), "abs").drop("diff"), CUT)
 
 
 def bundles(s, d):

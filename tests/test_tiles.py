@@ -115,3 +115,34 @@ def test_roots_in_one_task_or_by_steps(spark, monkeypatch):
     assert dict(linked.roots(df).collect()) == by_steps and len(tables) == 1
     assert by_steps == {(None, k): (None, 0) for k in range(61)} | {("a", k): ("a", k % 2) for k in range(42)}
     assert linked.roots(df.filter("a.area = 'b'"), few=0).collect() == linked.roots(df.filter("a.area = 'b'")).collect() == []
+
+
+def counted(df, seen):
+    """df, and how many of its rows were made."""
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
+def test_pixels_are_made_once(spark):
+    """What a mask and its tiles come from may be costly."""
+    scores = spark.range(4000).selectExpr("'a' aoi_id", "cast(id div 50 AS int) row", "cast(id % 50 AS int) col", "cast(id * 7919 % 4001 AS double) score")
+    seen = spark.sparkContext.accumulator(0)
+    out = raster.masked(counted(scores, seen), 40.0)
+    assert out.agg(F.sum("mask")).first()[0] == 2400 and seen.value == 4000
+    seen = spark.sparkContext.accumulator(0)
+    assert tiles.cleaned(counted(out.select("aoi_id", "row", "col", "mask"), seen), side=8).count() == 4000 and seen.value == 4000
+
+
+def test_one_shuffle_for_both_bands_and_dates(spark):
+    rng = np.random.default_rng(9)
+    rows = [(name, band, timing, r, c, float(rng.random())) for name in ("a", None) for band in ("B4", "B8", "B2") for timing in ("before", "after", "later") for r in range(5) for c in range(4) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "aoi_id string, band string, timing string, row int, col int, value double")
+    for mode in ("abs", "neg", "pos"):
+        want, got = raster.difference(raster.ndvi(df), mode), raster.ndvi_difference(df, mode)
+        assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+    assert raster.ndvi_difference(df)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
